@@ -53,8 +53,9 @@ class Contexts:
             h = Hashes(VALUE[self.buf[base : base + int(off[-1])]])
             gram = h.every(k)
             at, first, last = anchors(gram, off, width, k)
+            # a least hash is small; mixed again, anchors spread over the buckets
             shape = (at - first).astype(U64) * U64(0x632BE59BD9B4E019) + (last - first).astype(U64)
-            parts.append((gram[at], mix(h.of(first, last + width) + shape), first + base, last + base))
+            parts.append((mix(gram[at]), mix(h.of(first, last + width) + shape), first + base, last + base))
         cat = lambda m, t: np.concatenate([p[m] for p in parts]) if parts else np.zeros(0, t)
         self.anchor, self.context, self.first, self.last = cat(0, U64), cat(1, U64), cat(2, np.int64), cat(3, np.int64)
         order = np.lexsort((self.context, self.anchor))
