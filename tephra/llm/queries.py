@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from tephra.llm import op1_suffix_dedup
+from tephra.llm import op1_suffix_dedup, op2_line_frequency, op3_nearest_toxic, op4_seed_extend
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup.query,
+    "op2_line_frequency": op2_line_frequency.query,
+    "op3_nearest_toxic": op3_nearest_toxic.query,
+    "op4_seed_extend": op4_seed_extend.query,
+}
+ORACLES = {
+    "op2_line_frequency": op2_line_frequency.ORACLE,
 }
-ORACLES: dict[str, str] = {}

@@ -170,3 +170,34 @@ def planes(a: np.ndarray) -> bytes:
 def unplanes(b: bytes, dtype) -> np.ndarray:
     size = np.dtype(dtype).itemsize
     return np.frombuffer(np.frombuffer(b, np.uint8).reshape(size, -1).T.tobytes(), dtype)
+
+
+def tokens(buf: np.ndarray, off: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all documents: start and end byte and hash of every word, and the first word of each document, with the end.
+
+    lower: A-Z count as a-z.
+    """
+    parts, first, n = [], [np.zeros(1, np.int64)], 0
+    for i, j in chunks(off):
+        base = int(off[i])
+        part = buf[base : int(off[j])]
+        start, end, of = words(part, off[i : j + 1] - base)
+        parts.append((start + base, end + base, word_hashes(LOWER[part] if lower else part, start, end)))
+        first.append(of[1:] + n)
+        n += len(start)
+    cat = lambda m, t: np.concatenate([p[m] for p in parts]) if parts else np.zeros(0, t)
+    return cat(0, np.int64), cat(1, np.int64), cat(2, U64), np.concatenate(first)
+
+
+def joined(buf: np.ndarray, start: np.ndarray, end: np.ndarray, of: np.ndarray, keep: np.ndarray) -> list[bytes]:
+    """The kept words of each document, joined by one space; of: first word of each document, with the end."""
+    kept = np.flatnonzero(keep)
+    cut = np.searchsorted(kept, of)
+    size = (end - start)[kept] + 1  # each with a space after it
+    begin = np.cumsum(size) - size
+    out = np.full(int(size.sum()), 0x20, np.uint8)
+    body = np.ones(len(out), bool)
+    body[begin + size - 1] = False
+    out[body] = buf[covered(len(buf), start[kept], end[kept])]
+    at = np.append(begin, len(out))
+    return [out[at[a] : max(at[a], at[b] - 1)].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
