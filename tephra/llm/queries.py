@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from tephra.llm import op1_suffix_dedup, op2_line_frequency, op3_nearest_toxic, op4_seed_extend
+from tephra.llm import op1_suffix_dedup, op2_line_frequency, op3_nearest_toxic, op4_seed_extend, op6_lookup_sharding, op8_poisson_mix, op9_spaced_seeds, op10_jaccard_join
 
-QUERIES = {
-    "op1_suffix_dedup": op1_suffix_dedup.query,
-    "op2_line_frequency": op2_line_frequency.query,
-    "op3_nearest_toxic": op3_nearest_toxic.query,
-    "op4_seed_extend": op4_seed_extend.query,
-}
-ORACLES = {
-    "op2_line_frequency": op2_line_frequency.ORACLE,
+_MODULES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_line_frequency": op2_line_frequency,
+    "op3_nearest_toxic": op3_nearest_toxic,
+    "op4_seed_extend": op4_seed_extend,
+    "op6_lookup_sharding": op6_lookup_sharding,
+    "op8_poisson_mix": op8_poisson_mix,
+    "op9_spaced_seeds": op9_spaced_seeds,
+    "op10_jaccard_join": op10_jaccard_join,
 }
+QUERIES = {name: m.query for name, m in _MODULES.items()}
+ORACLES = {name: m.ORACLE for name, m in _MODULES.items() if hasattr(m, "ORACLE")}
