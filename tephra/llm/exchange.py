@@ -12,9 +12,10 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tephra.llm.shared import folder
 from tephra.llm.text import U64
 
 #: Text bytes of a batch once there are many; a batch is what one Python call holds.
@@ -23,11 +24,22 @@ BATCH_BYTES = 8 << 20
 FEW, SMALL_BYTES = 64, 1 << 19
 
 
-def batches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, int]:
-    """(batch, doc_id, text) of every row and the number of batches, from the corpus' own size."""
+def batch_of(key: Column, n: int) -> Column:
+    return F.pmod(key, F.lit(n)).cast("int")
+
+
+def batches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", by_id: bool = False) -> tuple[DataFrame, int]:
+    """(batch, doc_id, text) of every row and the number of batches, from the corpus' own size.
+
+    by_id: the batch of a doc_id is batch_of(xxhash64(doc_id), n), so that other tables can be dealt alike.
+    """
+    folder(docs.sparkSession)
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     n = max(1, math.ceil(total / BATCH_BYTES), min(FEW, math.ceil(total / SMALL_BYTES)))
-    key = F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(n)).cast("int")
+    parts = [F.col(doc_id)] if by_id else [F.col(doc_id), F.col(text)]
+    key = batch_of(F.xxhash64(*parts), n)
+    if by_id:
+        key = F.when(F.col(doc_id).isNotNull(), key).otherwise(batch_of(F.xxhash64(F.col(text)), n))
     return docs.select(key.alias("batch"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), n
 
 

@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 BITS = 48
 
 
+def text_hash(text: Column) -> Column:
+    """Tells texts apart in joins; null counts as empty."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def number(*parts: Column | str) -> Column:
     """A whole number below 2 ** 48 from the parts' text: the first 12 digits of their md5. A null part counts as ''."""
     text = F.concat_ws(":", *[F.coalesce((F.col(p) if isinstance(p, str) else p).cast("string"), F.lit("")) for p in parts])

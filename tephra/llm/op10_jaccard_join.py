@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from tephra.llm.components import components
 from tephra.llm.exchange import batches, slices
+from tephra.llm.hashing import text_hash
 from tephra.llm.text import U64, Hashes, chunks, mix, planes, tokens, unplanes, utf8
 
 WORDS, PERCENT = 3, 90
@@ -64,7 +65,7 @@ def _node(s: np.ndarray) -> int:
     return int(mix(sums * np.array([1, 3, 5], U64)).sum(dtype=U64).view(np.int64))
 
 
-INFO = "batch int, doc_id long, n_shingles long, node long"
+INFO = "batch int, doc_id long, text_hash long, n_shingles long, node long"
 
 
 def _info(n_words: int):
@@ -72,7 +73,7 @@ def _info(n_words: int):
         for batch in rows:
             buf, off = utf8(batch["text"])
             sets = shingle_sets(buf, off, n_words)
-            yield pa.RecordBatch.from_arrays([batch["batch"], batch["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) for s in sets], pa.int64())], ["batch", "doc_id", "n_shingles", "node"])
+            yield pa.RecordBatch.from_arrays([batch["batch"], batch["doc_id"], batch["text_hash"], pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) for s in sets], pa.int64())], ["batch", "doc_id", "text_hash", "n_shingles", "node"])
 
     return f
 
@@ -185,11 +186,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, n_words: int = WORDS, percent: int = PERCENT, frequent: int = FREQUENT, paired: int = PAIRED) -> DataFrame:
-    """(doc_id, n_shingles, component_id, node) of every row of `docs`; node: hash of its set."""
+    """(doc_id, n_shingles, component_id, node, text_hash) of every row of `docs`; node: hash of its set."""
     if not 50 < percent <= 100:
         raise ValueError("percent is over 50 and 100 at most")
     own, n = batches(docs, doc_id, text)
-    info = own.mapInArrow(_info(n_words), INFO).checkpoint()
+    info = own.withColumn("text_hash", text_hash(F.col("text"))).mapInArrow(_info(n_words), INFO).checkpoint()
     known = info.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     classes = known.groupBy("node").agg(F.min(F.struct("doc_id", "batch")).alias("first"), F.max("n_shingles").alias("n")).select("node", "n", "first.doc_id", "first.batch").checkpoint()
     # smaller sets link with equal ones only: a set of n and one of n + 1 share n of n + 1 at most
@@ -230,10 +231,24 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     member = classes.join(root, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     smallest = member.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_class = member.join(smallest, "root").select("node", "component_id")
-    joined = known.join(of_class, "node").select("doc_id", "n_shingles", "component_id", "node")
-    rest_of = info.where(F.col("doc_id").isNull() | (F.col("n_shingles") == 0)).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "node")
+    joined = known.join(of_class, "node").select("doc_id", "n_shingles", "component_id", "node", "text_hash")
+    rest_of = info.where(F.col("doc_id").isNull() | (F.col("n_shingles") == 0)).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "node", "text_hash")
     return joined.unionByName(rest_of)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("node")
+    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("node", "text_hash")
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """One row of each component, that of its smallest doc_id, with all columns; rows that link with nothing stay.
+
+    Rows with a null doc_id, and texts without words, all stay; of rows that repeat an id and its text, one does.
+    """
+    of = jaccard_components(docs, doc_id, text, **how)
+    first = of.where((F.col("doc_id") == F.col("component_id")) & (F.col("n_shingles") > 0)).groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("x")).select(F.col("x.doc_id").alias("__id"), F.col("x.text_hash").alias("__hash"))
+    alone = of.where(F.col("doc_id").isNull() | (F.col("n_shingles") == 0)).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    keys = first.withColumn("__one", F.lit(True)).unionByName(alone.withColumn("__one", F.lit(False)))
+    same = F.col(doc_id).cast("long").eqNullSafe(F.col("__id")) & (text_hash(F.col(text)) == F.col("__hash"))
+    met = docs.join(keys, same)
+    return met.where("__one").dropDuplicates(["__id", "__hash"]).unionByName(met.where("NOT __one")).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tephra.llm.hashing import text_hash
+from tephra.llm.shared import folder
 from tephra.llm.text import LOWER, VALUE, Hashes, chunks, covered, utf8, word_hashes, words
 
 MIN_WORDS, REPEAT_PERCENT, REPEAT_WINDOW = 20, 30, 8
@@ -32,7 +34,7 @@ NORMAL = LOWER.copy()
 NORMAL[ord("0") : ord("9") + 1] = ord("0")
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-STATS = "doc_id long, host string, " + ", ".join(f"{c} long" for c in COUNTS) + ", line array<long>, line_words array<int>"
+STATS = "doc_id long, host string, text_hash long, " + ", ".join(f"{c} long" for c in COUNTS) + ", line array<long>, line_words array<int>"
 
 
 def _per_document(flag_sums: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -92,7 +94,7 @@ def _stats(window: int):
             for i, j in chunks(off):
                 counts, key, n_words, cut = _measure(buf[off[i] : off[j]], off[i : j + 1] - off[i], window)
                 lists = [pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(v)) for v in (key.view(np.int64), n_words)]
-                yield pa.RecordBatch.from_arrays([batch["doc_id"][i:j], batch["host"][i:j], *(pa.array(counts[c], pa.int64()) for c in COUNTS), *lists], ["doc_id", "host", *COUNTS, "line", "line_words"])
+                yield pa.RecordBatch.from_arrays([batch["doc_id"][i:j], batch["host"][i:j], batch["text_hash"][i:j], *(pa.array(counts[c], pa.int64()) for c in COUNTS), *lists], ["doc_id", "host", "text_hash", *COUNTS, "line", "line_words"])
 
     return f
 
@@ -101,8 +103,12 @@ def line_frequency_rules(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", *, min_words: int = MIN_WORDS, repeat_percent: int = REPEAT_PERCENT,
     line_docs: int = LINE_DOCS, line_percent: int = LINE_PERCENT, left_words: int = LEFT_WORDS, left_percent: int = LEFT_PERCENT,
 ) -> DataFrame:
-    """(doc_id, the counts, base_failed, kept, n_removed_lines, n_left_words, row) of every row; `row` numbers rows."""
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.coalesce(F.col(host).cast("string"), F.lit("\x00")).alias("host"))
+    """(doc_id, the counts, base_failed, kept, n_removed_lines, n_left_words, row, host, text_hash) of every row.
+
+    `row` numbers rows; host and text_hash, with doc_id, tell which rows a verdict is about.
+    """
+    folder(docs.sparkSession)
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.coalesce(F.col(host).cast("string"), F.lit("\x00")).alias("host"), text_hash(F.col(text)).alias("text_hash"))
     stats = own.mapInArrow(_stats(REPEAT_WINDOW), STATS).withColumn("row", F.monotonically_increasing_id()).checkpoint()
     hosts = stats.groupBy("host").agg(F.count("*").alias("host_docs"))
     lines = stats.select("row", "host", F.explode(F.arrays_zip("line", "line_words")).alias("x")).select("row", "host", F.col("x.line").alias("line"), F.col("x.line_words").alias("words"))
@@ -111,15 +117,15 @@ def line_frequency_rules(
     removed = lines.join(common, ["host", "line"]).groupBy("row").agg(F.sum("words").alias("gone"), F.count("*").alias("n_removed_lines"))
     left = F.col("n_words") - F.coalesce("gone", F.lit(0))
     base = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * repeat_percent)
-    return stats.drop("line", "line_words", "host").join(removed, "row", "left").select(
+    return stats.drop("line", "line_words").join(removed, "row", "left").select(
         "doc_id", *COUNTS, base.alias("base_failed"),
         (~base & (left >= left_words) & (left * 100 >= F.col("n_words") * left_percent)).alias("kept"),
-        F.coalesce("n_removed_lines", F.lit(0)).alias("n_removed_lines"), left.alias("n_left_words"), "row",
+        F.coalesce("n_removed_lines", F.lit(0)).alias("n_removed_lines"), left.alias("n_left_words"), "row", "host", "text_hash",
     )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_frequency_rules(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row")
+    return line_frequency_rules(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row", "host", "text_hash")
 
 
 ORACLE = rf"""
@@ -144,3 +150,11 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base_failed AND n_left_words >= {LEFT_WORDS} AND n_left_words * 100 >= n_words * {LEFT_PERCENT} AS kept, n_removed_lines, n_left_words
 FROM (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words AS base_failed FROM f)
 """
+
+
+def keep(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", **limits) -> DataFrame:
+    """The rows of `docs` that aren't rejected, with all their columns."""
+    gone = line_frequency_rules(docs, doc_id, text, host, **limits).where(~F.col("kept"))
+    gone = gone.select(F.col("doc_id").alias("__id"), F.col("host").alias("__host"), F.col("text_hash").alias("__hash")).distinct()
+    same = F.col(doc_id).cast("long").eqNullSafe(F.col("__id")) & (text_hash(F.col(text)) == F.col("__hash")) & (F.coalesce(F.col(host).cast("string"), F.lit("\x00")) == F.col("__host"))
+    return docs.join(gone, same, "left_anti")

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tephra.llm.shared import folder
 from tephra.llm.text import LOWER, U64, chunks, mix, utf8, word_hashes
 
 EXAMPLES, TERMS, CHI_SQUARE, LEAST_DOCS = 3000, 256, 24.0, 3
@@ -165,6 +166,7 @@ def _score(index: BlockMaxIndex, weight: tuple[float, float], prior: float, k: i
 
 def nearest_toxic(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", examples: int = EXAMPLES, n_terms: int = TERMS, k: int = NEIGHBOURS) -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence) of every row of `docs`."""
+    folder(docs.sparkSession)
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     held_out = lambda c: F.crc32(F.col(c).cast("string").cast("binary")) % 5 == 0
     known = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id"))

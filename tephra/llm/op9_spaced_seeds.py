@@ -22,6 +22,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tephra.llm.hashing import text_hash
+
 WINDOW, SUBSTITUTIONS = 12, 2
 MASKS = ("10001111", "110100011")
 #: Seeds of items in one broadcast; with an item's token hashes, well under 200 MB.
@@ -62,7 +64,7 @@ def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: st
         raise ValueError(f"the masks {masks} miss some {substitutions} substitutions in {window} tokens")
     known = items.select(F.col(item_id).cast("long").alias("item_id"), _tokens(F.col(item_text)).alias("item")).where(F.size("item") >= window)
     blocks = max(1, -(-(known.agg(F.sum(F.size("item"))).first()[0] or 0) * len(masks) // block_seeds))
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("text_hash"), _tokens(F.col(text)).alias("tokens")).where(F.size("tokens") >= window)
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_hash(F.col(text)).alias("text_hash"), _tokens(F.col(text)).alias("tokens")).where(F.size("tokens") >= window)
     every = lambda tokens: F.flatten(F.array(*[F.transform(_seeds(tokens, m, mask), _numbered(m)) for m, mask in enumerate(masks)]))
     # seeds of documents stay bare numbers: their places tell mask and start
     parts = [_seeds(F.col("tokens"), m, mask) for m, mask in enumerate(masks)]
@@ -89,7 +91,7 @@ def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: st
 def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The rows of `docs` that no item overlaps, with all their columns."""
     found = overlaps(docs, items, doc_id, text, **how).select(F.col("doc_id").alias("__doc_id"), F.col("text_hash").alias("__text_hash"))
-    same = F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).eqNullSafe(F.col("__text_hash")) & F.col(doc_id).cast("long").eqNullSafe(F.col("__doc_id"))
+    same = (text_hash(F.col(text)) == F.col("__text_hash")) & F.col(doc_id).cast("long").eqNullSafe(F.col("__doc_id"))
     return docs.join(found, same, "left_anti")
 
 
@@ -97,9 +99,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, contaminated, n_items, items) of every document; items: ids joined by commas."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).withColumnsRenamed({"doc_id": "__doc_id", "text_hash": "__text_hash"})
-    own = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+    own = docs.select("doc_id", text_hash(F.col("text")).alias("text_hash"))
     flagged = own.join(found, F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.col("text_hash") == F.col("__text_hash")), "left")
-    n = F.coalesce(F.size("items"), F.lit(0)).cast("long")
     n = F.when(F.col("items").isNull(), F.lit(0)).otherwise(n).cast("long")
     return flagged.select("doc_id", F.col("items").isNotNull().alias("contaminated"), n.alias("n_items"), F.coalesce(F.array_join(F.col("items").cast("array<string>"), ","), F.lit("")).alias("items"))
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from tephra.llm import op1_suffix_dedup, op2_line_frequency, op3_nearest_toxic, op4_seed_extend, op6_lookup_sharding, op8_poisson_mix, op9_spaced_seeds, op10_jaccard_join
+from tephra.llm import op1_suffix_dedup, op2_line_frequency, op3_nearest_toxic, op4_seed_extend, op5_licence_digest, op6_lookup_sharding, op7_cross_entropy, op8_poisson_mix, op9_spaced_seeds, op10_jaccard_join
 
 _MODULES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_line_frequency": op2_line_frequency,
     "op3_nearest_toxic": op3_nearest_toxic,
     "op4_seed_extend": op4_seed_extend,
+    "op5_licence_digest": op5_licence_digest,
     "op6_lookup_sharding": op6_lookup_sharding,
+    "op7_cross_entropy": op7_cross_entropy,
     "op8_poisson_mix": op8_poisson_mix,
     "op9_spaced_seeds": op9_spaced_seeds,
     "op10_jaccard_join": op10_jaccard_join,
