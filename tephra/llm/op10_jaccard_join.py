@@ -10,7 +10,8 @@ A document's set is its distinct 3-word shingles (A-Z as a-z); fewer words are o
    prefixes (n - ceil(t * n) + 2 shingles), so it is enough to index each rare shingle there and, of the frequent
    ones, each pair. Shingles that occur in one class only are indexed by nobody. A set with more than PAIRED frequent
    shingles in its prefix would have too many pairs: it indexes them singly, and the sets that index pairs can be
-   found by it under single shingles too.
+   found by it under single shingles too. Of two sets the smaller meets the other within a shorter prefix
+   (n - ceil(2 * t / (1 + t) * n) + 2), so keys beyond that count for the larger one only.
    A shingle of one class is in no intersection either, so the number of the others bounds what a pair can reach.
 4. Every indexed key is first joined with one pivot class, not with all pairs; links found make components. Only
    classes of one key that aren't yet in one component are then joined with each other. Every candidate pair is
@@ -41,6 +42,8 @@ WORDS, PERCENT = 3, 90
 FREQUENT, PAIRED = 7, 16
 #: Turns in which each key tries one pivot before the classes that are still apart meet.
 PIVOTS = 2
+#: Length of a prefix up to which it goes along to where classes of one key meet, to leave out most pairs there.
+CARRIED = 256
 
 
 def shingle_sets(buf: np.ndarray, off: np.ndarray, n_words: int) -> list[np.ndarray]:
@@ -130,7 +133,7 @@ def _count(table: pa.Table) -> pa.Table:
     return _reply([(bucket, b, bits[i:j].tobytes()) for b, i, j in zip(batch, cut[:-1], cut[1:], strict=True)])
 
 
-INDEXED = "node long, n int, shared int, keys array<long>, kinds array<byte>, single boolean, members array<long>"
+INDEXED = "node long, n int, shared int, keys array<long>, kinds array<byte>, brief array<boolean>, single boolean, prefix array<long>, beyond int, members array<long>"
 
 
 def _index(n: int, n_words: int, percent: int, frequent: int, paired: int):
@@ -152,21 +155,26 @@ def _index(n: int, n_words: int, percent: int, frequent: int, paired: int):
                 continue  # shared by nobody as far as the prefix goes
             first = np.lexsort((s, of))[:prefix]
             t, of = s[first], of[first]
-            rare, common = t[(of > 1) & (of < frequent)], t[of >= frequent]
-            key, kind, single = [mix(rare)], [np.zeros(len(rare), np.int8)], len(common) > paired
+            # a set that is no larger than its partner shares two shingles within this shorter prefix of its own
+            brief = np.arange(prefix) < size + (-2 * percent * size) // (100 + percent) + 2
+            at_rare, at_common = np.flatnonzero((of > 1) & (of < frequent)), np.flatnonzero(of >= frequent)
+            common = t[at_common]
+            key, kind, short, single = [mix(t[at_rare])], [np.zeros(len(at_rare), np.int8)], [brief[at_rare]], len(common) > paired
             if len(common) > 1:
                 if not single:
                     a, b = np.triu_indices(len(common), 1)
                     key.append(mix(common[a] * U64(0x9E3779B97F4A7C15) ^ mix(common[b])))
                     kind.append(np.zeros(len(a), np.int8))
+                    short.append(brief[at_common[b]])
                 key.append(mix(common))
                 kind.append(np.ones(len(common), np.int8))
-            key, kind = np.concatenate(key), np.concatenate(kind)
+                short.append(brief[at_common])
+            key, kind, short = np.concatenate(key), np.concatenate(kind), np.concatenate(short)
             if len(key):
-                rows.append((node, size, int((bits_of > 1).sum()), key.view(np.int64), kind, single, s.view(np.int64)))
-        node, size, shared, key, kind, single, members = zip(*rows, strict=True) if rows else ((),) * 7
+                rows.append((node, size, int((bits_of > 1).sum()), key.view(np.int64), kind, short, single, t[of > 1].view(np.int64) if prefix <= CARRIED else None, size - prefix, s.view(np.int64)))
+        node, size, shared, key, kind, short, single, before, beyond, members = zip(*rows, strict=True) if rows else ((),) * 10
         lists = lambda v, t: pa.array(list(v), pa.list_(t))
-        return pa.table({"node": pa.array(node, pa.int64()), "n": pa.array(size, pa.int32()), "shared": pa.array(shared, pa.int32()), "keys": lists(key, pa.int64()), "kinds": lists(kind, pa.int8()), "single": pa.array(single, pa.bool_()), "members": lists(members, pa.int64())})
+        return pa.table({"node": pa.array(node, pa.int64()), "n": pa.array(size, pa.int32()), "shared": pa.array(shared, pa.int32()), "keys": lists(key, pa.int64()), "kinds": lists(kind, pa.int8()), "brief": lists(short, pa.bool_()), "single": pa.array(single, pa.bool_()), "prefix": lists(before, pa.int64()), "beyond": pa.array(beyond, pa.int32()), "members": lists(members, pa.int64())})
 
     return f
 
@@ -199,12 +207,13 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     right = answers.unionByName(reps, allowMissingColumns=True)
     indexed = own.groupBy("batch").cogroup(right.groupBy("batch")).applyInArrow(_index(n, n_words, percent, frequent, paired), INDEXED).checkpoint()
     sets = indexed.select("node", "members")
-    listed = indexed.select("node", "n", "shared", "single", F.explode(F.arrays_zip("keys", "kinds")).alias("x")).select("node", "n", "shared", "single", F.col("x.keys").alias("key"), F.col("x.kinds").alias("kind"))
+    listed = indexed.select("node", "n", "shared", "single", F.explode(F.arrays_zip("keys", "kinds", "brief")).alias("x")).select("node", "n", "shared", "single", F.col("x.keys").alias("key"), F.col("x.kinds").alias("kind"), F.col("x.brief").alias("brief"))
 
     # under single shingles, sets that index pairs need only meet those that don't
     leads = (F.col("kind") == 0) | F.col("single")
     fits = _fits("n", "shared", "m", "shared_m", percent)
-    met = listed.join(listed.groupBy("key", "kind").agg(F.count("*").alias("c"), F.max(leads).alias("led")).where((F.col("c") > 1) & F.col("led")), ["key", "kind"]).drop("c", "led").checkpoint()
+    shown = listed.groupBy("key", "kind").agg(F.count("*").alias("c"), F.max(leads).alias("led"), F.max("brief").alias("short")).where((F.col("c") > 1) & F.col("led") & F.col("short")).select("key", "kind")
+    met = listed.join(shown, ["key", "kind"]).checkpoint()
     links, tried, apart = None, None, met.withColumn("root", F.col("node"))
     for turn in range(PIVOTS):
         # near copies are nearest to the text they were made from, which has the fewest shingles of its own
@@ -223,8 +232,13 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         split = placed.groupBy("key", "kind").agg(F.min("root").alias("a"), F.max("root").alias("b")).where(F.col("a") != F.col("b")).select("key", "kind")
         apart = placed.join(split, ["key", "kind"]).checkpoint()
 
-    other = apart.select("key", "kind", F.col("single").alias("single_v"), F.col("node").alias("v"), F.col("n").alias("m"), F.col("shared").alias("shared_m"), F.col("root").alias("root_v"))
-    meets = (F.col("node") > F.col("v")) & (F.col("root") != F.col("root_v")) & ((F.col("kind") == 0) | F.col("single") | F.col("single_v"))
+    # shingles in both sets are in both prefixes, or beyond the prefix that ends first
+    apart = apart.join(indexed.select("node", "prefix", "beyond"), "node")
+    other = apart.select("key", "kind", F.col("single").alias("single_v"), F.col("node").alias("v"), F.col("n").alias("m"), F.col("shared").alias("shared_m"), F.col("brief").alias("brief_v"), F.col("root").alias("root_v"), F.col("prefix").alias("prefix_v"), F.col("beyond").alias("beyond_v"))
+    smaller = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("node") < F.col("v")))
+    meets = (F.col("node") > F.col("v")) & (F.col("root") != F.col("root_v")) & ((F.col("kind") == 0) | F.col("single") | F.col("single_v")) & F.when(smaller, F.col("brief")).otherwise(F.col("brief_v"))
+    reach = F.when(F.col("prefix").isNull() | F.col("prefix_v").isNull(), F.least("n", "m")).otherwise(F.size(F.array_intersect("prefix", "prefix_v")) + F.greatest("beyond", "beyond_v"))
+    meets &= reach * 100 >= (F.col("n") + F.col("m") - reach) * percent
     rest = apart.join(other, ["key", "kind"]).where(meets & fits).select(F.col("node").alias("u"), "v").distinct().join(tried, ["u", "v"], "left_anti").checkpoint()
     root = components(links.unionByName(_verified(rest, sets, percent)))
 
