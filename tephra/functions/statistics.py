@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tephra.operators import kernels
 
@@ -24,7 +25,7 @@ def t_of_r(r: Column, n: Column) -> Column:
     return F.when((n > 2) & (F.abs(r) < 1), r * F.sqrt((n - 2) / (1 - r * r)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def p_of_r(r: pd.Series, n: pd.Series) -> pd.Series:
     """Two-sided p of a correlation on n - 2 degrees of freedom, NULL where there are none or abs(r) is 1."""
     return kernels.p_of_r(r.to_numpy(float), n.to_numpy(float))
