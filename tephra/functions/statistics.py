@@ -13,6 +13,14 @@ from tephra.operators import kernels
 Z95 = 1.959963984540054
 
 
+def pearson(x: Column | str, y: Column | str, over=None) -> Column:
+    """Correlation of complete pairs, by group or over a window; NULL, and no error in strict mode, without variance."""
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    a, b = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    own = (lambda e: e.over(over)) if over is not None else (lambda e: e)
+    return own(F.covar_pop(a, b)) / F.nullif(own(F.stddev_pop(a)) * own(F.stddev_pop(b)), F.lit(0.0))
+
+
 def fisher_low(r: Column, n: Column) -> Column:
     return F.when(n > 3, F.tanh(F.atanh(r) - F.lit(Z95) / F.sqrt(n - 3)))
 
@@ -28,7 +36,7 @@ def t_of_r(r: Column, n: Column) -> Column:
 @F.pandas_udf(DoubleType())
 def p_of_r(r: pd.Series, n: pd.Series) -> pd.Series:
     """Two-sided p of a correlation on n - 2 degrees of freedom, NULL where there are none or abs(r) is 1."""
-    return kernels.p_of_r(r.to_numpy(float), n.to_numpy(float))
+    return pd.Series(kernels.p_of_r(r.to_numpy(float), n.to_numpy(float)))
 
 
 def block_length(n: Column) -> Column:

@@ -23,7 +23,7 @@ def correlate(df: DataFrame, x: str, y: str, by: Sequence[str] = (), with_p: boo
     """r, n, interval and p of each pair; r 0 and p 1 where there are under 3 pairs or no variance."""
     n = F.count("*")
     flat = _degenerate(x, y, n)
-    out = _paired(df, x, y).groupBy(*by).agg(F.when(flat, 0.0).otherwise(F.corr(x, y)).alias("r"), n.alias("n"), flat.alias("__flat"))
+    out = _paired(df, x, y).groupBy(*by).agg(F.when(flat, 0.0).otherwise(st.pearson(x, y)).alias("r"), n.alias("n"), flat.alias("__flat"))
     out = out.withColumn("ci_low", F.when(~F.col("__flat"), st.fisher_low(F.col("r"), F.col("n")))).withColumn("ci_high", F.when(~F.col("__flat"), st.fisher_high(F.col("r"), F.col("n"))))
     if with_p:
         out = out.withColumn("p", F.when(F.col("__flat"), 1.0).otherwise(st.p_of_r(F.col("r"), F.col("n").cast("double"))))
@@ -37,11 +37,11 @@ def ccf(df: DataFrame, x: str, y: str, max_lag: int = 8, by: Sequence[str] = (),
     """
     w = ordered(by, date)
     lags = [F.struct(F.lit(k).alias("lag"), (F.lag(x, k).over(w) if k >= 0 else F.lead(x, -k).over(w)).alias("x"), F.col(y).alias("y")) for k in range(-max_lag, max_lag + 1)]
-    long = df.select(*by, F.explode(F.array(*lags)).alias("p")).select(*by, "p.lag", "p.x", "p.y")
+    long = df.select(*by, F.array(*lags).alias("p")).select(*by, F.explode("p").alias("p")).select(*by, "p.lag", "p.x", "p.y")
     both = F.col("x").isNotNull() & F.col("y").isNotNull()
     a, b, n = F.when(both, F.col("x")), F.when(both, F.col("y")), F.count(F.when(both, 1))
     flat = (n < least) | (F.min(a) == F.max(a)) | (F.min(b) == F.max(b))
-    return long.groupBy(*by, "lag").agg(F.when(flat, 0.0).otherwise(F.corr(a, b)).alias("r"), n.alias("n"))
+    return long.groupBy(*by, "lag").agg(F.when(flat, 0.0).otherwise(st.pearson(a, b)).alias("r"), n.alias("n"))
 
 
 def peak(table: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -57,13 +57,13 @@ def autocorrelations(df: DataFrame, value: str, max_lag: int, by: Sequence[str]
     centred = df.where(F.col(value).isNotNull()).withColumn("__c", F.col(value) - F.avg(value).over(own))
     w = ordered(by, date)
     lags = F.array(*[F.struct(F.lit(k).alias("lag"), F.lag("__c", k).over(w).alias("before")) for k in range(1, max_lag + 1)])
-    long = centred.select(*by, "__c", F.explode(lags).alias("p")).select(*by, "__c", "p.lag", "p.before")
+    long = centred.select(*by, "__c", lags.alias("p")).select(*by, "__c", F.explode("p").alias("p")).select(*by, "__c", "p.lag", "p.before")
     return long.groupBy(*by, "lag").agg(F.coalesce(F.sum(F.col("__c") * F.col("before")) / F.nullif(F.sum(F.col("__c") * F.col("__c")), F.lit(0.0)), F.lit(0.0)).alias("rho"))
 
 
 def lag1_by_corr(df: DataFrame, value: str, by: Sequence[str] = (), date: str = "date") -> DataFrame:
     """Lag-1 autocorrelation as the correlation of neighbours, each about its own mean."""
-    return df.where(F.col(value).isNotNull()).withColumn("__b", F.lag(value).over(ordered(by, date))).groupBy(*by).agg(F.corr(value, "__b").alias("lag1"))
+    return df.where(F.col(value).isNotNull()).withColumn("__b", F.lag(value).over(ordered(by, date))).groupBy(*by).agg(st.pearson(value, "__b").alias("lag1"))
 
 
 #: Lags for which the Bartlett window can have weight, up to a million points.
@@ -108,7 +108,7 @@ def matrix(long: DataFrame, name: str = "name", value: str = "value", on: Sequen
     rows = known.join(counts, name, "left_semi").groupBy(*on).agg(F.array_sort(F.collect_list(F.struct(F.col(name).alias("n"), F.col(value).alias("v")))).alias("s"))
     pairs = F.flatten(F.transform("s", lambda a: F.transform(F.filter("s", lambda b: b["n"] > a["n"]), lambda b: F.struct(a["n"].alias("a"), b["n"].alias("b"), a["v"].alias("x"), b["v"].alias("y")))))
     long_pairs = rows.select(F.explode(pairs).alias("p")).select("p.*")
-    return long_pairs.groupBy("a", "b").agg(F.when((F.min("x") != F.max("x")) & (F.min("y") != F.max("y")), F.corr("x", "y")).alias("r"), F.count("*").alias("n"))
+    return long_pairs.groupBy("a", "b").agg(st.pearson("x", "y").alias("r"), F.count("*").alias("n"))
 
 
 def strongest(table: DataFrame, least: float = 0.3, k: int = 15) -> DataFrame:
@@ -123,5 +123,5 @@ def fit_line(df: DataFrame, y: str, x: str, by: Sequence[str] = ()) -> DataFrame
 def levels_relationship(df: DataFrame, residual: str, level: str, target: str, by: Sequence[str] = ()) -> DataFrame:
     """Correlation of levels beside that of residuals, and whether they part (levels down, residuals up)."""
     n = F.count(F.when(F.col(level).isNotNull() & F.col(target).isNotNull(), 1))
-    out = df.groupBy(*by).agg(F.when(n >= 3, F.corr(level, target)).alias("levels_r"), F.corr(residual, target).alias("residual_r"), n.alias("n"))
+    out = df.groupBy(*by).agg(F.when(n >= 3, st.pearson(level, target)).alias("levels_r"), st.pearson(residual, target).alias("residual_r"), n.alias("n"))
     return out.withColumn("decoupled", F.coalesce((F.col("levels_r") < 0) & (F.col("residual_r") > 0), F.lit(False)))

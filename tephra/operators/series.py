@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tephra.functions.calendar import period_key, period_range
+from tephra.functions.statistics import pearson
 
 MEAN = "mean"
 _HOW = {MEAN: F.avg, "sum": F.sum, "min": F.min, "max": F.max, "count": F.count}
@@ -22,9 +23,10 @@ def with_gaps(df: DataFrame, freq: str, by: Sequence[str], date: str = "date") -
 
     Each row spans the labels up to the next row, so the series is read once and joined with nothing.
     """
-    after = F.lead(date).over(ordered(by, date))
-    labels = period_range(F.col(date), F.coalesce(F.date_sub(after, 1), F.col(date)), freq)
-    spread = df.withColumn("__label", F.explode(labels))
+    timed = df.withColumn("__after", F.lead(date).over(ordered(by, date)))
+    until = F.date_sub(F.trunc("__after", "month") if freq == "ME" else F.col("__after"), 1)
+    labels = period_range(F.col(date), F.coalesce(until, F.col(date)), freq)
+    spread = timed.withColumn("__label", F.explode(labels))
     values = [F.when(F.col("__label") == F.col(date), F.col(c)).alias(c) for c in df.columns if c not in (*by, date)]
     return spread.select(*by, F.col("__label").alias(date), *values)
 
@@ -82,8 +84,7 @@ def rolling_corr(df: DataFrame, x: str, y: str, width: int, by: Sequence[str] =
     """Correlation over the last `width` rows, NULL until as many complete pairs are there."""
     w = ordered(by, date).rowsBetween(1 - width, 0)
     both = F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), 1)
-    varies = (F.min(x).over(w) != F.max(x).over(w)) & (F.min(y).over(w) != F.max(y).over(w))
-    return df.withColumn(name, F.when((F.count(both).over(w) == width) & varies, F.corr(x, y).over(w)))
+    return df.withColumn(name, F.when(F.count(both).over(w) == width, pearson(x, y, w)))
 
 
 def climatology(df: DataFrame, value: str, part: Column, name: str, by: Sequence[str] = ()) -> DataFrame:

@@ -74,10 +74,10 @@ def regress_out_loess(spark, d):
     return rounded(tr.regress_out(_with_weather(spark, d), "value", ["blh"], SERIES, "loess").select("date", "residual"))
 
 
-@query("M6a, M6b, M4d", f"WITH {_SG}, o AS (SELECT date, value, (row_number() OVER (ORDER BY date) - 1) / (count(*) OVER () - 1) AS t FROM sg WHERE value IS NOT NULL), r AS (SELECT regr_slope(value, t) AS s, regr_intercept(value, t) AS i FROM o) SELECT sg.date, round(t, 6) AS t, round(i + s * t, 5) AS trend, round(sg.value - i - s * t, 5) AS residual FROM sg LEFT JOIN o USING (date), r")
+@query("M6a, M6b, M4d", f"WITH {_SG}, o AS (SELECT date, value, (row_number() OVER (ORDER BY date) - 1) / (count(*) OVER () - 1) AS t FROM sg WHERE value IS NOT NULL), r AS (SELECT regr_slope(value, t) AS s, regr_intercept(value, t) AS i FROM o) SELECT sg.date, round(t, 6) AS t, round(i + s * t, 2) AS trend, round(sg.value - i - s * t, 3) AS residual FROM sg LEFT JOIN o USING (date), r")
 def linear_trend(spark, d):
     out = ix.linear_trend(fr.signal(spark, d), "value", SERIES)
-    return rounded(rounded(out.select("date", "t", "trend", "residual"), 6).withColumn("trend", F.round("trend", 5)).withColumn("residual", F.round("residual", 5)))
+    return rounded(rounded(out.select("date", "t", "trend", "residual"), 6).withColumn("trend", F.round("trend", 2)).withColumn("residual", F.round("residual", 3)))
 
 
 @query("M6, M6d, M4d, M8")

@@ -97,19 +97,19 @@ def observation_ids(spark, d):
 
 
 @query("J1, M23, F8", f"""WITH {fr.SIGNAL_DAYS}, {fr.TARGET_DAYS}, sv AS (SELECT date, avg(value) AS v, avg((l_discount > 0.02)::INT) AS cov FROM sd GROUP BY 1), sc AS (SELECT date, CASE WHEN NOT cov < 0.7 THEN v END AS value FROM sv),
-{fr.regular('sg', 'sc', {'value': 'avg(value)'})}, {fr.regular('tg', 'td', {'value': 'avg(value)'})} SELECT date, round(sg.value, 6) AS index, round(tg.value, 6) AS benchmark FROM sg JOIN tg USING (date) WHERE sg.value IS NOT NULL AND tg.value IS NOT NULL""")
+{fr.regular('sg', 'sc', {'value': 'avg(value)'})}, {fr.regular('tg', 'td', {'value': 'avg(value)'})} SELECT date, round(sg.value, 5) AS index, round(tg.value, 5) AS benchmark FROM sg JOIN tg USING (date) WHERE sg.value IS NOT NULL AND tg.value IS NOT NULL""")
 def align_screened(spark, d):
     days = fr.signal_days(spark, d).groupBy("date").agg(F.avg("value").alias("v"), F.avg((F.col("l_discount") > 0.02).cast("double")).alias("cov"))
     screened = days.select("date", cl.coverage_screen(F.col("v"), F.col("cov"), 0.7).alias("value"))
     left = op.resample(screened, "W", ["value"]).withColumnRenamed("value", "index")
     right = op.resample(fr.target_days(spark, d), "W", ["value"]).withColumnRenamed("value", "benchmark")
-    return rounded(op.align(left, right))
+    return rounded(op.align(left, right), 5)
 
 
-@query("J2, J3, J4", f"""WITH {fr.pair_sql()}, {fr.weather_sql()} SELECT date, round(sg.value, 6) AS signal, round(tg.value, 6) AS target, round(we.blh, 6) AS blh FROM sg FULL JOIN tg USING (date) FULL JOIN we USING (date)""")
+@query("J2, J3, J4", f"""WITH {fr.pair_sql()}, {fr.weather_sql()} SELECT date, round(sg.value, 5) AS signal, round(tg.value, 5) AS target, round(we.blh, 5) AS blh FROM sg FULL JOIN tg USING (date) FULL JOIN we USING (date)""")
 def master_frame(spark, d):
     parts = [fr.signal(spark, d).select("date", F.col("value").alias("signal")), fr.target(spark, d).select("date", F.col("value").alias("target")), fr.weather(spark, d).select("date", "blh")]
-    return rounded(op.outer_align(parts))
+    return rounded(op.outer_align(parts), 5)
 
 
 @query("W3, A15", f"""WITH {fr.pair_sql()}, c AS (SELECT date, CASE WHEN count(*) OVER w = 18 THEN corr(x, y) OVER w END AS r FROM pr WINDOW w AS (ORDER BY date ROWS BETWEEN 17 PRECEDING AND CURRENT ROW))
