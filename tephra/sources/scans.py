@@ -22,7 +22,7 @@ COORDINATES = {"lon": ("lon", "x", "longitude"), "lat": ("lat", "y", "latitude")
 
 def snapshot_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line_no, value) of a text file. One file is one task here, as line numbers are an order over all of it."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\r?\n")).alias("line_no", "value"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("line_no", "value"))
     return lines.where(F.length(F.trim("value")) > 0)
 
 
