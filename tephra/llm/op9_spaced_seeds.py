@@ -101,7 +101,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).withColumnsRenamed({"doc_id": "__doc_id", "text_hash": "__text_hash"})
     own = docs.select("doc_id", text_hash(F.col("text")).alias("text_hash"))
     flagged = own.join(found, F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.col("text_hash") == F.col("__text_hash")), "left")
-    n = F.when(F.col("items").isNull(), F.lit(0)).otherwise(n).cast("long")
+    n = F.when(F.col("items").isNull(), F.lit(0)).otherwise(F.size("items")).cast("long")
     return flagged.select("doc_id", F.col("items").isNotNull().alias("contaminated"), n.alias("n_items"), F.coalesce(F.array_join(F.col("items").cast("array<string>"), ","), F.lit("")).alias("items"))
 
 
