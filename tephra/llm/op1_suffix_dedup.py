@@ -208,7 +208,7 @@ def _index(width: int, index_bytes: int, index_texts: int):
                 j += 1
             own = order[cut[i] : cut[j]]
             if len(own) > 1:
-                index = RunIndex(np.concatenate([body[off[o] : off[o] + length[o]] for o in own]), np.append(0, np.cumsum(length[own])), starts[own], width)
+                index = RunIndex(np.concatenate([body[off[o] : off[o] + length[o]] for o in own]), np.append(0, np.cumsum(length[own])), width)
                 hit, at = index.repeated(), 0
                 for o in own:
                     found[begin[o] : begin[o] + starts[o]] = hit[at : at + starts[o]]

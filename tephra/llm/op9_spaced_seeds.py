@@ -4,8 +4,9 @@ A document is contaminated by a benchmark item if `window` consecutive tokens of
 tokens of the item and at most `substitutions` of them differ. Tokens are runs of letters and digits, lower-cased.
 
 Seeds are fixed masks: a mask reads some positions of its span and ignores the others, so a substitution at an
-ignored position leaves the seed intact. The masks are checked to leave a seed in every window for every choice of
-substitutions; finding is complete, and every hit is verified token by token around the seed.
+ignored position leaves the seed intact. Items have a seed of each mask at every token, documents at every STRIDE-th.
+The masks are checked to leave a seed in every window for every choice of substitutions and every place of the
+window in its document; finding is complete, and every hit is verified token by token around the seed.
 
 The seeds of the items are broadcast in blocks of BLOCK_SEEDS at most, whose size is counted first; documents stream
 past them in one stage, with no shuffle of texts or seeds. A longer benchmark takes more blocks, not larger ones.
@@ -25,25 +26,33 @@ from pyspark.sql import functions as F
 from tephra.llm.hashing import text_hash
 
 WINDOW, SUBSTITUTIONS = 12, 2
-MASKS = ("10001111", "110100011")
+MASKS = ("11011", "111001")
+#: Documents have a seed of each mask at every STRIDE-th token, items at every token.
+STRIDE = 2
 #: Seeds of items in one broadcast; with an item's token hashes, well under 200 MB.
 BLOCK_SEEDS = 200_000
 
 
-def complete(masks: Sequence[str], window: int, substitutions: int) -> bool:
-    """Whether every choice of substituted positions in a window leaves some mask at some place intact."""
-    places = [{at + i for i, c in enumerate(m) if c == "1"} for m in masks for at in range(window - len(m) + 1)]
-    return all(any(not place & set(gone) for place in places) for gone in combinations(range(window), substitutions))
+def complete(masks: Sequence[str], window: int, substitutions: int, stride: int = 1) -> bool:
+    """Whether every choice of substituted positions in a window leaves some mask at some place intact.
+
+    stride: masks stand at every stride-th token only, wherever the window begins.
+    """
+    for begin in range(stride):
+        places = [{at + i for i, c in enumerate(m) if c == "1"} for m in masks for at in range(window - len(m) + 1) if (at + begin) % stride == 0]
+        if not all(any(not place & set(gone) for place in places) for gone in combinations(range(window), substitutions)):
+            return False
+    return True
 
 
 def _tokens(text: Column) -> Column:
     return F.transform(F.array_remove(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[^\p{L}\p{N}]+"), ""), lambda w: F.xxhash64(w))
 
 
-def _seeds(tokens: Column, number: int, mask: str) -> Column:
-    """Hash of the positions that the mask reads, by start."""
+def _seeds(tokens: Column, number: int, mask: str, stride: int = 1) -> Column:
+    """Hash of the positions that the mask reads, at every stride-th start."""
     read = [i for i, c in enumerate(mask) if c == "1"]
-    every = F.transform(F.sequence(F.lit(0), F.size(tokens) - len(mask)), lambda s: F.xxhash64(F.lit(number), *[F.get(tokens, s + i) for i in read]))
+    every = F.transform(F.sequence(F.lit(0), F.size(tokens) - len(mask), F.lit(stride)), lambda s: F.xxhash64(F.lit(number), *[F.get(tokens, s + i) for i in read]))
     return F.when(F.size(tokens) >= len(mask), every).otherwise(F.array().cast("array<bigint>"))
 
 
@@ -58,20 +67,20 @@ def _numbered(mask: int):
     return lambda seed, start: F.struct(seed.alias("seed"), start.alias("at"), F.lit(mask).alias("mask"))
 
 
-def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", *, window: int = WINDOW, substitutions: int = SUBSTITUTIONS, masks: Sequence[str] = MASKS, block_seeds: int = BLOCK_SEEDS) -> DataFrame:
+def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", *, window: int = WINDOW, substitutions: int = SUBSTITUTIONS, masks: Sequence[str] = MASKS, stride: int = STRIDE, block_seeds: int = BLOCK_SEEDS) -> DataFrame:
     """(doc_id, text_hash, items): each contaminated document and its items in order. text_hash: xxhash64 of the text."""
-    if not complete(masks, window, substitutions):
+    if not complete(masks, window, substitutions, stride):
         raise ValueError(f"the masks {masks} miss some {substitutions} substitutions in {window} tokens")
     known = items.select(F.col(item_id).cast("long").alias("item_id"), _tokens(F.col(item_text)).alias("item")).where(F.size("item") >= window)
     blocks = max(1, -(-(known.agg(F.sum(F.size("item"))).first()[0] or 0) * len(masks) // block_seeds))
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_hash(F.col(text)).alias("text_hash"), _tokens(F.col(text)).alias("tokens")).where(F.size("tokens") >= window)
     every = lambda tokens: F.flatten(F.array(*[F.transform(_seeds(tokens, m, mask), _numbered(m)) for m, mask in enumerate(masks)]))
     # seeds of documents stay bare numbers: their places tell mask and start
-    parts = [_seeds(F.col("tokens"), m, mask) for m, mask in enumerate(masks)]
+    parts = [_seeds(F.col("tokens"), m, mask, stride) for m, mask in enumerate(masks)]
     stream = own.select("doc_id", "text_hash", "tokens", F.posexplode(F.concat(*parts)).alias("place", "seed"))
     begins = [F.lit(0)]
     for mask in masks[:-1]:
-        begins.append(begins[-1] + F.greatest(F.size("tokens") - len(mask) + 1, F.lit(0)))
+        begins.append(begins[-1] + F.greatest(F.floor((F.size("tokens") - len(mask)) / stride).cast("int") + 1, F.lit(0)))
     begin = F.lit(0)
     for m in range(len(masks)):
         begin = F.when(F.col("mask") == m, begins[m]).otherwise(begin)
@@ -79,7 +88,7 @@ def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: st
     for b in range(blocks):
         some = known.where(F.pmod(F.xxhash64("item_id", "item"), F.lit(blocks)) == b)
         some = some.select("item_id", "item", F.explode(every(F.col("item"))).alias("x")).select("item_id", "item", F.col("x.seed").alias("seed"), F.col("x.at").alias("item_at"), F.col("x.mask").alias("mask"))
-        hits = stream.join(F.broadcast(some), "seed").withColumn("at", F.col("place") - begin)
+        hits = stream.join(F.broadcast(some), "seed").withColumn("at", (F.col("place") - begin) * stride)
         verified = F.lit(False)
         for m, mask in enumerate(masks):
             verified = F.when(F.col("mask") == m, _agree(F.col("tokens"), F.col("at"), F.col("item"), F.col("item_at"), len(mask), window, substitutions)).otherwise(verified)

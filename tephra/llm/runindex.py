@@ -14,12 +14,15 @@ U64 = np.uint64
 
 
 class RunIndex:
-    """texts: bytes of all texts in one array; off: where each starts, with the end; starts: of each text, how many
-    starts count (the first ones; each has at least `width` symbols before its text ends)."""
+    """texts: bytes of all texts in one array; off: where each starts, with the end.
 
-    def __init__(self, texts: np.ndarray, off: np.ndarray, starts: np.ndarray, width: int):
-        n_texts = len(starts)
+    Every start with `width` symbols before its text's end counts; texts have one at least. Matches of `width` symbols
+    and more are exact; of a shorter one only that it is shorter.
+    """
+
+    def __init__(self, texts: np.ndarray, off: np.ndarray, width: int):
         length = np.diff(off)
+        starts, n_texts = length - width + 1, len(length)
         # every text ends with a symbol of its own, so no match runs over an end
         self.off = off[:-1] + np.arange(n_texts)
         n = len(texts) + n_texts
