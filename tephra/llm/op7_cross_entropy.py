@@ -34,6 +34,9 @@ PRIOR, LEAST = 2.0, 2
 REQUEST = "bucket int, batch int, data binary, n_all long, n_target long, n_known long, n_rare long, rare_target long"
 
 
+SIZES = ("n_all", "n_target", "n_known", "n_rare", "rare_target")
+
+
 def _reply(rows: list[tuple]) -> pa.Table:
     names = [c.split() for c in REQUEST.split(", ")]
     kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
@@ -126,8 +129,9 @@ def _losses(c: Counts, total: np.ndarray, size: int, n_known: int, n_rare: int,
     return -np.log2(p)
 
 
-def _score(n: int, sizes: dict[str, int], prior: float, least: int):
+def _score(n: int, prior: float, least: int):
     def f(docs: pa.Table, right: pa.Table) -> pa.Table:
+        sizes = {c: sum(v for v in right[c].to_pylist() if v) for c in SIZES}
         good = right.filter(pa.compute.is_valid(right["doc_id"]))
         c = Counts(docs, good)
         answers = right.filter(pa.compute.is_valid(right["data"]))
@@ -153,11 +157,11 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame, doc_id: str = "
     own, n = batches(docs, doc_id, text, by_id=True)
     good = labels.where((F.col(label) == 1) & F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id")).distinct()
     good = good.select(batch_of(F.xxhash64("doc_id"), n).alias("batch"), "doc_id")
-    first = own.groupBy("batch").cogroup(good.groupBy("batch")).applyInArrow(_ask(n), REQUEST).groupBy("bucket").applyInArrow(_total(least), REQUEST).checkpoint()
-    stats = [c.split()[0] for c in REQUEST.split(", ")][3:]
-    sizes = {c: v or 0 for c, v in first.agg(*[F.sum(c).alias(c) for c in stats]).first().asDict().items()}
-    right = first.select("bucket", "batch", "data").unionByName(good, allowMissingColumns=True)
-    return own.groupBy("batch").cogroup(right.groupBy("batch")).applyInArrow(_score(n, sizes, prior, least), "doc_id long, n_words long, target_bits double, background_bits double, score double")
+    first = own.groupBy("batch").cogroup(good.groupBy("batch")).applyInArrow(_ask(n), REQUEST).groupBy("bucket").applyInArrow(_total(least), REQUEST)
+    # the sizes of the models go to every batch as a row; one plan, so that the texts are dealt out once
+    sizes = first.agg(*[F.sum(c).alias(c) for c in SIZES]).withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    right = first.select("bucket", "batch", "data").unionByName(good, allowMissingColumns=True).unionByName(sizes, allowMissingColumns=True)
+    return own.groupBy("batch").cogroup(right.groupBy("batch")).applyInArrow(_score(n, prior, least), "doc_id long, n_words long, target_bits double, background_bits double, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
