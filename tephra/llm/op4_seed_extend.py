@@ -154,7 +154,7 @@ def seed_extend_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     """(doc_id, n_words, n_removed, kept_sha256, n_repeats) of every row of `docs`; n_repeats: maximal runs removed."""
     own, n = batches(docs, doc_id, text)
     first = own.groupBy("batch").applyInArrow(_ask(n, width, k), REQUEST).groupBy("bucket").applyInArrow(_meet, REQUEST)
-    first = first.checkpoint()  # read twice
+    # read twice in one plan, which deals the texts and the questions out once
     second = own.groupBy("batch").cogroup(first.groupBy("batch")).applyInArrow(_extend(n, width, k), REQUEST).groupBy("bucket").applyInArrow(_smallest, REQUEST)
     return own.groupBy("batch").cogroup(first.unionByName(second).groupBy("batch")).applyInArrow(_remove(n, width, k), "doc_id long, n_words long, n_removed long, kept_sha256 string, n_repeats long")
 
