@@ -212,14 +212,15 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     # under single shingles, sets that index pairs need only meet those that don't
     leads = (F.col("kind") == 0) | F.col("single")
     fits = _fits("n", "shared", "m", "shared_m", percent)
-    shown = listed.groupBy("key", "kind").agg(F.count("*").alias("c"), F.max(leads).alias("led"), F.max("brief").alias("short")).where((F.col("c") > 1) & F.col("led") & F.col("short")).select("key", "kind")
+    # what is counted by key is written before it is joined, so that a key with many rows can be split in the join
+    shown = listed.groupBy("key", "kind").agg(F.count("*").alias("c"), F.max(leads).alias("led"), F.max("brief").alias("short")).where((F.col("c") > 1) & F.col("led") & F.col("short")).select("key", "kind").checkpoint()
     met = listed.join(shown, ["key", "kind"]).checkpoint()
     links, tried, apart = None, None, met.withColumn("root", F.col("node"))
     for turn in range(PIVOTS):
         # near copies are nearest to the text they were made from, which has the fewest shingles of its own
         order = F.struct(F.col("n") - F.col("shared"), F.xxhash64("node", F.lit(turn)))
         pivot = F.min(F.when(leads, F.struct(order.alias("o"), F.col("node").alias("v"), F.col("n").alias("m"), F.col("shared").alias("shared_m"), F.col("root").alias("root_v")))).alias("pivot")
-        pivots = apart.groupBy("key", "kind").agg(pivot).select("key", "kind", "pivot.*").drop("o")
+        pivots = apart.groupBy("key", "kind").agg(pivot).select("key", "kind", "pivot.*").drop("o").checkpoint()
         stars = apart.join(pivots, ["key", "kind"]).where((F.col("root") != F.col("root_v")) & fits).select(F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v")).distinct()
         if tried is not None:
             stars = stars.join(tried, ["u", "v"], "left_anti")
@@ -229,7 +230,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         root = components(links)
         # keys whose classes are not all in one component yet
         placed = met.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        split = placed.groupBy("key", "kind").agg(F.min("root").alias("a"), F.max("root").alias("b")).where(F.col("a") != F.col("b")).select("key", "kind")
+        split = placed.groupBy("key", "kind").agg(F.min("root").alias("a"), F.max("root").alias("b")).where(F.col("a") != F.col("b")).select("key", "kind").checkpoint()
         apart = placed.join(split, ["key", "kind"]).checkpoint()
 
     # shingles in both sets are in both prefixes, or beyond the prefix that ends first
