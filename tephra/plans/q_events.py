@@ -113,6 +113,19 @@ def match_summary(spark, d):
     return rounded(e.conclusion(e.match_summary(*_matched(spark, d))))
 
 
+@query("Q5, M33", f"""WITH RECURSIVE {_MATCH}, su AS (SELECT (SELECT count(*) FROM ev) AS n_no2, (SELECT count(*) FROM po) AS n_prod, count(*) AS n_matched, median(lead_days) AS median_lead_days, avg((lead_days > 0)::INT) AS lead_positive_frac FROM ma)
+SELECT n_no2, n_prod, n_matched, round(median_lead_days, 6) AS median_lead_days, CASE WHEN n_matched = 0 OR n_matched / n_no2 < 0.3 THEN 'null' WHEN median_lead_days > 1 AND lead_positive_frac >= 0.5 THEN 'lead' ELSE 'coincident' END AS conclusion FROM su""")
+def catalyst_run(spark, d):
+    """A whole event study, up to its summary."""
+    from tephra.config import CatalystConfig
+    from tephra.plans.pipelines import catalyst
+
+    residual = fr.signal(spark, d).withColumnRenamed("value", "residual_activity")
+    cfg = CatalystConfig(z_thresh=1.0, match_window=3, min_events=1)
+    out = catalyst(residual, fr.target(spark, d), None, _calendar(spark), None, cfg)["summary"]
+    return rounded(out.select("n_no2", "n_prod", "n_matched", "median_lead_days", "conclusion"))
+
+
 @query("F18", f"WITH RECURSIVE {_MATCH} SELECT date, direction, date IN (SELECT no2_date FROM ma) AS confirmed FROM ev")
 def confirmed_events(spark, d):
     found, _, matched = _matched(spark, d)

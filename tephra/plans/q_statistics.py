@@ -52,6 +52,18 @@ def validation_conclusion(spark, d):
     return both.select(st.lead_conclusion(beyond, F.col("peak_r"), F.col("peak_lag"), (0.5, 0.75)).alias("conclusion"), st.bar_class(F.col("peak_r"), (0.5, 0.75)).alias("bar"))
 
 
+@query("Q4, M33, K5", f"WITH {_CCF}, p AS (SELECT arg_max(lag, (abs(r), -lag)) AS l, arg_max(r, (abs(r), -lag)) AS pr, max(r) FILTER (lag = 0) AS r, max(n) FILTER (lag = 0) AS n FROM cc) SELECT round(r, 6) AS r, n, {_FISHER}, l::INT AS peak_lag, round(pr, 6) AS peak_r, round(1.96 / sqrt(n), 6) AS band, CASE WHEN NOT abs(r * sqrt((n - 2) / (1 - r * r))) > 1.9670 THEN 'indeterminate' WHEN r > 0 THEN 'positive' ELSE 'negative' END AS sign FROM p")
+def validation_run(spark, d):
+    """A whole validation as the one row of its payload."""
+    from tephra.plans.pipelines import validate
+
+    index, target = fr.signal(spark, d).select("date", F.col("value").alias("index_value")), fr.target(spark, d).select("date", "value")
+    out = validate(index, target)
+    names = ("r", "n", "ci_low", "ci_high", "peak_lag", "peak_r", "band", "sign")
+    row = spark.createDataFrame([tuple(out[c] for c in names)], "r double, n long, ci_low double, ci_high double, peak_lag int, peak_r double, band double, sign string")
+    return rounded(row)
+
+
 _ACF = "cx AS (SELECT date, x - avg(x) OVER () AS c FROM pr), la AS (SELECT k, c, lag(c, k) OVER (PARTITION BY k ORDER BY date) AS b FROM cx, (SELECT unnest(range(1, 6))::INT AS k)), ac AS (SELECT k AS lag, sum(c * b) / sum(c * c) AS rho FROM la GROUP BY 1)"
 
 
