@@ -28,14 +28,14 @@ def batch_of(key: Column, n: int) -> Column:
     return F.pmod(key, F.lit(n)).cast("int")
 
 
-def batches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", by_id: bool = False) -> tuple[DataFrame, int]:
+def batches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", by_id: bool = False, most: int = BATCH_BYTES) -> tuple[DataFrame, int]:
     """(batch, doc_id, text) of every row and the number of batches, from the corpus' own size.
 
-    by_id: the batch of a doc_id is batch_of(xxhash64(doc_id), n), so that other tables can be dealt alike.
+    by_id: the batch of a doc_id is batch_of(xxhash64(doc_id), n), so that other tables can be dealt alike. most: text bytes of a batch.
     """
     folder(docs.sparkSession)
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    n = max(1, math.ceil(total / BATCH_BYTES), min(FEW, math.ceil(total / SMALL_BYTES)))
+    n = max(1, math.ceil(total / most), min(FEW, math.ceil(total / SMALL_BYTES)))
     parts = [F.col(doc_id)] if by_id else [F.col(doc_id), F.col(text)]
     key = batch_of(F.xxhash64(*parts), n)
     if by_id:

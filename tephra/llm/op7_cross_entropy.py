@@ -31,6 +31,8 @@ from tephra.llm.exchange import batch_of, batches, slices
 from tephra.llm.text import U64, mix, planes, tokens, unplanes, utf8
 
 PRIOR, LEAST = 2.0, 2
+#: Text bytes of a batch: words and bigrams take more memory than the anchors of other operators.
+BATCH = 4 << 20
 REQUEST = "bucket int, batch int, data binary, n_all long, n_target long, n_known long, n_rare long, rare_target long"
 
 
@@ -154,7 +156,7 @@ def _score(n: int, prior: float, least: int):
 
 def cross_entropy_difference(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", prior: float = PRIOR, least: int = LEAST) -> DataFrame:
     """(doc_id, n_words, target_bits, background_bits, score) of every row of `docs`."""
-    own, n = batches(docs, doc_id, text, by_id=True)
+    own, n = batches(docs, doc_id, text, by_id=True, most=BATCH)
     good = labels.where((F.col(label) == 1) & F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id")).distinct()
     good = good.select(batch_of(F.xxhash64("doc_id"), n).alias("batch"), "doc_id")
     first = own.groupBy("batch").cogroup(good.groupBy("batch")).applyInArrow(_ask(n), REQUEST).groupBy("bucket").applyInArrow(_total(least), REQUEST)
