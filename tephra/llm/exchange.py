@@ -4,7 +4,9 @@ Counting a hash over a corpus as one row each costs a shuffle of rows and puts a
 Here a batch of documents sends each hash once, packed with the others of the same bucket into one value, so
 the most frequent hash reaches its bucket at most once from each batch, whatever its count. The bucket answers
 entry by entry, in the order of the request; the batch, which makes its request anew from the same documents,
-needs no hashes back. All three steps are plain stages over shuffled files: a lost executor's part is redone.
+needs no hashes back. A bucket gets at most one value from each batch and none without hashes, so there are never
+more values than there are distinct hashes in batches, however many batches meet however many buckets. All three
+steps are plain stages over shuffled files: a lost executor's part is redone.
 """
 
 from __future__ import annotations

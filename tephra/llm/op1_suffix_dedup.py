@@ -23,9 +23,8 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tephra.llm.exchange import batches, bucket_of, slices
+from tephra.llm.exchange import batches, slices
 from tephra.llm.runindex import RunIndex
 from tephra.llm.text import U64, VALUE, Hashes, anchors, chunks, covered, mix, planes, unplanes, utf8
 
@@ -69,10 +68,6 @@ class Contexts:
         self.group = np.cumsum(self.new) - 1
 
 
-def _table(**columns) -> pa.Table:
-    return pa.table(columns)
-
-
 def _answers(table: pa.Table, kind: int) -> dict[int, bytes]:
     out = {}
     for k, bucket, data in zip(table["kind"].to_pylist(), table["bucket"].to_pylist(), table["data"].to_pylist(), strict=True):
@@ -280,11 +275,10 @@ def _remove(n: int, width: int, k: int):
 def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, k: int = K, hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row of `docs`."""
     own, n = batches(docs, doc_id, text)
-    by = lambda df, *c: df.groupBy(*c)
-    first = by(by(own, "batch").applyInArrow(_ask(n, width, k), REQUEST), "bucket").applyInArrow(_judge(hot), REQUEST)
+    first = own.groupBy("batch").applyInArrow(_ask(n, width, k), REQUEST).groupBy("bucket").applyInArrow(_judge(hot), REQUEST)
     # read twice in one plan, which deals the texts and the questions out once
-    second = by(by(own, "batch").cogroup(by(first, "batch")).applyInArrow(_send(n, width, k), REQUEST), "kind", "bucket").applyInArrow(_index(width, INDEX_BYTES, INDEX_TEXTS), REQUEST)
-    return by(own, "batch").cogroup(by(first.unionByName(second), "batch")).applyInArrow(_remove(n, width, k), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    second = own.groupBy("batch").cogroup(first.groupBy("batch")).applyInArrow(_send(n, width, k), REQUEST).groupBy("kind", "bucket").applyInArrow(_index(width, INDEX_BYTES, INDEX_TEXTS), REQUEST)
+    return own.groupBy("batch").cogroup(first.unionByName(second).groupBy("batch")).applyInArrow(_remove(n, width, k), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
