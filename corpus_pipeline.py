@@ -29,7 +29,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights, in one global order."""
-    return op8_poisson_mix.poisson_mix(docs).select(*docs.columns)
+    return op8_poisson_mix.poisson_mix(docs, most_rate=None).select(*docs.columns)
 
 
 def placement(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,6 +9,10 @@ way to small ones; `total` is the expected number of rows, by default that of th
 Rates are one row for each source. Up to BROADCAST_SOURCES of them are broadcast, counted first; beyond that they
 are joined with SALTS copies of each, so that a source with a third of all rows goes to SALTS tasks.
 
+Up to a rate of DIRECT_RATE the distribution starts at count 0 with exp(-rate); beyond, it starts 12 standard deviations
+below the rate, as multiples of its first term divided by their sum, so no rate underflows. The query and the pipeline
+serve every rate; a call that doesn't say so is refused over MOST_RATE.
+
 A null source and '' are one source. Sources without a given weight, or with a weight that isn't above 0, are left
 out, as are given sources without documents. Rows that repeat a doc_id draw alike. A null doc_id draws as ''. An empty
 table stays empty. Columns of the input named `copy_no` or `shuffle_key` are replaced.
@@ -24,11 +28,13 @@ from tephra.llm.hashing import BITS, number, number_sql
 SEED, TEMPER = "mix-1", 0.5
 BROADCAST_SOURCES, SALTS = 20_000, 64
 #: Rates up to this have a Poisson distribution that doubles hold from count 0 on.
+DIRECT_RATE = 500
+#: Mean repetition over which a call of the operator is refused unless it asks for every rate (most_rate=None).
 MOST_RATE = 500
 
 
-def rates(docs: DataFrame, weights: DataFrame | None, source: str, temper: float, total: int | None) -> DataFrame:
-    """(__source, __cdf): the distribution of each source up to where it is 1."""
+def rates(docs: DataFrame, weights: DataFrame | None, source: str, temper: float, total: int | None, most_rate: float | None = None) -> DataFrame:
+    """(__source, __least, __cdf): the distribution of each source from the count __least on, up to where it is 1."""
     sizes = docs.groupBy(F.coalesce(F.col(source).cast("string"), F.lit("")).alias("__source")).agg(F.count("*").alias("__n"))
     if weights is None:
         weighed = sizes.withColumn("__w", F.pow(F.col("__n").cast("double"), F.lit(float(temper))))
@@ -38,18 +44,27 @@ def rates(docs: DataFrame, weights: DataFrame | None, source: str, temper: float
     all_of = weighed.agg(F.sum("__w").alias("__all"), F.sum("__n").alias("__rows"))
     rate = (F.lit(float(total)) if total is not None else F.col("__rows")) * F.col("__w") / F.col("__all") / F.col("__n")
     out = weighed.crossJoin(F.broadcast(all_of)).select("__source", rate.alias("__rate"))  # one row on the right
-    checked = F.when(F.col("__rate") <= MOST_RATE, F.col("__rate")).otherwise(F.raise_error(F.concat(F.lit("rate over the most allowed for source "), F.col("__source"))).cast("double"))
-    out = out.withColumn("__rate", checked)
+    if most_rate is not None:
+        checked = F.when(F.col("__rate") <= most_rate, F.col("__rate")).otherwise(F.raise_error(F.concat(F.lit("rate over the most allowed for source "), F.col("__source"))).cast("double"))
+        out = out.withColumn("__rate", checked)
     # terms until the rest is far below 2 ** -BITS
-    counts = F.sequence(F.lit(0), (F.col("__rate") + 12 * F.sqrt("__rate") + 30).cast("int"))
+    reach = 12 * F.sqrt("__rate") + 30
+    high = F.col("__rate") > DIRECT_RATE
+    out = out.withColumn("__least", F.when(high, (F.col("__rate") - reach).cast("long")).otherwise(F.lit(0).cast("long")))
+    counts = F.sequence("__least", (F.col("__rate") + reach).cast("long"))
     step = lambda a, k: F.struct((a["term"] * F.col("__rate") / (k + 1)).alias("term"), (a["sum"] + a["term"]).alias("sum"), F.concat(a["cdf"], F.array(a["sum"] + a["term"])).alias("cdf"))
-    start = F.struct(F.exp(-F.col("__rate")).alias("term"), F.lit(0.0).alias("sum"), F.array().cast("array<double>").alias("cdf"))
-    return out.select("__source", F.aggregate(counts, start, step, lambda a: a["cdf"]).alias("__cdf"))
+    # beyond DIRECT_RATE exp(-rate) may be 0: terms are multiples of the least one, and their sum stands for 1
+    start = F.struct(F.when(high, F.lit(1.0)).otherwise(F.exp(-F.col("__rate"))).alias("term"), F.lit(0.0).alias("sum"), F.array().cast("array<double>").alias("cdf"))
+    cdf = F.aggregate(counts, start, step, lambda a: F.when(high, F.transform(a["cdf"], lambda c: c / a["sum"])).otherwise(a["cdf"]))
+    return out.select("__source", "__least", cdf.alias("__cdf"))
+
 
+def poisson_mix(docs: DataFrame, weights: DataFrame | None = None, doc_id: str = "doc_id", source: str = "source", *, seed: str = SEED, temper: float = TEMPER, total: int | None = None, broadcast_sources: int = BROADCAST_SOURCES, salts: int = SALTS, most_rate: float | None = MOST_RATE) -> DataFrame:
+    """Copies of the rows of `docs` in global order, with copy_no (from 1) and shuffle_key. weights: (source, weight).
 
-def poisson_mix(docs: DataFrame, weights: DataFrame | None = None, doc_id: str = "doc_id", source: str = "source", *, seed: str = SEED, temper: float = TEMPER, total: int | None = None, broadcast_sources: int = BROADCAST_SOURCES, salts: int = SALTS) -> DataFrame:
-    """Copies of the rows of `docs` in global order, with copy_no (from 1) and shuffle_key. weights: (source, weight)."""
-    by_source = rates(docs, weights, source, temper, total)
+    most_rate: a source with a larger mean repetition is refused; None serves every rate.
+    """
+    by_source = rates(docs, weights, source, temper, total, most_rate)
     own = docs.drop("copy_no", "shuffle_key").withColumn("__source", F.coalesce(F.col(source).cast("string"), F.lit("")))
     if docs.select(F.coalesce(F.col(source).cast("string"), F.lit("")).alias("s")).distinct().limit(broadcast_sources + 1).count() <= broadcast_sources:
         drawn = own.join(F.broadcast(by_source), "__source")
@@ -58,14 +73,15 @@ def poisson_mix(docs: DataFrame, weights: DataFrame | None = None, doc_id: str =
         drawn = own.join(by_source.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>"))), ["__source", "__salt"]).drop("__salt")
     u = number(F.lit(seed), F.col(doc_id)) / float(1 << BITS)
     drawn = drawn.withColumn("__u", u)
-    count = F.size(F.filter("__cdf", lambda c: c <= F.col("__u")))
+    below = F.size(F.filter("__cdf", lambda c: c <= F.col("__u")))
+    count = (F.col("__least") + below).cast("int")
     copies = drawn.withColumn("__count", count).where(F.col("__count") > 0).withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("__count"))))
     copies = copies.withColumn("shuffle_key", number(F.lit(seed), F.lit("order"), F.col(doc_id), F.col("copy_no")))
-    return copies.drop("__source", "__cdf", "__u", "__count").orderBy("shuffle_key", doc_id, "copy_no")
+    return copies.drop("__source", "__least", "__cdf", "__u", "__count").orderBy("shuffle_key", doc_id, "copy_no")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return poisson_mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return poisson_mix(spark.read.parquet(f"{sf_dir}/documents.parquet"), most_rate=None)
 
 
 ORACLE = f"""

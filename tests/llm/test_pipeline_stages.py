@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import corpus_pipeline
+from tephra.llm import op8_poisson_mix as op8
 from tests.llm import brute
 
 
@@ -53,3 +55,20 @@ def test_near_duplicates_stage_takes_five_words_at_four_fifths(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
     assert got == firsts(5, 80) and len(got) < len(firsts(3, 90))
+
+
+def test_mix_serves_a_single_row_with_a_rate_of_thousands(spark):
+    docs = spark.createDataFrame([(i, "rare") for i in range(40)] + [(100, "big")], "doc_id long, source string")
+    weights = spark.createDataFrame([("rare", 1.0), ("big", 1e-9)], "source string, weight double")
+    got = {r.doc_id: r["count"] for r in op8.poisson_mix(docs, weights, total=40 * 6000, most_rate=None).groupBy("doc_id").count().collect()}
+    # the quantile of a Poisson distribution by logarithms
+    def count(u, rate):
+        total, k = 0.0, 0
+        while (total := total + math.exp(k * math.log(rate) - rate - math.lgamma(k + 1))) <= u:
+            k += 1
+        return k
+
+    rate = 6000 / (1 + 1e-9)
+    assert got == {i: count(brute.number(op8.SEED, i) / 2**48, rate) for i in range(40)}
+    one = spark.createDataFrame([(1, "a")], "doc_id long, source string")
+    assert abs(op8.poisson_mix(one, total=10_000, most_rate=None).count() - 10_000) < 600
