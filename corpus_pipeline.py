@@ -13,8 +13,8 @@ from tephra.llm.shared import written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules of text and of lines don't reject."""
-    return op2_line_frequency.keep(docs)
+    """Documents that the rules of text and of lines don't reject, without the lines above the limits of their hosts."""
+    return op2_line_frequency.keep_cleaned(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

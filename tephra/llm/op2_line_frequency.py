@@ -2,7 +2,7 @@
 
 Lines are normalised (A-Z as a-z, digits as 0, words joined by one space) and hashed. A line is above the limit of its
 host if it stands in more than `line_docs` documents of the host and in more than `line_percent` % of them; copies
-of a line in one document count once. Such lines are removed; a document is depleted, and rejected, if fewer than
+of a line in one document count once. Such lines are removed (`keep_cleaned` returns the texts without them); a document is depleted, and rejected, if fewer than
 `left_words` words or less than `left_percent` % of its words are left.
 
 One pass over the texts leaves the counts and the line hashes of each document, which are written; the frequencies
@@ -52,6 +52,20 @@ def _first(key: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, group
 
 
+def _lines(buf: np.ndarray, off: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each line with a word: start and end byte, first word and the one after the last, document."""
+    edge = np.flatnonzero(buf == 0x0A)
+    line_start = np.unique(np.concatenate([off[:-1], edge + 1]))
+    line_start = line_start[line_start < off[-1]]
+    line_end = np.append(line_start[1:], off[-1])
+    newline = buf[line_end - 1] == 0x0A if len(buf) else np.zeros(0, bool)
+    line_end = line_end - newline
+    first_word = np.searchsorted(start, np.append(line_start, off[-1]))
+    has = np.diff(first_word) > 0
+    doc_of_line = np.searchsorted(off, line_start, "right") - 1
+    return line_start[has], line_end[has], first_word[:-1][has], first_word[1:][has], doc_of_line[has]
+
+
 def _measure(buf: np.ndarray, off: np.ndarray, window: int) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
     """Counts by document; distinct normalised lines of each document: hash, words, and offsets."""
     n_docs = len(off) - 1
@@ -68,17 +82,8 @@ def _measure(buf: np.ndarray, off: np.ndarray, window: int) -> tuple[dict[str, n
     again = at[np.bincount(group)[group] > 1] if len(at) else at
     out["n_repeat_words"] = _per_document(covered(len(start), again, again + window), of)
 
-    # lines with a word: raw for repeats inside the text, normalised for the frequency among documents
-    edge = np.flatnonzero(buf == 0x0A)
-    line_start = np.unique(np.concatenate([off[:-1], edge + 1]))
-    line_start = line_start[line_start < off[-1]]
-    line_end = np.append(line_start[1:], off[-1])
-    newline = buf[line_end - 1] == 0x0A if len(buf) else np.zeros(0, bool)
-    line_end = line_end - newline
-    first_word = np.searchsorted(start, np.append(line_start, off[-1]))
-    has = np.diff(first_word) > 0
-    doc_of_line = np.searchsorted(off, line_start, "right") - 1
-    line_start, line_end, a, b, doc_of_line = line_start[has], line_end[has], first_word[:-1][has], first_word[1:][has], doc_of_line[has]
+    # raw lines for repeats inside the text, normalised for the frequency among documents
+    line_start, line_end, a, b, doc_of_line = _lines(buf, off, start)
     first, _ = _first(Hashes(VALUE[buf]).of(line_start, line_end), doc_of_line)
     out["n_dup_lines"] = np.bincount(doc_of_line[~first], minlength=n_docs)
     key = Hashes(word_hashes(NORMAL[buf], start, end)).of(a, b)
@@ -99,13 +104,48 @@ def _stats(window: int):
     return f
 
 
+def _clean(schema_names: list[str], text: str):
+    """Texts without the lines whose normalised hash is in the row's __gone; what is left is joined as it was parted."""
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gone, column = batch["__gone"], batch[text]
+            rows = np.flatnonzero(pa.compute.fill_null(pa.compute.list_value_length(gone), 0).to_numpy(zero_copy_only=False) > 0)
+            if len(rows):
+                some = column.take(pa.array(rows))
+                buf, off = utf8(some)
+                cleaned = []
+                for i, j in chunks(off):
+                    part, at = buf[off[i] : off[j]], off[i : j + 1] - off[i]
+                    start, end, _ = words(part, at)
+                    line_start, _, a, b, of = _lines(part, at, start)
+                    key = Hashes(word_hashes(NORMAL[part], start, end)).of(a, b).view(np.int64)
+                    cut = np.searchsorted(of, np.arange(j - i + 1))
+                    for d in range(j - i):
+                        own = slice(cut[d], cut[d + 1])
+                        out = set(line_start[own][np.isin(key[own], gone[int(rows[i + d])].values.to_numpy())].tolist())
+                        left, pos = [], int(at[d])
+                        for line in part[at[d] : at[d + 1]].tobytes().split(b"\n"):
+                            if pos not in out:
+                                left.append(line)
+                            pos += len(line) + 1
+                        cleaned.append(b"\n".join(left).decode())
+                mask = np.zeros(batch.num_rows, bool)
+                mask[rows] = True
+                column = pa.compute.replace_with_mask(column, pa.array(mask), pa.array(cleaned, column.type))
+            yield pa.RecordBatch.from_arrays([column if c == text else batch[c] for c in schema_names], schema_names)
+
+    return f
+
+
 def line_frequency_rules(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", *, min_words: int = MIN_WORDS, repeat_percent: int = REPEAT_PERCENT,
     line_docs: int = LINE_DOCS, line_percent: int = LINE_PERCENT, left_words: int = LEFT_WORDS, left_percent: int = LEFT_PERCENT,
 ) -> DataFrame:
-    """(doc_id, the counts, base_failed, kept, n_removed_lines, n_left_words, row, host, text_hash) of every row.
+    """(doc_id, the counts, base_failed, kept, n_removed_lines, n_left_words, row, host, text_hash, removed_lines) of every row.
 
-    `row` numbers rows; host and text_hash, with doc_id, tell which rows a verdict is about.
+    `row` numbers rows; host and text_hash, with doc_id, tell which rows a verdict is about. removed_lines: hashes of
+    the normalised lines above the limits, NULL where there are none.
     """
     folder(docs.sparkSession)
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.coalesce(F.col(host).cast("string"), F.lit("\x00")).alias("host"), text_hash(F.col(text)).alias("text_hash"))
@@ -114,18 +154,18 @@ def line_frequency_rules(
     lines = stats.select("row", "host", F.explode(F.arrays_zip("line", "line_words")).alias("x")).select("row", "host", F.col("x.line").alias("line"), F.col("x.line_words").alias("words"))
     common = lines.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > line_docs)
     common = common.join(hosts, "host").where(F.col("n") * 100 > F.col("host_docs") * line_percent).select("host", "line")
-    removed = lines.join(common, ["host", "line"]).groupBy("row").agg(F.sum("words").alias("gone"), F.count("*").alias("n_removed_lines"))
+    removed = lines.join(common, ["host", "line"]).groupBy("row").agg(F.sum("words").alias("gone"), F.count("*").alias("n_removed_lines"), F.collect_list("line").alias("removed_lines"))
     left = F.col("n_words") - F.coalesce("gone", F.lit(0))
     base = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * repeat_percent)
     return stats.drop("line", "line_words").join(removed, "row", "left").select(
         "doc_id", *COUNTS, base.alias("base_failed"),
         (~base & (left >= left_words) & (left * 100 >= F.col("n_words") * left_percent)).alias("kept"),
-        F.coalesce("n_removed_lines", F.lit(0)).alias("n_removed_lines"), left.alias("n_left_words"), "row", "host", "text_hash",
+        F.coalesce("n_removed_lines", F.lit(0)).alias("n_removed_lines"), left.alias("n_left_words"), "row", "host", "text_hash", "removed_lines",
     )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_frequency_rules(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row", "host", "text_hash")
+    return line_frequency_rules(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row", "host", "text_hash", "removed_lines")
 
 
 ORACLE = rf"""
@@ -158,3 +198,20 @@ def keep(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str
     gone = gone.select(F.col("doc_id").alias("__id"), F.col("host").alias("__host"), F.col("text_hash").alias("__hash")).distinct()
     same = F.col(doc_id).cast("long").eqNullSafe(F.col("__id")) & (text_hash(F.col(text)) == F.col("__hash")) & (F.coalesce(F.col(host).cast("string"), F.lit("\x00")) == F.col("__host"))
     return docs.join(gone, same, "left_anti")
+
+
+def keep_cleaned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", n_chars: str = "n_chars", **limits) -> DataFrame:
+    """The rows of `docs` that aren't rejected, with all their columns, and without the lines above the limits.
+
+    The lines that stay are joined as they were parted. Where a line went, a column `n_chars` is the number of
+    characters that are left; other rows keep theirs.
+    """
+    of = line_frequency_rules(docs, doc_id, text, host, **limits).where(~F.col("kept") | F.col("removed_lines").isNotNull())
+    of = of.select(F.col("doc_id").alias("__id"), F.col("host").alias("__host"), F.col("text_hash").alias("__hash"), F.col("kept").alias("__kept"), F.col("removed_lines").alias("__gone"))
+    of = of.dropDuplicates(["__id", "__host", "__hash"])  # rows of one key have one text and one host, so one verdict
+    same = F.col(doc_id).cast("long").eqNullSafe(F.col("__id")) & (text_hash(F.col(text)) == F.col("__hash")) & (F.coalesce(F.col(host).cast("string"), F.lit("\x00")) == F.col("__host"))
+    left = docs.join(of, same, "left").where(F.coalesce("__kept", F.lit(True))).select(*[F.col(f"`{c}`") for c in docs.columns], "__gone")
+    out = left.mapInArrow(_clean([*docs.columns, "__gone"], text), left.schema)
+    if n_chars in docs.columns:
+        out = out.withColumn(n_chars, F.when(F.col("__gone").isNotNull(), F.length(text).cast(docs.schema[n_chars].dataType)).otherwise(F.col(n_chars)))
+    return out.drop("__gone")

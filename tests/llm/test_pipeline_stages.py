@@ -57,6 +57,18 @@ def test_near_duplicates_stage_takes_five_words_at_four_fifths(spark):
     assert got == firsts(5, 80) and len(got) < len(firsts(3, 90))
 
 
+def test_quality_stage_removes_lines_above_the_limits(spark):
+    own = lambda i: " ".join(f"w{i}x{j}" for j in range(30))
+    menu = "HOME  About 12 é contact " + " ".join(f"m{j}" for j in range(20))
+    rows = [(i, f"{own(i)}\n{menu}", "a", 7) for i in range(12)]
+    rows += [(20, f"{menu.replace('12', '97')}\n\n{own(20)}\n {menu.lower()}\n{own(21)}\n", "a", None), (22, menu, "b", 5), (23, f"{menu}\nleft", "a", 3), (None, own(99), None, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int").repartition(2)
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.quality_rules(spark, docs, "").collect()}
+    mixed = f"\n{own(20)}\n{own(21)}\n"
+    want = {i: (own(i), len(own(i))) for i in range(12)} | {20: (mixed, len(mixed)), 22: (menu, 5), None: (own(99), 9)}
+    assert got == want
+
+
 def test_mix_serves_a_single_row_with_a_rate_of_thousands(spark):
     docs = spark.createDataFrame([(i, "rare") for i in range(40)] + [(100, "big")], "doc_id long, source string")
     weights = spark.createDataFrame([("rare", 1.0), ("big", 1e-9)], "source string, weight double")
