@@ -19,7 +19,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: sets of five words, similarity 0.8 or more."""
-    return op10_jaccard_join.one_of_each(docs, n_words=5, percent=80)
+    return op10_jaccard_join.one_of_each(docs, by="root", n_words=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -194,7 +194,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, n_words: int = WORDS, percent: int = PERCENT, frequent: int = FREQUENT, paired: int = PAIRED) -> DataFrame:
-    """(doc_id, n_shingles, component_id, node, text_hash) of every row of `docs`; node: hash of its set."""
+    """(doc_id, n_shingles, component_id, node, text_hash, root) of every row of `docs`; node: hash of its set, root: least node of its component."""
     if not 50 < percent <= 100:
         raise ValueError("percent is over 50 and 100 at most")
     own, n = batches(docs, doc_id, text)
@@ -245,23 +245,25 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     member = classes.join(root, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     smallest = member.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_class = member.join(smallest, "root").select("node", "component_id")
-    joined = known.join(of_class, "node").select("doc_id", "n_shingles", "component_id", "node", "text_hash")
-    rest_of = info.where(F.col("doc_id").isNull() | (F.col("n_shingles") == 0)).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "node", "text_hash")
+    of_class = member.join(smallest, "root").select("node", "component_id", "root")
+    joined = known.join(of_class, "node").select("doc_id", "n_shingles", "component_id", "node", "text_hash", "root")
+    rest_of = info.where(F.col("doc_id").isNull() | (F.col("n_shingles") == 0)).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "node", "text_hash", F.col("node").alias("root"))
     return joined.unionByName(rest_of)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("node", "text_hash")
+    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("node", "text_hash", "root")
 
 
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, by: str = "component_id", **how) -> DataFrame:
     """One row of each component, that of its smallest doc_id, with all columns; rows that link with nothing stay.
 
     Rows with a null doc_id, and texts without words, all stay; of rows that repeat an id and its text, one does.
+    Where an id is used again for another text, two components can have one smallest doc_id: `by` "root" keeps a row of
+    each, `by` "component_id" one row of that id.
     """
     of = jaccard_components(docs, doc_id, text, **how)
-    first = of.where((F.col("doc_id") == F.col("component_id")) & (F.col("n_shingles") > 0)).groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("x")).select(F.col("x.doc_id").alias("__id"), F.col("x.text_hash").alias("__hash"))
+    first = of.where((F.col("doc_id") == F.col("component_id")) & (F.col("n_shingles") > 0)).groupBy(by).agg(F.min(F.struct("doc_id", "text_hash")).alias("x")).select(F.col("x.doc_id").alias("__id"), F.col("x.text_hash").alias("__hash"))
     alone = of.where(F.col("doc_id").isNull() | (F.col("n_shingles") == 0)).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
     keys = first.withColumn("__one", F.lit(True)).unionByName(alone.withColumn("__one", F.lit(False)))
     same = F.col(doc_id).cast("long").eqNullSafe(F.col("__id")) & (text_hash(F.col(text)) == F.col("__hash"))

@@ -57,6 +57,13 @@ def test_near_duplicates_stage_takes_five_words_at_four_fifths(spark):
     assert got == firsts(5, 80) and len(got) < len(firsts(3, 90))
 
 
+def test_one_of_each_keeps_components_with_one_smallest_id(spark):
+    text = lambda c: " ".join(f"{c}{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, text("a")), (1, text("b")), (2, text("a")), (3, text("b")), (4, text("c"))], "doc_id long, text string")
+    got = sorted((r.doc_id, r.text[0]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    assert got == [(1, "a"), (1, "b"), (4, "c")]
+
+
 def test_quality_stage_removes_lines_above_the_limits(spark):
     own = lambda i: " ".join(f"w{i}x{j}" for j in range(30))
     menu = "HOME  About 12 é contact " + " ".join(f"m{j}" for j in range(20))
