@@ -18,11 +18,10 @@ anchors is that of 64-bit hashes.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tephra.llm.exchange import batches, slices
 from tephra.llm.runindex import RunIndex
@@ -266,20 +265,30 @@ def _remove(n: int, width: int, k: int):
         before[c.off[:-1][np.diff(c.off) > 0]] = False
         sums, runs = np.append(0, np.cumsum(gone)), np.append(0, np.cumsum(gone & ~before))
         removed, spans = np.diff(sums[c.off]), np.diff(runs[c.off])
-        digest = [hashlib.sha256((c.buf[p:q][~gone[p:q]] if r else c.buf[p:q]).tobytes()).hexdigest() for p, q, r in zip(c.off[:-1], c.off[1:], removed, strict=True)]
-        return pa.table({"doc_id": docs["doc_id"], "n_bytes": np.diff(c.off), "n_removed": removed, "n_spans": spans, "kept_sha256": pa.array(digest, pa.string())})
+        kept = [(c.buf[p:q][~gone[p:q]] if r else c.buf[p:q]).tobytes() for p, q, r in zip(c.off[:-1], c.off[1:], removed, strict=True)]
+        after = np.append(gone[1:], False)
+        after[c.off[1:][np.diff(c.off) > 0] - 1] = False
+        base = np.repeat(c.off[:-1], spans)
+        ends = [pa.array(np.flatnonzero(x) + e - base, pa.int64()) for x, e in ((gone & ~before, 0), (gone & ~after, 1))]
+        lists = pa.ListArray.from_arrays(pa.array(runs[c.off], pa.int32()), pa.StructArray.from_arrays(ends, ["start", "end"]))
+        return pa.table({"doc_id": docs["doc_id"], "n_bytes": np.diff(c.off), "kept": pa.array(kept, pa.binary()), "spans": lists})
 
     return f
 
 
 def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, k: int = K, hot: int = HOT) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row of `docs`."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept, spans) of every row of `docs`.
+
+    kept: the bytes that stay, binary as a removed run may split a character; spans: (start, end) of each removed run,
+    in bytes of the input.
+    """
     own, n = batches(docs, doc_id, text)
     first = own.groupBy("batch").applyInArrow(_ask(n, width, k), REQUEST).groupBy("bucket").applyInArrow(_judge(hot), REQUEST)
     # read twice in one plan, which deals the texts and the questions out once
     second = own.groupBy("batch").cogroup(first.groupBy("batch")).applyInArrow(_send(n, width, k), REQUEST).groupBy("kind", "bucket").applyInArrow(_index(width, INDEX_BYTES, INDEX_TEXTS), REQUEST)
-    return own.groupBy("batch").cogroup(first.unionByName(second).groupBy("batch")).applyInArrow(_remove(n, width, k), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    out = own.groupBy("batch").cogroup(first.unionByName(second).groupBy("batch")).applyInArrow(_remove(n, width, k), "doc_id long, n_bytes long, kept binary, spans array<struct<start:long,end:long>>")
+    return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "kept", "spans")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return suffix_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept", "spans")

@@ -18,11 +18,10 @@ that of 64-bit hashes; words are compared as they are written.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tephra.llm.exchange import batches, slices
 from tephra.llm.text import U64, Hashes, anchors, covered, joined, mix, planes, tokens, unplanes, utf8
@@ -140,24 +139,34 @@ def _remove(n: int, width: int, k: int):
             first[i:j] = unplanes(found[b], np.int64)
         single = at[(first[np.searchsorted(keys, hashes)] < own) & (own != NONE)] if len(keys) else at
         gone = covered(len(s.start), np.concatenate([s.first[whole], single]), np.concatenate([s.last[whole], single]) + width)
-        sums = np.append(0, np.cumsum(gone))
-        digest = [hashlib.sha256(x).hexdigest() for x in joined(s.buf, s.start, s.end, s.of, ~gone)]
-        before = np.append(False, gone[:-1])
-        before[s.of[:-1][np.diff(s.of) > 0]] = False
-        runs = np.append(0, np.cumsum(gone & ~before))
-        return pa.table({"doc_id": docs["doc_id"], "n_words": np.diff(s.of), "n_removed": np.diff(sums[s.of]), "kept_sha256": pa.array(digest, pa.string()), "n_repeats": np.diff(runs[s.of])})
+        full = np.diff(s.of) > 0
+        before, after = np.append(False, gone[:-1]), np.append(gone[1:], False)
+        before[s.of[:-1][full]] = False
+        after[s.of[1:][full] - 1] = False
+        runs = np.append(0, np.cumsum(gone & ~before))[s.of]
+        base = np.repeat(s.of[:-1], np.diff(runs))
+        ends = [pa.array(np.flatnonzero(x) + e - base, pa.int64()) for x, e in ((gone & ~before, 0), (gone & ~after, 1))]
+        spans = pa.ListArray.from_arrays(pa.array(runs, pa.int32()), pa.StructArray.from_arrays(ends, ["start", "end"]))
+        kept = pa.array(joined(s.buf, s.start, s.end, s.of, ~gone), pa.binary()).cast(pa.string())
+        return pa.table({"doc_id": docs["doc_id"], "n_words": np.diff(s.of), "kept": kept, "spans": spans})
 
     return f
 
 
 def seed_extend_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, k: int = K) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256, n_repeats) of every row of `docs`; n_repeats: maximal runs removed."""
+    """(doc_id, n_words, n_removed, kept_sha256, n_repeats, kept, spans) of every row of `docs`.
+
+    kept: the words that stay, joined by one space; spans: (start, end) of each maximal run removed, in words of the
+    input; n_repeats: their number.
+    """
     own, n = batches(docs, doc_id, text)
     first = own.groupBy("batch").applyInArrow(_ask(n, width, k), REQUEST).groupBy("bucket").applyInArrow(_meet, REQUEST)
     # read twice in one plan, which deals the texts and the questions out once
     second = own.groupBy("batch").cogroup(first.groupBy("batch")).applyInArrow(_extend(n, width, k), REQUEST).groupBy("bucket").applyInArrow(_smallest, REQUEST)
-    return own.groupBy("batch").cogroup(first.unionByName(second).groupBy("batch")).applyInArrow(_remove(n, width, k), "doc_id long, n_words long, n_removed long, kept_sha256 string, n_repeats long")
+    out = own.groupBy("batch").cogroup(first.unionByName(second).groupBy("batch")).applyInArrow(_remove(n, width, k), "doc_id long, n_words long, kept string, spans array<struct<start:long,end:long>>")
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
+    return out.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"), F.size("spans").cast("long").alias("n_repeats"), "kept", "spans")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return seed_extend_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return seed_extend_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept", "spans")
