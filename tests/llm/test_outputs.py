@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import textwrap
 
 from tephra.llm import op1_suffix_dedup as op1
 from tephra.llm import op4_seed_extend as op4
+from tephra.llm import op5_licence_digest as op5
 from tests.llm import brute
 
 
@@ -29,3 +31,18 @@ def test_dedup_returns_kept_texts_and_spans(spark, mean_rows):
     assert sorted(((r.doc_id, r.n_words, r.n_removed, digest(r.kept.encode())) for r in out), key=str) == brute.seed_extend(rows)
     for r in out:
         assert any(b" ".join(_without(brute.words(b.decode()), r.spans)) == r.kept.encode() for b in of[r.doc_id]) and len(r.spans) == r.n_repeats
+
+
+def test_whole_licences_wrapped_anew(spark):
+    known = dict(op5.known_licences())
+    assert {"Apache-2.0", "BSD-3-Clause", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0"} <= set(known)
+    bsd = known["BSD-2-Clause"]
+    assert "above copyright notice" in bsd
+    apache = "\n\n".join(textwrap.fill(" ".join(p.split()), 50) for p in known["Apache-2.0"].split("\n\n"))
+    assert any(x.startswith("copyright") for x in apache.split("\n"))
+    rows = list(enumerate([*known.values(), bsd.replace("above copyright notice", "above\n copyright notice"), apache, bsd.replace("Copyright (c) <year> <owner>", "Copyright Some One"), known["MIT"] + " more"]))
+    names = [*known, "BSD-2-Clause", "Apache-2.0", "BSD-2-Clause", None]
+    out = {r.doc_id: r.licence for r in op5.licence_digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == dict(enumerate(names))
+    own = spark.createDataFrame([("x", "a wilful act")], "licence string, text string")
+    assert op5.licence_digests(spark.createDataFrame([(1, "A willful act")], "doc_id long, text string"), own).first().licence == "x"
