@@ -1,9 +1,9 @@
 """Substring dedup by seed and extend: words inside a window of `width` words that also starts in an earlier document.
 
 Seeds are winnowed anchors: the least k-word gram of each window, so equal windows share an anchor and every window
-has exactly one. Batches of documents join on anchors through buckets of hashes (see `exchange`). A seed is
-extended both ways, first as far as its windows reach at once (its context), and where the contexts of an anchor
-differ, start by start; runs of matching starts make the maximal repeats, of `width` words at least.
+has exactly one. Batches of documents join on anchors through buckets of hashes (see `exchange`). A seed
+isn't extended against a partner document: the whole stretch its windows reach (its context) is compared by hash, and
+where the contexts of an anchor differ, window by window; runs of removed words, of `width` at least, are the repeats.
 
 1. For each anchor and context a batch sends its smallest doc_id, and learns the smallest of all.
    A document after that one has the whole context removed.
