@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tephra.llm.exchange import batches, slices
 from tephra.llm.runindex import RunIndex
-from tephra.llm.text import U64, VALUE, Hashes, anchors, chunks, covered, mix, planes, unplanes, utf8
+from tephra.llm.text import U64, Hashes, anchors, chunks, covered, mix, planes, unplanes, utf8
 
 WIDTH, K = 200, 32
 #: Contexts of one anchor from which they are counted by hash and not indexed.
@@ -48,7 +48,7 @@ class Contexts:
             off = self.off[i : j + 1] - base
             if off[-1] < width:
                 continue
-            h = Hashes(VALUE[self.buf[base : base + int(off[-1])]])
+            h = Hashes.of_bytes(self.buf[base : base + int(off[-1])], 32)
             gram = h.every(k)
             at, first, last = anchors(gram, off, width, k)
             # a least hash is small; mixed again, anchors spread over the buckets
@@ -149,10 +149,9 @@ def _windows(c: Contexts, some: np.ndarray, width: int) -> tuple[np.ndarray, np.
         end = pos + int(np.searchsorted(first[order[pos:]], hi))
         if end == pos:
             continue
-        h = Hashes(VALUE[c.buf[lo:hi]])
+        h = Hashes.of_bytes(c.buf[lo:hi]).every(width)
         for o in order[pos:end]:
-            s = np.arange(first[o], first[o] + count[o]) - lo
-            out[begin[o] : begin[o] + count[o]] = h.of(s, s + width)
+            out[begin[o] : begin[o] + count[o]] = h[first[o] - lo : first[o] - lo + count[o]]
         pos = end
     return out, count
 

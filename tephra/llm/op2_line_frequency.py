@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tephra.llm.hashing import text_hash
 from tephra.llm.shared import folder
-from tephra.llm.text import LOWER, VALUE, Hashes, chunks, covered, utf8, word_hashes, words
+from tephra.llm.text import LOWER, Hashes, chunks, covered, utf8, word_hashes, words
 
 MIN_WORDS, REPEAT_PERCENT, REPEAT_WINDOW = 20, 30, 8
 LINE_DOCS, LINE_PERCENT, LEFT_WORDS, LEFT_PERCENT = 10, 10, 10, 25
@@ -84,7 +84,7 @@ def _measure(buf: np.ndarray, off: np.ndarray, window: int) -> tuple[dict[str, n
 
     # raw lines for repeats inside the text, normalised for the frequency among documents
     line_start, line_end, a, b, doc_of_line = _lines(buf, off, start)
-    first, _ = _first(Hashes(VALUE[buf]).of(line_start, line_end), doc_of_line)
+    first, _ = _first(Hashes.of_bytes(buf).of(line_start, line_end), doc_of_line)
     out["n_dup_lines"] = np.bincount(doc_of_line[~first], minlength=n_docs)
     key = Hashes(word_hashes(NORMAL[buf], start, end)).of(a, b)
     first, group = _first(key, doc_of_line)

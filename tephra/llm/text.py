@@ -2,7 +2,7 @@
 
 A table of documents reaches Python as Arrow data, whose string column already is one run of UTF-8 bytes
 with offsets. Everything here works on that run with numpy, so no Python object is made for a word.
-Hashes are polynomials modulo 2**64 over random byte values, read off prefix sums, and then mixed.
+Hashes of runs are joined from those of shorter runs, each join mixed (`Hashes`).
 """
 
 from __future__ import annotations
@@ -13,29 +13,13 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-#: Multiplier of the polynomial hash and its inverse modulo 2**64.
-BASE = 0x9E3779B97F4A7C15 | 1
-INVERSE = pow(BASE, -1, 1 << 64)
 #: The bytes that part words: space and 0x09 to 0x0D.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-VALUE = np.random.Generator(np.random.PCG64(20240607)).integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 #: Bytes of text that are hashed at a time; bounds the memory of the hash arrays.
-CHUNK = 1 << 20
-
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** n modulo 2**64."""
-    if base not in _powers or len(_powers[base]) <= n:
-        p = np.full(max(n, CHUNK) + 1, base, U64)
-        p[0] = 1
-        _powers[base] = np.cumprod(p, dtype=U64)
-    return _powers[base]
-
+CHUNK = 1 << 19
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Spreads every bit over the word (the finaliser of SplitMix64)."""
@@ -44,24 +28,82 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+def join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One hash of two neighbouring runs, in their order."""
+    x = a * U64(0x9E3779B97F4A7C15)
+    x += b
+    x ^= x >> U64(29)
+    x *= U64(0xBF58476D1CE4E5B9)
+    x ^= x >> U64(32)
+    return x
+
+
+def seal(x: np.ndarray, size) -> np.ndarray:
+    """The hash of a run with its size, spread over the word."""
+    return mix(x + np.asarray(size).astype(U64) * U64(0xD6E8FEB86659FD93))
+
+
+#: Keeps the first 0 to 7 bytes of eight.
+MASK = np.array([(1 << 8 * k) - 1 for k in range(8)], U64)
+
+
 class Hashes:
-    """Hash of any run values[start:end] in constant time."""
+    """Hash of any run items[start:end], joined from those of runs of 1, 2, 4 ... items.
+
+    Each join mixes before the next, so equal hashes of different runs have no pattern as those of a polynomial have.
+    Runs of 2 * `unit` items and more are cut into blocks of `unit`, whose hashes are hashed as items again.
+    """
 
-    def __init__(self, values: np.ndarray):
-        n = len(values)
-        self.sums = np.zeros(n + 1, U64)
-        np.cumsum(values * powers(BASE, n)[:n], dtype=U64, out=self.sums[1:])
-        self.inverse = powers(INVERSE, n)
+    def __init__(self, items: np.ndarray, unit: int = 16):
+        self.n, self.base, self.unit, self.rows = len(items), 1, unit, {1: items}
+
+    @classmethod
+    def of_bytes(cls, buf: np.ndarray, unit: int = 8) -> Hashes:
+        """Eight bytes at a time are read as one number."""
+        out = cls.__new__(cls)
+        padded = np.zeros(len(buf) + 8, np.uint8)
+        padded[: len(buf)] = buf
+        out.n, out.base, out.unit = len(buf), 8, unit
+        out.packed = np.ascontiguousarray(np.ndarray((len(buf) + 1,), "<u8", padded, strides=(1,)))
+        out.rows = {8: out.packed[: max(0, len(buf) - 7)]}
+        return out
+
+    def _row(self, size: int) -> np.ndarray:
+        """Hashes of all runs of that size, a power of two times the least."""
+        if size not in self.rows:
+            half = self._row(size // 2)
+            self.rows[size] = join(half[: max(0, len(half) - size // 2)], half[size // 2 :])
+        return self.rows[size]
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.inverse[start])
+        size, out = end - start, np.zeros(len(start), U64)
+        if self.base > 1 and len(some := np.flatnonzero(size < self.base)):
+            v = self.packed[start[some]] & MASK[size[some]]
+            out[some] = join(v, v)
+        block = self.base
+        while block <= self.unit:
+            if len(some := np.flatnonzero((size >= block) & (size < 2 * block))):
+                row = self._row(block)
+                out[some] = join(row[start[some]], row[end[some] - block])
+            block *= 2
+        if len(some := np.flatnonzero(size >= block)):
+            # blocks from the start on, and one that ends where the run ends
+            count = -(-size[some] // self.unit)
+            cut = np.append(0, np.cumsum(count))
+            at = np.repeat(start[some] - cut[:-1] * self.unit, count) + np.arange(cut[-1]) * self.unit
+            at[cut[1:] - 1] = end[some] - self.unit
+            out[some] = Hashes(self._row(self.unit)[at]).of(cut[:-1], cut[1:])
+        return seal(out, size)
 
     def every(self, width: int) -> np.ndarray:
         """Of all runs of that width, by start."""
-        n = len(self.sums) - 1
-        if n < width:
-            return np.zeros(0, U64)
-        return mix((self.sums[width:] - self.sums[: n - width + 1]) * self.inverse[: n - width + 1])
+        size = self.base
+        while size * 2 <= width:
+            size *= 2
+        if self.n < width or width < self.base:
+            return self.of(at := np.arange(max(0, self.n - width + 1)), at + width)
+        row = self._row(size)
+        return seal(join(row[: self.n - width + 1], row[width - size :]), width)
 
 
 def utf8(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -105,7 +147,7 @@ def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return Hashes(VALUE[buf]).of(start, end)
+    return Hashes.of_bytes(buf).of(start, end)
 
 
 def sliding(op, a: np.ndarray, width: int) -> np.ndarray:
