@@ -3,7 +3,8 @@
 The index answers one question about the texts it was built from: at which starts does a string of `width`
 symbols stand that also starts elsewhere in them. Matching statistics are streamed from the samples alone:
 inside a run of the transform, the longest match at a start is that of the start before it less one, so only
-run ends need a comparison of texts (irreducible values), and repetitive texts have few of them.
+run ends need a comparison of texts (irreducible values), and repetitive texts have few of them. Once built, an index
+holds its runs, the starts at their ends and the matches there; neither texts nor suffix order are kept.
 """
 
 from __future__ import annotations
@@ -39,10 +40,10 @@ class RunIndex:
         first = np.repeat(self.off, starts)
         within = np.arange(int(starts.sum())) - np.repeat(np.cumsum(starts) - starts, starts)
         self.at, self.head_of_text = first + within, within == 0
-        self._sort(int(length.max()) + 1)
-        self._compress()
+        self._compress(self._sort(int(length.max()) + 1))
+        del self.symbols, self.ranks
 
-    def _sort(self, longest: int) -> None:
+    def _sort(self, longest: int) -> np.ndarray:
         """Suffix order by doubling: all positions up to half the longest text, then the starts that count."""
         t, n = self.symbols, self.n
         key = (t[:n].astype(U64) << U64(48)) | (t[1 : n + 1].astype(U64) << U64(32)) | (t[2 : n + 2].astype(U64) << U64(16)) | t[3 : n + 3].astype(U64)
@@ -65,25 +66,26 @@ class RunIndex:
             s = key[order]
             wide = np.empty(len(at), np.uint32)
             wide[order] = np.cumsum(np.append(1, s[1:] != s[:-1]))
-        self.order = order
+        return order
 
     def _shifted(self, rank: np.ndarray, h: int) -> np.ndarray:
         out = np.zeros(self.n, U64)
         out[: max(0, self.n - h)] = rank[h : self.n]
         return out
 
-    def _compress(self) -> None:
-        """Runs of the transform and the samples at their ends.
+    def _compress(self, order: np.ndarray) -> None:
+        """Runs of the transform, the samples at their ends and the match of each run's end with the next run's head.
 
         A run ends where the symbol before a start changes; a text's first start has none and is a run of its own.
         """
-        sa = self.at[self.order]
-        before = np.where(self.head_of_text[self.order], 0, self.symbols[np.maximum(sa, 1) - 1]).astype(np.int64)
+        sa = self.at[order]
+        before = np.where(self.head_of_text[order], 0, self.symbols[np.maximum(sa, 1) - 1]).astype(np.int64)
         split = np.ones(len(sa) + 1, bool)
         split[1:-1] = (before[1:] != before[:-1]) | (before[1:] == 0)
         self.run_symbols = before[split[:-1]]
         self.run_lengths = np.diff(np.flatnonzero(split))
         self.run_heads, self.run_tails = sa[split[:-1]], sa[split[1:]]
+        self.between = self._common(self.run_tails[:-1], self.run_heads[1:])
 
     def _common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Symbols that the suffixes at a and b have in common."""
@@ -103,8 +105,8 @@ class RunIndex:
             return best
         heads, tails = self.run_heads, self.run_tails
         zero = np.zeros(1, np.int64)
-        to_next = self._common(tails[:-1], heads[1:])  # the first head has nothing before it, the last tail nothing after
-        for ends, length in ((heads, np.concatenate([zero, to_next])), (tails, np.concatenate([to_next, zero]))):
+        # the first head has nothing before it, the last tail nothing after
+        for ends, length in ((heads, np.concatenate([zero, self.between])), (tails, np.concatenate([self.between, zero]))):
             where = np.argsort(ends)
             ends, length = ends[where], length[where]
             sample = np.searchsorted(ends, self.at, "right") - 1
