@@ -59,9 +59,29 @@ def test_suffix_dedup_real(spark, sf_dir, real_rows):
 OP4 = ("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-@pytest.mark.parametrize("width, k", [(13, 5), (5, 2), (3, 3)])
-def test_seed_extend(mean_docs, mean_rows, width, k):
-    assert _rows(op4.seed_extend_dedup(mean_docs, width=width, k=k), *OP4) == brute.seed_extend(mean_rows, width)
+@pytest.mark.parametrize("width, k, hot", [(13, 5, 512), (13, 5, 3), (5, 2, 512), (3, 3, 512)])
+def test_seed_extend(mean_docs, mean_rows, width, k, hot):
+    out = op4.seed_extend_dedup(mean_docs, width=width, k=k, hot=hot)
+    assert _rows(out, *OP4) == brute.seed_extend(mean_rows, width)
+    first = {}
+    for d, t in mean_rows:
+        w = brute.words(t)
+        for i in range(len(w) - width + 1):
+            if d is not None:
+                first[tuple(w[i : i + width])] = min(first.get(tuple(w[i : i + width]), d), d)
+    texts = {}
+    for d, t in mean_rows:
+        texts.setdefault(d, []).append(brute.words(t))
+    for r in out.collect():
+        for x in r.spans:
+            assert x.end - x.start >= width and any(first.get(tuple(w[x.start : x.start + width])) == x.other for w in texts[r.doc_id])
+
+
+def test_contexts_extend_both_ways():
+    # two contexts agree with the first to the left of the seed, and one to the right
+    words = np.array([1, 2, 9, 9, 3, 4, 1, 2, 9, 9, 3, 5, 7, 2, 9, 9, 3, 4], np.uint64)
+    got = op4.extended(np.array([10, 11, 12]), np.array([2, 2, 2]), np.array([6, 6, 6]), words, 5, 2)
+    assert got.tolist() == [10, 10, 10, 11, 12, 10]
 
 
 def test_seed_extend_real(spark, sf_dir, real_rows):
