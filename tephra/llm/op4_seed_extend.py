@@ -247,7 +247,7 @@ def seed_extend_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     """(doc_id, n_words, n_removed, kept_sha256, n_repeats, kept, spans) of every row of `docs`.
 
     kept: the words that stay, joined by one space; spans: (start, end, other) of each maximal repeat that is removed, in
-    words of the input, with the smallest document that has its first window; n_repeats: their number.
+    words of the input, with an earlier document that has its first window; n_repeats: their number.
     """
     own, n = batches(docs, doc_id, text)
     first = own.groupBy("batch").applyInArrow(_ask(n, width, k), REQUEST).groupBy("bucket").applyInArrow(_meet(hot), REQUEST)
