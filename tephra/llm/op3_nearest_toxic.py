@@ -1,35 +1,46 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Learning. `examples` rows of each class, taken by hash order from the labelled rows that aren't held out, bound the
-index; the bound is this parameter and nothing else is sampled. Terms are the words (runs of letters, digits and
-bytes over 0x7F, A-Z as a-z) whose presence tells the classes of the examples apart by a chi-square test, the `terms`
-strongest at most; near copies among the examples, which share a sketch, count once for that. Document frequencies are counted over all documents.
-
-Scoring. Each document is a query. Blocks of examples carry the largest weight of each term, which bounds the cosine
-of any example in the block; blocks are opened in falling order of their bound until it can't reach the k-th best, so
-the k nearest are exact (equal cosines: smaller doc_id first). They vote with the square of their cosine, weighted
-back to the class sizes from which they were taken, against a prior worth PRIOR votes: the share of toxic labels among
-examples without any of the terms. A document without a term scores that prior. `evidence` holds the neighbours' ids.
-
-Null and empty texts have no term. Labels are read by doc_id alone: rows that repeat a doc_id count once, toxic if any
-says so; null labels and ids are ignored. Without labels of both classes the score is the share of toxic labels, 0 if
+Examples. Of the labelled rows that aren't held out, `examples` of each class in the order of a hash, as long as their
+texts together are within `example_bytes`: these two parameters bound what is fitted; nothing else is sampled. Every
+word of an example (runs of letters, digits and bytes over 0x7F, A-Z as a-z) is a term of the index. Examples with the
+same words and counts are one entry with its labels counted.
+
+Weights. A term's weight in a text is (1 + ln count) * idf * z ** 2. idf = ln((1 + N) / (1 + df)) + 1 is counted over all
+documents; z is how far, in standard errors, the log odds of the term differ between the classes of the examples, where
+near copies (equal sketches) count once. A word that no example has has z = 0, so norms over the index's terms are whole.
+
+Scoring. Each document is a query. For each term the index has the blocks of entries that hold it, with the largest
+weight in the block; their sum bounds the cosine of any entry of a block. Blocks are opened in falling order of their
+bound until it can't reach the k-th best cosine, so the nearest are exact; entries that tie with the k-th (to 12 digits)
+all vote. An entry votes with the square of its cosine, weighted back to the class sizes from which examples were taken,
+against a prior worth PRIOR votes. A logistic curve turns the share of toxic votes into the score; it is fitted to the
+examples themselves, each scored without the entries of its sketch, and held near the identity by RIDGE.
+`evidence` holds the ids of up to k nearest entries (the smallest id of each entry).
+
+Null and empty texts have no term and score what the prior does. Labels are read by doc_id alone: rows that repeat a
+doc_id count once, toxic if any says so; where a labelled doc_id has several texts, that of the least hash is the
+example. Null labels and ids are ignored. Without labels of both classes the score is the share of toxic labels, 0 if
 there are none. Rows that repeat a document are scored each.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tephra.llm.hashing import text_hash
 from tephra.llm.shared import folder
 from tephra.llm.text import LOWER, U64, chunks, mix, utf8, word_hashes
 
-EXAMPLES, TERMS, CHI_SQUARE, LEAST_DOCS = 3000, 256, 24.0, 3
-NEIGHBOURS, PRIOR, BLOCK = 15, 0.25, 64
+EXAMPLES, EXAMPLE_BYTES = 2000, 64 << 20
+NEIGHBOURS, PRIOR, BLOCK, RIDGE = 15, 0.25, 64, 4.0
+#: Distinct vectors whose scores a task remembers, for texts that recur.
+REMEMBERED = 4096
 
 BREAK = np.ones(256, bool)
 BREAK[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -38,7 +49,7 @@ BREAK[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = Fal
 def _terms(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word and the number of its document."""
     if not len(buf):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, U64), np.zeros(0, np.int64)
     gap = BREAK[buf]
     edge = np.ones(len(buf) + 1, bool)
     edge[1:-1] = gap[:-1]
@@ -47,152 +58,315 @@ def _terms(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     edge[1:-1] = gap[1:]
     edge[off] = True
     end = np.flatnonzero(edge[1:] & ~gap) + 1
-    return word_hashes(LOWER[buf], start, end).view(np.int64), np.searchsorted(off, start, "right") - 1
+    return word_hashes(LOWER[buf], start, end), np.searchsorted(off, start, "right") - 1
+
+
+def sketches(term: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """Of each document the least hash of two neighbouring words (of its word, if it has one; 0 if it has none)."""
+    out = np.full(n, ~U64(0))
+    pair = mix(term[:-1] * U64(3) + term[1:])
+    same = of[:-1] == of[1:]
+    np.minimum.at(out, of[:-1][same], pair[same])
+    size = np.bincount(of, minlength=n)
+    out[size == 0] = 0
+    one = size[of] == 1
+    out[of[one]] = term[one]
+    return out
+
 
+def _counts(term: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, term and count of each distinct pair, in order."""
+    distinct, at = np.unique(term, return_inverse=True)
+    key, count = np.unique(of * np.int64(max(1, len(distinct))) + at, return_counts=True)
+    return key // max(1, len(distinct)), distinct[key % max(1, len(distinct))], count
 
-def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each distinct word of each example, with its label and a sketch of the text: the least hash of two words."""
+
+def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(batch, its first row, document, term, count, sketch) of chunks of each batch."""
     for batch in batches:
         buf, off = utf8(batch["text"])
-        label = batch["toxic"].to_numpy(zero_copy_only=False)
         for i, j in chunks(off):
             term, of = _terms(buf[off[i] : off[j]], off[i : j + 1] - off[i])
-            pair = mix(term.view(U64)[:-1] * U64(3) + term.view(U64)[1:])
-            pair[of[:-1] != of[1:]] = ~U64(0)
-            sketch = np.full(j - i, ~U64(0))
-            np.minimum.at(sketch, of[:-1], pair)
-            by = np.lexsort((term, of))
-            term, of = term[by], of[by]
-            new = np.append(True, (term[1:] != term[:-1]) | (of[1:] != of[:-1]))[: len(term)]
-            yield pa.RecordBatch.from_arrays([pa.array(term[new]), pa.array(label[i:j][of[new]].astype(np.int64)), pa.array(sketch.view(np.int64)[of[new]])], ["term", "toxic", "sketch"])
+            yield batch, i, *_counts(term, of), sketches(term, of, j - i)
+
+
+EXAMPLE = "doc_id long, toxic int, sketch long, terms binary, counts binary"
 
 
-VECTORS = "doc_id long, terms array<int>, counts array<int>"
+def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch, i, doc, term, count, sketch in _vectors(batches):
+        cut = np.searchsorted(doc, np.arange(len(sketch) + 1))
+        packed = [[v[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)] for v in (term, count.astype(np.int32))]
+        yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(i, len(sketch)), batch["toxic"].slice(i, len(sketch)), pa.array(sketch.view(np.int64)), pa.array(packed[0], pa.binary()), pa.array(packed[1], pa.binary())], [c.split()[0] for c in EXAMPLE.split(", ")])
 
 
-def _vectors(known: np.ndarray):
-    """known: hashes of the terms, sorted. Sparse counts of each document."""
+def _known(term: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each term among the index's sorted `terms`, and whether it is one of them."""
+    at = np.minimum(np.searchsorted(terms, term), max(0, len(terms) - 1))
+    return at, (terms[at] == term) if len(terms) else np.zeros(len(term), bool)
+
+
+def _frequencies(terms: np.ndarray) -> Callable:
+    """(term, n): in how many documents of the partition each term is; the number of documents under -1."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            buf, off = utf8(batch["text"])
-            for i, j in chunks(off):
-                term, of = _terms(buf[off[i] : off[j]], off[i : j + 1] - off[i])
-                at = np.searchsorted(known, term)
-                hit = (known[np.minimum(at, len(known) - 1)] == term) if len(known) else np.zeros(len(term), bool)
-                key, count = np.unique(of[hit] * (len(known) + 1) + at[hit], return_counts=True)
-                of, at = key // (len(known) + 1), key % (len(known) + 1)
-                cut = pa.array(np.searchsorted(of, np.arange(j - i + 1)), pa.int32())
-                lists = [pa.ListArray.from_arrays(cut, pa.array(v.astype(np.int32))) for v in (at, count)]
-                yield pa.RecordBatch.from_arrays([batch["doc_id"][i:j], *lists], ["doc_id", "terms", "counts"])
+        total, n = np.zeros(len(terms), np.int64), 0
+        for _, _, _, term, _, sketch in _vectors(batches):
+            distinct, times = np.unique(term, return_counts=True)
+            at, hit = _known(distinct, terms)
+            total[at[hit]] += times[hit]
+            n += len(sketch)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1), pa.int32()), pa.array(np.append(total[some], n))], ["term", "n"])
 
     return f
 
 
+def _spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+
+
 class BlockMaxIndex:
-    """Inverted lists of weighted examples, in blocks with the largest weight of each term."""
-
-    def __init__(self, rows: list[tuple[int, int, list[int], list[int]]], idf: np.ndarray, block: int = BLOCK):
-        """rows: (doc_id, toxic, terms, counts), each with a term."""
-        self.idf = idf
-        n_terms = len(idf)
-        weights = [self.weigh(t, c) for _, _, t, c in rows]
-        # examples of one leading term stand together, so that few blocks have large weights of a term
-        order = sorted(range(len(rows)), key=lambda i: (rows[i][2][int(np.argmax(weights[i]))], rows[i][0]))
-        self.doc = np.array([rows[i][0] for i in order], np.int64)
-        self.toxic = np.array([rows[i][1] for i in order], np.int64)
-        self.block, self.n_blocks = block, -(-len(rows) // block)
-        example = np.concatenate([np.full(len(rows[i][2]), k) for k, i in enumerate(order)]) if rows else np.zeros(0, np.int64)
-        term = np.concatenate([rows[i][2] for i in order]).astype(np.int64) if rows else np.zeros(0, np.int64)
-        weight = np.concatenate([weights[i] for i in order]) if rows else np.zeros(0)
+    """Inverted lists of weighted entries, by term and block, with the largest weight of each term in each block."""
+
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], weight: np.ndarray, block: int = BLOCK):
+        """rows: (terms, counts) of each entry, terms in order; weight: of each term, beside its count."""
+        self.term_weight, self.block, self.n = weight, block, len(rows)
+        weights = [self.weigh(t, c) for t, c in rows]
+        # entries of one leading term stand together, so that few blocks have large weights of a term
+        lead = np.array([t[np.argmax(w)] if len(t) else -1 for (t, _), w in zip(rows, weights, strict=True)], np.int64)
+        self.row = np.argsort(lead, kind="stable")
+        sizes = np.array([len(rows[i][0]) for i in self.row], np.int64)
+        cat = lambda parts, kind: np.concatenate([*parts, np.zeros(0, kind)])
+        term, w = cat([rows[i][0] for i in self.row], np.int64).astype(np.int64), cat([weights[i] for i in self.row], float)
+        example = np.repeat(np.arange(self.n), sizes)
         by = np.lexsort((example, term))
-        self.example, self.weight = example[by], weight[by]
-        self.lists = np.searchsorted(term[by], np.arange(n_terms + 1))
-        self.most = np.zeros((n_terms, max(1, self.n_blocks)))
-        np.maximum.at(self.most, (term, example // block), weight)
+        term, self.example, self.weight = term[by], example[by], w[by]
+        new = np.ones(len(term), bool)
+        new[1:] = (term[1:] != term[:-1]) | (self.example[1:] // block != self.example[:-1] // block)
+        first = np.flatnonzero(new)
+        self.post = np.append(first, len(term))
+        self.entry_block = self.example[first] // block
+        self.entry_most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
+        self.entry = np.searchsorted(term[first], np.arange(len(weight) + 1))
+
+    def weigh(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        w = (1 + np.log(counts)) * self.term_weight[terms]
+        size = np.sqrt((w * w).sum())
+        return w / size if size > 0 else w
 
-    def weigh(self, terms, counts) -> np.ndarray:
-        w = (1 + np.log(np.asarray(counts, float))) * self.idf[np.asarray(terms, np.int64)]
-        return w / np.sqrt((w * w).sum())
+    def nearest(self, terms: np.ndarray, counts: np.ndarray, k: int, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of the k entries of largest cosine above 0, and all that tie with the last, with their cosines.
 
-    def nearest(self, terms, counts, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest cosine that share a term, and their cosines."""
+        without: rows that don't count.
+        """
+        none = np.zeros(0, np.int64), np.zeros(0)
+        if not len(terms) or not self.n:
+            return none
         q = self.weigh(terms, counts)
-        bound = q @ self.most[np.asarray(terms, np.int64)]
+        count = self.entry[terms + 1] - self.entry[terms]
+        entry, share = _spread(self.entry[terms], count), np.repeat(q, count)
+        block = self.entry_block[entry]
+        n_blocks = -(-self.n // self.block)
+        bound = np.bincount(block, share * self.entry_most[entry], minlength=n_blocks)
         order = np.argsort(-bound, kind="stable")
-        lists = [(self.example[self.lists[t] : self.lists[t + 1]], self.weight[self.lists[t] : self.lists[t + 1]]) for t in terms]
-        best, cosine, i, step = np.zeros(0, np.int64), np.zeros(0), 0, 1
-        while i < len(order) and bound[order[i]] > 0:
-            if len(best) == k and bound[order[i]] < cosine[-1] - 1e-9:
+        order = order[bound[order] > 0]
+        best, cosine, i = *none, 0
+        for step in (4, 16, len(order)):
+            least = cosine[k - 1] if len(best) >= k else 0.0
+            waiting = order[i : i + step]
+            waiting = waiting[bound[waiting] >= least - 1e-9]  # the others, and all after them, can't reach the k-th
+            if not len(waiting):
                 break
-            some = order[i : i + step]  # a few more blocks each time
-            some = some[bound[some] > 0]
-            found = np.zeros((len(some), self.block))
-            place = np.full(self.n_blocks, -1)
-            place[some] = np.arange(len(some))
-            for w, (example, weight) in zip(q, lists, strict=True):
-                row = place[example // self.block]
-                own = row >= 0
-                found[row[own], example[own] % self.block] += w * weight[own]
-            row, col = np.nonzero(found)
-            best = np.concatenate([best, some[row] * self.block + col])
-            cosine = np.concatenate([cosine, np.round(found[row, col], 12)])
-            top = np.lexsort((self.doc[best], -cosine))[:k]
-            best, cosine = best[top], cosine[top]
-            i, step = i + step, step * 2
-        return best, cosine
-
-
-def _score(index: BlockMaxIndex, weight: tuple[float, float], prior: float, k: int):
+            opened = np.zeros(n_blocks, bool)
+            opened[waiting] = True
+            some = np.flatnonzero(opened[block])
+            first = self.post[entry[some]]
+            size = self.post[entry[some] + 1] - first
+            post = _spread(first, size)
+            found = np.bincount(self.example[post], np.repeat(share[some], size) * self.weight[post], minlength=self.n)
+            if without is not None:
+                found[without[self.row]] = 0
+            hit = np.flatnonzero(found >= max(least - 1e-9, 1e-12))
+            best, cosine = np.concatenate([best, hit]), np.concatenate([cosine, np.round(found[hit], 12)])
+            if len(best) > k:
+                some = np.flatnonzero(cosine >= np.partition(cosine, -k)[-k])
+                best, cosine = best[some], cosine[some]
+            top = np.argsort(-cosine, kind="stable")
+            best, cosine, i = best[top], cosine[top], i + step
+        return self.row[best], cosine
+
+
+def odds_weight(a: np.ndarray, b: np.ndarray, p: int, q: int) -> np.ndarray:
+    """z ** 2 of terms in a of p toxic and b of q other texts; one text shared out by class sizes keeps counts off 0."""
+    a, b = a + p / (p + q), b + q / (p + q)
+    z = (np.log(a / (p + 1)) - np.log(b / (q + 1)) - np.log(p / (p + 1)) + np.log(q / (q + 1))) / np.sqrt(1 / a + 1 / b)
+    return z * z
+
+
+@dataclass
+class Model:
+    """What scoring needs: terms, their weights, entries and the curve from votes to scores."""
+
+    terms: np.ndarray
+    index: BlockMaxIndex
+    votes: np.ndarray  # of each entry: weight of its toxic labels, of all its labels
+    ids: np.ndarray
+    near: np.ndarray  # entries with a sketch, in order of sketch
+    near_sketch: np.ndarray
+    prior: float
+    curve: tuple[float, float] | None = None
+
+    def raw(self, terms: np.ndarray, counts: np.ndarray, k: int, without: int | None = None) -> tuple[float, list[int]]:
+        skip = None
+        if without is not None:
+            skip = np.zeros(self.index.n, bool)
+            skip[self.near[slice(*np.searchsorted(self.near_sketch, [without, without + 1]))]] = True
+        best, cosine = self.index.nearest(terms, counts, k, skip)
+        square = cosine * cosine
+        toxic, every = (square @ self.votes[best]).tolist() if len(best) else (0.0, 0.0)
+        by = np.lexsort((self.ids[best], -cosine))[:k]
+        return (toxic + PRIOR * self.prior) / (every + PRIOR), self.ids[best][by].tolist()
+
+    def score(self, raw: float) -> float:
+        if self.curve is None:
+            return raw
+        a, b = self.curve
+        return float(1 / (1 + np.exp(-(a * _logit(raw) + b))))
+
+
+def _logit(raw) -> np.ndarray:
+    p = np.clip(raw, 1e-3, 1 - 1e-3)
+    return np.log(p / (1 - p))
+
+
+def fitted_curve(raw: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of a logistic curve over the logit of raw scores, by Newton's method, pulled to (1, 0)."""
+    x = np.column_stack([_logit(raw), np.ones(len(raw))])
+    home, at = np.array([1.0, 0.0]), np.array([1.0, 0.0])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(x @ at, -30, 30)))
+        slope = x.T @ (weight * (p - toxic)) + RIDGE * (at - home)
+        bend = (x * (weight * p * (1 - p))[:, None]).T @ x + RIDGE * np.eye(2)
+        at = at - np.linalg.solve(bend, slope)
+        at[0] = max(at[0], 0.05)  # a larger share of toxic votes never scores less
+    return float(at[0]), float(at[1])
+
+
+def _rows(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, list[tuple[np.ndarray, np.ndarray]], np.ndarray]]:
+    for batch, i, doc, term, count, sketch in _vectors(batches):
+        at, hit = _known(term, model.terms)
+        doc, at, count = doc[hit], at[hit], count[hit]
+        cut = np.searchsorted(doc, np.arange(len(sketch) + 1))
+        yield batch, i, [(at[a:b], count[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)], sketch
+
+
+def _scored(model: Model, k: int) -> Callable:
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple, tuple[float, list[int]]] = {}
-        for batch in batches:
-            score, evidence = [], []
-            for terms, counts in zip(batch["terms"].to_pylist(), batch["counts"].to_pylist(), strict=True):
-                key = (*terms, *counts)
+        seen: dict[bytes, tuple[float, list[int]]] = {}
+        for batch, i, rows, _ in _rows(model, batches):
+            out = []
+            for terms, counts in rows:
+                key = terms.tobytes() + counts.tobytes()
                 if key not in seen:
-                    if len(seen) > 50_000:
+                    if len(seen) >= REMEMBERED:
                         seen.clear()
-                    best, cosine = index.nearest(terms, counts, k) if terms and index.n_blocks else (np.zeros(0, np.int64), np.zeros(0))
-                    toxic = index.toxic[best]
-                    vote = cosine**2 * np.where(toxic == 1, weight[1], weight[0])
-                    seen[key] = (float((vote[toxic == 1].sum() + PRIOR * prior) / (vote.sum() + PRIOR)), index.doc[best].tolist())
-                score.append(seen[key][0])
-                evidence.append(seen[key][1])
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(score, pa.float64()), pa.array(evidence, pa.list_(pa.int64()))], ["doc_id", "score", "evidence"])
+                    raw, evidence = model.raw(terms, counts, k)
+                    seen[key] = model.score(raw), evidence
+                out.append(seen[key])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(i, len(out)), pa.array([s for s, _ in out], pa.float64()), pa.array([e for _, e in out], pa.list_(pa.int64()))], ["doc_id", "score", "evidence"])
 
     return f
 
 
-def nearest_toxic(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", examples: int = EXAMPLES, n_terms: int = TERMS, k: int = NEIGHBOURS) -> DataFrame:
+def _unaided(model: Model, k: int) -> Callable:
+    """Raw score of each example without the entries of its sketch."""
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, i, rows, sketch in _rows(model, batches):
+            raw = [model.raw(t, c, k, s)[0] for (t, c), s in zip(rows, sketch.view(np.int64).tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch["toxic"].slice(i, len(raw)), pa.array(raw, pa.float64())], ["toxic", "raw"])
+
+    return f
+
+
+def held_out(doc_id) -> F.Column:
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
+
+
+def _taken(own: DataFrame, known: DataFrame, examples: int, example_bytes: int) -> DataFrame:
+    """(doc_id, toxic, text) of the examples, written once."""
+    taken = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples) for c in (0, 1)]
+    taken = F.broadcast(taken[0].unionByName(taken[1]))  # at most 2 * examples rows of two numbers
+    one = own.join(taken, "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.struct(text_hash(F.col("text")).alias("h"), F.col("text"))).alias("x"))
+    w = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")  # at most `examples` rows each
+    within = one.select("doc_id", "toxic", "x.text").withColumn("bytes", F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(w)).where(F.col("bytes") <= example_bytes)
+    return within.repartition(16, "doc_id").select("doc_id", "toxic", "text").checkpoint()
+
+
+def fit(own: DataFrame, known: DataFrame, examples: int = EXAMPLES, example_bytes: int = EXAMPLE_BYTES, k: int = NEIGHBOURS) -> Model:
+    """own: (doc_id, text); known: (doc_id, toxic) of the rows to learn from, each id once."""
+    sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    share = sizes.get(1, 0) / max(1, sum(sizes.values()))
+    taken = _taken(own, known, examples, example_bytes)
+    rows = sorted(taken.mapInArrow(_examples, EXAMPLE).collect(), key=lambda r: (r["toxic"], r["doc_id"]))  # the examples
+    n = [sum(r["toxic"] == c for r in rows) for c in (0, 1)]
+    empty = Model(np.zeros(0, U64), BlockMaxIndex([], np.zeros(0)), np.zeros((0, 2)), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), share)
+    if not min(n):
+        return empty
+    weight = [sizes[c] / n[c] for c in (0, 1)]
+    vectors = [(np.frombuffer(r["terms"], U64), np.frombuffer(r["counts"], np.int32)) for r in rows]
+    terms, place = np.unique(np.concatenate([t for t, _ in vectors]), return_inverse=True)
+    if not len(terms):
+        return empty
+    # each sketch counts once for a term in its class
+    sketch = np.array([r["sketch"] for r in rows], np.int64)
+    toxic = np.array([r["toxic"] for r in rows])
+    number = np.unique(sketch, return_inverse=True)[1]
+    of = np.repeat(np.arange(len(rows)), [len(t) for t, _ in vectors])
+    having = []
+    for c in (1, 0):
+        mine = toxic[of] == c
+        distinct = np.unique(place[mine] * np.int64(len(rows)) + number[of[mine]]) // len(rows)
+        having += [np.bincount(distinct, minlength=len(terms)), len(np.unique(number[toxic == c]))]
+    counted = own.mapInArrow(_frequencies(terms), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row a term
+    at, times = counted["term"].to_numpy(), counted["n"].to_numpy()
+    df = np.zeros(len(terms), np.int64)
+    df[at[at >= 0]] = times[at >= 0]
+    idf = np.log((1 + times[at < 0].sum()) / (1 + df)) + 1
+    cut = np.searchsorted(of, np.arange(len(rows) + 1))
+    entries: dict[bytes, int] = {}
+    indexed, votes, ids, near = [], [], [], []
+    for i, r in enumerate(rows):
+        if cut[i] == cut[i + 1]:
+            continue
+        key = r["terms"] + r["counts"]
+        if key not in entries:
+            entries[key] = len(indexed)
+            indexed.append((place[cut[i] : cut[i + 1]], vectors[i][1]))
+            votes.append([0.0, 0.0, 0])
+            ids.append(r["doc_id"])
+        e = entries[key]
+        votes[e] = [votes[e][0] + weight[1] * r["toxic"], votes[e][1] + weight[r["toxic"]], votes[e][2] + 1]
+        ids[e] = min(ids[e], r["doc_id"])
+        near.append((r["sketch"], e))
+    votes = np.array(votes)
+    index = BlockMaxIndex(indexed, idf * odds_weight(having[0], having[2], having[1], having[3]))
+    near = np.array(sorted(set(near)), np.int64)
+    model = Model(terms, index, votes[:, :2] / votes[:, 2:], np.array(ids, np.int64), near[:, 1], near[:, 0], share)
+    unaided = taken.mapInArrow(_unaided(model, k), "toxic int, raw double").collect()  # a row an example
+    model.curve = fitted_curve(np.array([r["raw"] for r in unaided]), np.array([r["toxic"] for r in unaided]), np.array([weight[r["toxic"]] for r in unaided]))
+    return model
+
+
+def nearest_toxic(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", examples: int = EXAMPLES, example_bytes: int = EXAMPLE_BYTES, k: int = NEIGHBOURS) -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence) of every row of `docs`."""
     folder(docs.sparkSession)
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    held_out = lambda c: F.crc32(F.col(c).cast("string").cast("binary")) % 5 == 0
     known = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    taken = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples) for c in (0, 1)]
-    taken = taken[0].unionByName(taken[1])
-    taken = F.broadcast(taken)  # at most 2 * examples rows of two numbers
-    n = [min(examples, sizes.get(c, 0)) for c in (0, 1)]
-    stats = own.join(taken, "doc_id").select("text", "toxic").mapInArrow(_presence, "term long, toxic long, sketch long").distinct().checkpoint()
-    n_own = {r["toxic"]: float(r["n"]) for r in stats.groupBy("toxic").agg(F.countDistinct("sketch").alias("n")).collect()}
-    stats = stats.groupBy("term").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
-    a, b, p, q = F.col("a"), F.col("b"), F.lit(n_own.get(1, 0.0)), F.lit(n_own.get(0, 0.0))
-    chi = (p + q) * F.pow(a * (q - b) - b * (p - a), 2) / (p * q * (a + b) * (p + q - a - b))
-    told = stats.where((a + b >= LEAST_DOCS) & (a + b < p + q)).withColumn("chi", chi).where(F.col("chi") >= CHI_SQUARE)
-    chosen = told.orderBy(F.desc("chi"), "term").limit(n_terms).select("term").collect() if min(n) else []
-    terms = np.sort(np.array([r["term"] for r in chosen], np.int64))
-    vectors = own.mapInArrow(_vectors(terms), VECTORS).checkpoint()
-    total, counts = vectors.count(), dict(vectors.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect())
-    idf = np.array([np.log((1 + total) / (1 + counts.get(t, 0))) + 1 for t in range(len(terms))])
-    rows = vectors.join(taken, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "toxic", "terms", "counts").collect()  # the examples
-    weight = tuple(sizes.get(c, 0) / max(1, n[c]) for c in (0, 1))
-    bare = [sum(r["toxic"] == c and not r["terms"] for r in rows) * weight[c] for c in (0, 1)]
-    prior = (bare[1] + 0.5) / (sum(bare) + 1) if min(n) else (1.0 if n[1] else 0.0)
-    index = BlockMaxIndex([tuple(r) for r in sorted(rows, key=lambda r: r["doc_id"]) if r["terms"]], idf)
-    scored = vectors.mapInArrow(_score(index, weight, prior, k), "doc_id long, score double, evidence array<long>")
+    model = fit(own, known, examples, example_bytes, k)
+    scored = own.mapInArrow(_scored(model, k), "doc_id long, score double, evidence array<long>")
     return scored.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 

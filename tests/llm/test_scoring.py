@@ -1,5 +1,11 @@
 from __future__ import annotations
 
+import functools
+import math
+import re
+import zlib
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +14,7 @@ from tephra.llm import op2_line_frequency as op2
 from tephra.llm import op3_nearest_toxic as op3
 from tephra.llm import op5_licence_digest as op5
 from tephra.llm import op7_cross_entropy as op7
+from tephra.llm.text import U64, mix, word_hashes
 from tests.llm import brute
 
 duckdb = pytest.importorskip("duckdb")
@@ -54,20 +61,119 @@ def test_repeated_windows(spark):
 
 def test_block_max_index_is_exact():
     rng = np.random.default_rng(0)
-    rows = []
-    for i in range(300):
-        t = sorted(rng.choice(20, rng.integers(1, 6), replace=False).tolist())
-        rows.append((int(1000 - i), int(rng.integers(2)), t, rng.integers(1, 4, len(t)).tolist()))
-    idf = rng.uniform(0.5, 3, 20)
-    index = op3.BlockMaxIndex(rows, idf, block=16)
-    for _ in range(50):
-        t = sorted(rng.choice(20, rng.integers(1, 5), replace=False).tolist())
-        n = rng.integers(1, 4, len(t)).tolist()
-        q = dict(zip(t, index.weigh(t, n)))
-        every = [(round(sum(q.get(a, 0) * w for a, w in zip(r[2], index.weigh(r[2], r[3]))), 12), r[0]) for r in rows]
-        want = sorted(((-c, d) for c, d in every if c > 0))[:15]
-        best, cosine = index.nearest(t, n, 15)
-        assert index.doc[best].tolist() == [d for _, d in want] and np.allclose(cosine, [-c for c, _ in want])
+    draw = lambda: np.sort(rng.choice(20, rng.integers(1, 6), replace=False))
+    rows = [(t := draw(), rng.integers(1, 4, len(t))) for _ in range(300)]
+    weight = rng.uniform(0.5, 3, 20)
+    weight[3] = 0
+    index = op3.BlockMaxIndex(rows, weight, block=16)
+    for i in range(60):
+        t = draw()
+        n = rng.integers(1, 4, len(t))
+        q = dict(zip(t.tolist(), index.weigh(t, n).tolist()))
+        without = rng.random(300) < 0.3 if i % 2 else None
+        cosine = np.round([sum(q.get(a, 0) * w for a, w in zip(r[0].tolist(), index.weigh(*r).tolist())) for r in rows], 12)
+        if without is not None:
+            cosine[without] = 0
+        last = np.sort(cosine)[-15]
+        want = np.flatnonzero((cosine > 0) & (cosine >= last))
+        best, got = index.nearest(t, n, 15, without)
+        assert np.allclose(np.sort(cosine[best]), np.sort(cosine[want]))
+        assert np.allclose(got, cosine[best])
+
+
+def _plain_scores(rows, labels, k=15):
+    """Scores of rows (doc_id, text) by comparing each with every example, in plain Python; all labelled rows are examples."""
+    def lower(w):
+        return bytes(c + 32 if 65 <= c <= 90 else c for c in w)
+
+    held = lambda d: zlib.crc32(str(d).encode()) % 5 == 0
+    known = {}
+    for d, y in labels:
+        if d is not None and y in (0, 1) and not held(d):
+            known[d] = max(known.get(d, 0), y)
+    texts = [[lower(w) for w in re.findall(rb"[0-9A-Za-z\x80-\xff]+", (t or "").encode())] for _, t in rows]
+    df = Counter(w for t in texts for w in set(t))
+    idf = {w: math.log((1 + len(rows)) / (1 + df[w])) + 1 for w in df}
+    examples = {d: (known[d], t) for (d, _), t in zip(rows, texts) if d in known}  # one text an id in these tables
+    sketches = {tuple(t): frozenset([min(zip(t, t[1:]), key=lambda p: _pair_hash(*p))]) if len(t) > 1 else tuple(t) for _, t in examples.values()}
+    sketch = lambda t: sketches[tuple(t)]
+    sizes = [sum(y == c for y in known.values()) for c in (0, 1)]
+    n = [sum(y == c for y, _ in examples.values()) for c in (0, 1)]
+    classes = [{}, {}]
+    for y, t in examples.values():
+        for w in set(t):
+            classes[y].setdefault(w, set()).add(sketch(t))
+    q, p = (len({sketch(t) for y, t in examples.values() if y == c}) for c in (0, 1))
+    z2 = {}
+    for w in {*classes[0], *classes[1]}:
+        a, b = len(classes[1].get(w, ())) + p / (p + q), len(classes[0].get(w, ())) + q / (p + q)
+        z = (math.log(a / (p + 1)) - math.log(b / (q + 1)) - math.log(p / (p + 1)) + math.log(q / (q + 1))) / math.sqrt(1 / a + 1 / b)
+        z2[w] = z * z
+
+    def vector(t):
+        w = {x: (1 + math.log(c)) * idf[x] * z2[x] for x, c in Counter(t).items() if x in z2}
+        size = math.sqrt(sum(v * v for v in w.values()))
+        return {x: v / size for x, v in w.items()} if size else {}
+
+    entries = {}
+    for d, (y, t) in examples.items():
+        if t:
+            e = entries.setdefault(tuple(sorted(Counter(t).items())), {"v": vector(t), "s": sketch(t), "y": []})
+            e["y"].append(y)
+    weight = [sizes[c] / n[c] for c in (0, 1)]
+
+    def raw(t, without=None):
+        v = vector(t)
+        cosine = sorted(((round(sum(x * e["v"].get(w, 0) for w, x in v.items()), 12), i) for i, e in enumerate(entries.values()) if e["s"] != without), reverse=True)
+        cosine = [(c, i) for c, i in cosine if c > 0]
+        if len(cosine) > k:
+            cosine = [x for x in cosine if x[0] >= cosine[k - 1][0]]
+        toxic = every = 0.0
+        for c, i in cosine:
+            ys = list(entries.values())[i]["y"]
+            toxic += c * c * sum(weight[1] for y in ys if y) / len(ys)
+            every += c * c * sum(weight[y] for y in ys) / len(ys)
+        prior = sizes[1] / sum(sizes)
+        return (toxic + op3.PRIOR * prior) / (every + op3.PRIOR)
+
+    unaided = [(raw(t, sketch(t)), y) for y, t in examples.values()]
+    a, b = op3.fitted_curve(np.array([r for r, _ in unaided]), np.array([y for _, y in unaided]), np.array([weight[y] for _, y in unaided]))
+    logit = lambda x: math.log(min(max(x, 1e-3), 1 - 1e-3) / (1 - min(max(x, 1e-3), 1 - 1e-3)))
+    return sorted(((d, 1 / (1 + math.exp(-(a * logit(raw(t)) + b)))) for (d, _), t in zip(rows, texts)), key=str)
+
+
+@functools.cache
+def _pair_hash(a, b):
+    """The operator's hash of two neighbouring words, as a sketch is the least of them."""
+    h = word_hashes(np.frombuffer(a + b" " + b, np.uint8), np.array([0, len(a) + 1]), np.array([len(a), len(a) + 1 + len(b)]))
+    return int(mix(h[:1] * U64(3) + h[1:])[0])
+
+
+def _close(got, want):
+    assert len(got) == len(want)
+    for a, b in zip(got, want):
+        assert a[0] == b[0] and abs(a[1] - b[1]) < 1e-6
+
+
+def test_toxicity_against_all_cosines(spark, sf_dir, real_rows):
+    labels = [(r.doc_id, r.toxic) for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()]
+    got = sorted(((r.doc_id, r.score) for r in op3.query(spark, sf_dir).collect()), key=str)
+    _close(got, _plain_scores(real_rows, labels))
+
+
+def test_toxicity_of_a_mean_table_against_all_cosines(spark, mean_rows):
+    rows = [r for r in mean_rows if r[0] not in (7, 102)]  # ids with one text each
+    labels = [(d, int(d % 3 == 0)) for d, _ in rows if d is not None and d % 7] + [(50, 1), (50, 0), (51, None), (None, 1), (1, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("toxic", F.lit("clash")).repartition(3)
+    got = op3.nearest_toxic(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    _close(sorted(((r.doc_id, r.score) for r in got.collect()), key=str), _plain_scores(rows, labels))
+
+
+def test_labelled_ids_with_several_texts_are_deterministic(spark):
+    docs, labels = _toxic(spark, 200)
+    more = docs.unionByName(spark.createDataFrame([(i, f"other text {i} vile") for i in range(0, 200, 3)], "doc_id long, text string"))
+    a, b = ({(r.doc_id, r.score) for r in op3.nearest_toxic(x, labels).collect()} for x in (more.repartition(5), more.coalesce(1)))
+    assert a == b
 
 
 def _toxic(spark, n=600):
