@@ -10,12 +10,15 @@ Rates are one row for each source. Up to BROADCAST_SOURCES of them are broadcast
 are joined with SALTS copies of each, so that a source with a third of all rows goes to SALTS tasks.
 
 Up to a rate of DIRECT_RATE the distribution starts at count 0 with exp(-rate); beyond, it starts 12 standard deviations
-below the rate, as multiples of its first term divided by their sum, so no rate underflows. The query and the pipeline
-serve every rate; a call that doesn't say so is refused over MOST_RATE.
+below the rate, as multiples of its first term divided by their sum, so no rate underflows and every rate is served.
+
+The order is that of a hash, which spreads evenly: equal ranges of it are the partitions, and each is sorted. No sample
+of the keys is taken, so rows are drawn and moved once.
 
 A null source and '' are one source. Sources without a given weight, or with a weight that isn't above 0, are left
 out, as are given sources without documents. Rows that repeat a doc_id draw alike. A null doc_id draws as ''. An empty
-table stays empty. Columns of the input named `copy_no` or `shuffle_key` are replaced.
+table stays empty. Columns of the input named `copy_no` or `shuffle_key` are replaced; all others are carried along,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -29,59 +32,61 @@ SEED, TEMPER = "mix-1", 0.5
 BROADCAST_SOURCES, SALTS = 20_000, 64
 #: Rates up to this have a Poisson distribution that doubles hold from count 0 on.
 DIRECT_RATE = 500
-#: Mean repetition over which a call of the operator is refused unless it asks for every rate (most_rate=None).
-MOST_RATE = 500
+ROW, SOURCE = "_mix_row", "_mix_source"
 
 
 def rates(docs: DataFrame, weights: DataFrame | None, source: str, temper: float, total: int | None, most_rate: float | None = None) -> DataFrame:
-    """(__source, __least, __cdf): the distribution of each source from the count __least on, up to where it is 1."""
-    sizes = docs.groupBy(F.coalesce(F.col(source).cast("string"), F.lit("")).alias("__source")).agg(F.count("*").alias("__n"))
+    """(source, least, cdf): the distribution of each source from the count `least` on, up to where it is 1."""
+    named = lambda df: F.coalesce(df[f"`{source}`"].cast("string"), F.lit("")).alias(SOURCE)
+    sizes = docs.groupBy(named(docs)).agg(F.count("*").alias("n"))
     if weights is None:
-        weighed = sizes.withColumn("__w", F.pow(F.col("__n").cast("double"), F.lit(float(temper))))
+        weighed = sizes.withColumn("w", F.pow(F.col("n").cast("double"), F.lit(float(temper))))
     else:
-        given = weights.groupBy(F.coalesce(F.col(source).cast("string"), F.lit("")).alias("__source")).agg(F.max("weight").cast("double").alias("__w"))
-        weighed = sizes.join(given.where(F.col("__w") > 0), "__source")
-    all_of = weighed.agg(F.sum("__w").alias("__all"), F.sum("__n").alias("__rows"))
-    rate = (F.lit(float(total)) if total is not None else F.col("__rows")) * F.col("__w") / F.col("__all") / F.col("__n")
-    out = weighed.crossJoin(F.broadcast(all_of)).select("__source", rate.alias("__rate"))  # one row on the right
+        given = weights.groupBy(named(weights)).agg(F.max("weight").cast("double").alias("w"))
+        weighed = sizes.join(given.where(F.col("w") > 0), SOURCE)
+    all_of = weighed.agg(F.sum("w").alias("all"), F.sum("n").alias("rows"))
+    rate = (F.lit(float(total)) if total is not None else F.col("rows")) * F.col("w") / F.col("all") / F.col("n")
+    out = weighed.crossJoin(F.broadcast(all_of)).select(SOURCE, rate.alias("rate"))  # one row on the right
     if most_rate is not None:
-        checked = F.when(F.col("__rate") <= most_rate, F.col("__rate")).otherwise(F.raise_error(F.concat(F.lit("rate over the most allowed for source "), F.col("__source"))).cast("double"))
-        out = out.withColumn("__rate", checked)
+        checked = F.when(F.col("rate") <= most_rate, F.col("rate")).otherwise(F.raise_error(F.concat(F.lit("rate over the most allowed for source "), F.col(SOURCE))).cast("double"))
+        out = out.withColumn("rate", checked)
     # terms until the rest is far below 2 ** -BITS
-    reach = 12 * F.sqrt("__rate") + 30
-    high = F.col("__rate") > DIRECT_RATE
-    out = out.withColumn("__least", F.when(high, (F.col("__rate") - reach).cast("long")).otherwise(F.lit(0).cast("long")))
-    counts = F.sequence("__least", (F.col("__rate") + reach).cast("long"))
-    step = lambda a, k: F.struct((a["term"] * F.col("__rate") / (k + 1)).alias("term"), (a["sum"] + a["term"]).alias("sum"), F.concat(a["cdf"], F.array(a["sum"] + a["term"])).alias("cdf"))
+    reach = 12 * F.sqrt("rate") + 30
+    high = F.col("rate") > DIRECT_RATE
+    out = out.withColumn("least", F.when(high, (F.col("rate") - reach).cast("long")).otherwise(F.lit(0).cast("long")))
+    counts = F.sequence("least", (F.col("rate") + reach).cast("long"))
+    step = lambda a, k: F.struct((a["term"] * F.col("rate") / (k + 1)).alias("term"), (a["sum"] + a["term"]).alias("sum"), F.concat(a["cdf"], F.array(a["sum"] + a["term"])).alias("cdf"))
     # beyond DIRECT_RATE exp(-rate) may be 0: terms are multiples of the least one, and their sum stands for 1
-    start = F.struct(F.when(high, F.lit(1.0)).otherwise(F.exp(-F.col("__rate"))).alias("term"), F.lit(0.0).alias("sum"), F.array().cast("array<double>").alias("cdf"))
+    start = F.struct(F.when(high, F.lit(1.0)).otherwise(F.exp(-F.col("rate"))).alias("term"), F.lit(0.0).alias("sum"), F.array().cast("array<double>").alias("cdf"))
     cdf = F.aggregate(counts, start, step, lambda a: F.when(high, F.transform(a["cdf"], lambda c: c / a["sum"])).otherwise(a["cdf"]))
-    return out.select("__source", "__least", cdf.alias("__cdf"))
+    return out.select(SOURCE, "least", cdf.alias("cdf"))
 
 
-def poisson_mix(docs: DataFrame, weights: DataFrame | None = None, doc_id: str = "doc_id", source: str = "source", *, seed: str = SEED, temper: float = TEMPER, total: int | None = None, broadcast_sources: int = BROADCAST_SOURCES, salts: int = SALTS, most_rate: float | None = MOST_RATE) -> DataFrame:
+def poisson_mix(docs: DataFrame, weights: DataFrame | None = None, doc_id: str = "doc_id", source: str = "source", *, seed: str = SEED, temper: float = TEMPER, total: int | None = None, broadcast_sources: int = BROADCAST_SOURCES, salts: int = SALTS, most_rate: float | None = None) -> DataFrame:
     """Copies of the rows of `docs` in global order, with copy_no (from 1) and shuffle_key. weights: (source, weight).
 
-    most_rate: a source with a larger mean repetition is refused; None serves every rate.
+    most_rate: refuses a source with a larger mean repetition, if given.
     """
     by_source = rates(docs, weights, source, temper, total, most_rate)
-    own = docs.drop("copy_no", "shuffle_key").withColumn("__source", F.coalesce(F.col(source).cast("string"), F.lit("")))
-    if docs.select(F.coalesce(F.col(source).cast("string"), F.lit("")).alias("s")).distinct().limit(broadcast_sources + 1).count() <= broadcast_sources:
-        drawn = own.join(F.broadcast(by_source), "__source")
+    # the row travels as one struct, so that no name of its columns can clash
+    columns = [c for c in docs.columns if c not in ("copy_no", "shuffle_key")]
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias(ROW), F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")).alias(SOURCE), F.col(f"`{doc_id}`").alias("id"))
+    if own.select(SOURCE).distinct().limit(broadcast_sources + 1).count() <= broadcast_sources:
+        drawn = own.join(F.broadcast(by_source), SOURCE)
     else:
-        own = own.withColumn("__salt", F.pmod(F.xxhash64(doc_id), F.lit(salts)))
-        drawn = own.join(by_source.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>"))), ["__source", "__salt"]).drop("__salt")
-    u = number(F.lit(seed), F.col(doc_id)) / float(1 << BITS)
-    drawn = drawn.withColumn("__u", u)
-    below = F.size(F.filter("__cdf", lambda c: c <= F.col("__u")))
-    count = (F.col("__least") + below).cast("int")
-    copies = drawn.withColumn("__count", count).where(F.col("__count") > 0).withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("__count"))))
-    copies = copies.withColumn("shuffle_key", number(F.lit(seed), F.lit("order"), F.col(doc_id), F.col("copy_no")))
-    return copies.drop("__source", "__least", "__cdf", "__u", "__count").orderBy("shuffle_key", doc_id, "copy_no")
+        own = own.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
+        drawn = own.join(by_source.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>"))), [SOURCE, "salt"])
+    drawn = drawn.withColumn("u", number(F.lit(seed), F.col("id")) / float(1 << BITS))
+    count = (F.col("least") + F.size(F.filter("cdf", lambda c: c <= F.col("u")))).cast("int")
+    copies = drawn.select(ROW, "id", count.alias("count")).where(F.col("count") > 0).select(ROW, "id", F.explode(F.sequence(F.lit(1), F.col("count"))).alias("copy_no"))
+    copies = copies.withColumn("shuffle_key", number(F.lit(seed), F.lit("order"), F.col("id"), F.col("copy_no")))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = F.least(F.floor(F.col("shuffle_key") / float(1 << BITS) * parts).cast("int"), F.lit(parts - 1))
+    return copies.repartitionById(parts, place).sortWithinPartitions("shuffle_key", "id", "copy_no").select(f"{ROW}.*", "copy_no", "shuffle_key")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return poisson_mix(spark.read.parquet(f"{sf_dir}/documents.parquet"), most_rate=None)
+    return poisson_mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 ORACLE = f"""

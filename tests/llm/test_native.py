@@ -104,11 +104,28 @@ def test_mix_reaches_its_weights(spark):
     assert other.count() > 100
 
 
-def test_mix_refuses_absurd_rates_and_keeps_empty(spark, empty_docs):
+def test_mix_refuses_rates_over_a_given_one_and_keeps_empty(spark, empty_docs):
     assert op8.poisson_mix(empty_docs).count() == 0
     docs = spark.createDataFrame([(1, "a")], "doc_id long, source string")
     with pytest.raises(Exception, match="rate"):
-        op8.poisson_mix(docs, total=10_000).collect()
+        op8.poisson_mix(docs, total=10_000, most_rate=500).collect()
+
+
+def test_mix_of_a_rare_source_beside_a_large_one(spark):
+    """One document of a null source beside 300,000 of another has a rate of some 548."""
+    docs = spark.range(300_001).select(F.col("id").alias("doc_id"), F.when(F.col("id") > 0, "a").alias("source"))
+    got = {r.source: r["count"] for r in op8.poisson_mix(docs).groupBy("source").count().collect()}
+    assert abs(got[None] - 547) < 120 and abs(got["a"] - 299_454) < 2800
+
+
+def test_mix_carries_columns_of_any_name(spark):
+    rows = [(i, f"s{i % 3}", i, i, i, i, i, i, i) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, `count` long, u long, cdf long, least long, id long, `__salt` long, `a.b` long")
+    for more in ({}, {"broadcast_sources": 1, "salts": 3}):
+        out = op8.poisson_mix(docs, **more)
+        assert out.columns == [*docs.columns, "copy_no", "shuffle_key"]
+        got = out.collect()
+        assert got and all(set(r[2:9]) == {r.doc_id} for r in got)
 
 
 # ---------------------------------------------------------------- sharding
