@@ -8,8 +8,11 @@ ignored position leaves the seed intact. Items have a seed of each mask at every
 The masks are checked to leave a seed in every window for every choice of substitutions and every place of the
 window in its document; finding is complete, and every hit is verified token by token around the seed.
 
-The seeds of the items are broadcast in blocks of BLOCK_SEEDS at most, whose size is counted first; documents stream
-past them in one stage, with no shuffle of texts or seeds. A longer benchmark takes more blocks, not larger ones.
+A seed of an item carries the tokens around it that verification can need, of which there is a fixed number, so its
+size doesn't grow with the item. The bytes of all seeds are counted first. Up to BLOCKS blocks of BLOCK_BYTES they are
+broadcast, and documents stream past them in one stage, with no shuffle of texts or seeds; the seeds of a long item go
+to several blocks. Beyond that, seeds of documents and items meet in a shuffle, and the documents that have hits are
+joined to them for verification.
 
 Null and empty texts are clean, as are documents shorter than the window. Items with fewer tokens than the window
 (null and empty ones too) find nothing. Rows that repeat a document are judged each, alike. A null doc_id is kept.
@@ -24,13 +27,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tephra.llm.hashing import text_hash
+from tephra.llm.shared import spread
 
 WINDOW, SUBSTITUTIONS = 12, 2
 MASKS = ("11011", "111001")
 #: Documents have a seed of each mask at every STRIDE-th token, items at every token.
 STRIDE = 2
-#: Seeds of items in one broadcast; with an item's token hashes, well under 200 MB.
-BLOCK_SEEDS = 200_000
+#: Bytes of one broadcast of seeds, and number of broadcasts up to which documents are read again for each.
+BLOCK_BYTES, BLOCKS = 64 << 20, 3
 
 
 def complete(masks: Sequence[str], window: int, substitutions: int, stride: int = 1) -> bool:
@@ -56,25 +60,34 @@ def _seeds(tokens: Column, number: int, mask: str, stride: int = 1) -> Column:
     return F.when(F.size(tokens) >= len(mask), every).otherwise(F.array().cast("array<bigint>"))
 
 
-def _agree(doc: Column, at: Column, item: Column, item_at: Column, span: int, window: int, substitutions: int) -> Column:
+def _near(item: Column, at: Column, room: int, window: int) -> Column:
+    """The item's tokens from `room` before a seed to the end of a window that begins with it; NULL beyond the item."""
+    return F.transform(F.sequence(F.lit(-room), F.lit(window - 1)), lambda o: F.get(item, at + o))
+
+
+def _agree(doc: Column, at: Column, near: Column, room: int, span: int, window: int, substitutions: int) -> Column:
     """Whether some window that holds the whole seed lines up, but for the substitutions allowed."""
-    room = window - span
-    same = F.transform(F.sequence(F.lit(-room), F.lit(window - 1)), lambda o: F.coalesce((F.get(doc, at + o) == F.get(item, item_at + o)).cast("int"), F.lit(-window)))
-    return F.exists(F.sequence(F.lit(1), F.lit(room + 1)), lambda s: F.aggregate(F.slice(same, s, window), F.lit(0), lambda a, x: a + x) >= window - substitutions)
+    same = F.transform(near, lambda x, i: F.coalesce((F.get(doc, at + i - room) == x).cast("int"), F.lit(-window)))
+    begins = F.sequence(F.lit(room - (window - span) + 1), F.lit(room + 1))
+    return F.exists(begins, lambda s: F.aggregate(F.slice(same, s, window), F.lit(0), lambda a, x: a + x) >= window - substitutions)
 
 
 def _numbered(mask: int):
     return lambda seed, start: F.struct(seed.alias("seed"), start.alias("at"), F.lit(mask).alias("mask"))
 
 
-def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", *, window: int = WINDOW, substitutions: int = SUBSTITUTIONS, masks: Sequence[str] = MASKS, stride: int = STRIDE, block_seeds: int = BLOCK_SEEDS) -> DataFrame:
+def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", *, window: int = WINDOW, substitutions: int = SUBSTITUTIONS, masks: Sequence[str] = MASKS, stride: int = STRIDE, block_bytes: int = BLOCK_BYTES, most_blocks: int = BLOCKS) -> DataFrame:
     """(doc_id, text_hash, items): each contaminated document and its items in order. text_hash: xxhash64 of the text."""
     if not complete(masks, window, substitutions, stride):
         raise ValueError(f"the masks {masks} miss some {substitutions} substitutions in {window} tokens")
+    room = window - min(map(len, masks))
     known = items.select(F.col(item_id).cast("long").alias("item_id"), _tokens(F.col(item_text)).alias("item")).where(F.size("item") >= window)
-    blocks = max(1, -(-(known.agg(F.sum(F.size("item"))).first()[0] or 0) * len(masks) // block_seeds))
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_hash(F.col(text)).alias("text_hash"), _tokens(F.col(text)).alias("tokens")).where(F.size("tokens") >= window)
-    every = lambda tokens: F.flatten(F.array(*[F.transform(_seeds(tokens, m, mask), _numbered(m)) for m, mask in enumerate(masks)]))
+    seed_bytes = 8 * (window + room) + 64  # the tokens around it, and a row's fixed parts
+    blocks = max(1, -(-(known.agg(F.sum(F.size("item"))).first()[0] or 0) * len(masks) * seed_bytes // block_bytes))
+    every = F.flatten(F.array(*[F.transform(_seeds(F.col("item"), m, mask), _numbered(m)) for m, mask in enumerate(masks)]))
+    seeds = known.select("item_id", "item", F.explode(every).alias("x"))
+    seeds = seeds.select("item_id", F.col("x.seed").alias("seed"), F.col("x.mask").alias("mask"), F.col("x.at").alias("item_at"), _near(F.col("item"), F.col("x.at"), room, window).alias("near"))
+    own = spread(docs).select(F.col(doc_id).cast("long").alias("doc_id"), text_hash(F.col(text)).alias("text_hash"), _tokens(F.col(text)).alias("tokens")).where(F.size("tokens") >= window)
     # seeds of documents stay bare numbers: their places tell mask and start
     parts = [_seeds(F.col("tokens"), m, mask, stride) for m, mask in enumerate(masks)]
     stream = own.select("doc_id", "text_hash", "tokens", F.posexplode(F.concat(*parts)).alias("place", "seed"))
@@ -84,16 +97,21 @@ def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: st
     begin = F.lit(0)
     for m in range(len(masks)):
         begin = F.when(F.col("mask") == m, begins[m]).otherwise(begin)
-    found = None
-    for b in range(blocks):
-        some = known.where(F.pmod(F.xxhash64("item_id", "item"), F.lit(blocks)) == b)
-        some = some.select("item_id", "item", F.explode(every(F.col("item"))).alias("x")).select("item_id", "item", F.col("x.seed").alias("seed"), F.col("x.at").alias("item_at"), F.col("x.mask").alias("mask"))
-        hits = stream.join(F.broadcast(some), "seed").withColumn("at", (F.col("place") - begin) * stride)
-        verified = F.lit(False)
-        for m, mask in enumerate(masks):
-            verified = F.when(F.col("mask") == m, _agree(F.col("tokens"), F.col("at"), F.col("item"), F.col("item_at"), len(mask), window, substitutions)).otherwise(verified)
-        hits = hits.where(verified).select("doc_id", "text_hash", "item_id")
-        found = hits if found is None else found.unionByName(hits)
+    at = (F.col("place") - begin) * stride
+    verified = F.lit(False)
+    for m, mask in enumerate(masks):
+        verified = F.when(F.col("mask") == m, _agree(F.col("tokens"), F.col("at"), F.col("near"), room, len(mask), window, substitutions)).otherwise(verified)
+    if blocks <= most_blocks:
+        found = None
+        for b in range(blocks):
+            some = seeds.where(F.pmod(F.xxhash64("item_id", "item_at"), F.lit(blocks)) == b).drop("item_at") if blocks > 1 else seeds.drop("item_at")
+            hits = stream.join(F.broadcast(some), "seed").withColumn("at", at).where(verified).select("doc_id", "text_hash", "item_id")
+            found = hits if found is None else found.unionByName(hits)
+    else:
+        met = stream.select("doc_id", "text_hash", "place", "seed").join(seeds.drop("item_at"), "seed")
+        texts = own.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "tokens")
+        met = met.join(texts, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")))
+        found = met.withColumn("at", at).where(verified).select("doc_id", "text_hash", "item_id")
     return found.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
 
 

@@ -1,4 +1,4 @@
-"""The folder that driver and executors share, for cutting lineage."""
+"""The folder that driver and executors share, for cutting lineage; and the spread of small scans."""
 
 from __future__ import annotations
 
@@ -32,6 +32,15 @@ def folder(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """The rows over all cores, where they come from a scan of fewer parts (a small or unsplittable table)."""
+    plan = docs._jdf.queryExecution()
+    if "Exchange" in plan.executedPlan().toString():
+        return docs  # dealt out already
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs if plan.toRdd().getNumPartitions() >= cores else docs.repartition(cores)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of `df` from a Parquet table in the shared folder."""
     path = f"{folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -55,22 +55,31 @@ def _planted(spark):
     return docs, table
 
 
-@pytest.mark.parametrize("block", [200_000, 100])
-def test_overlaps_against_brute_force(spark, block):
+@pytest.mark.parametrize("how", [{}, {"block_bytes": 40_000, "most_blocks": 100}, {"block_bytes": 40_000, "most_blocks": 1}])
+def test_overlaps_against_brute_force(spark, how):
     docs, items = _planted(spark)
     frame = spark.createDataFrame(docs, "doc_id long, text string").withColumn("items", F.lit(1))
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = brute.contaminated(docs, items)
     assert 15 < len(want) < 60
-    found = op9.overlaps(frame, bench, block_seeds=block)
+    found = op9.overlaps(frame, bench, **how)
     assert not _python_nodes(found)
     got = {(r.doc_id, tuple(r["items"])) for r in found.collect()}
     assert got == {(docs[r][0], tuple(sorted(i))) for r, i in want.items()}
-    clean = op9.decontaminate(frame, bench, block_seeds=block)
+    clean = op9.decontaminate(frame, bench, **how)
     assert clean.columns == frame.columns
     assert sorted((r.doc_id for r in clean.collect()), key=str) == sorted((d for r, (d, _) in enumerate(docs) if r not in want), key=str)
 
 
+def test_long_items(spark):
+    """Seeds of a long item don't carry the item."""
+    rng = random.Random(4)
+    items = [(i, " ".join(f"w{rng.randrange(10_000)}" for _ in range(5000))) for i in range(20)]
+    docs = [(i, " ".join(items[i][1].split()[1000 * (i % 5) : 1000 * (i % 5) + 20])) for i in range(10)] + [(50, "clean " * 30)]
+    found = op9.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, tuple(r["items"])) for r in found.collect()} == {(i, (i,)) for i in range(10)}
+
+
 def test_empty_benchmark_or_documents(spark, mean_docs, empty_docs):
     none = spark.createDataFrame([], "item_id long, text string")
     assert op9.decontaminate(mean_docs, none).count() == mean_docs.count()
