@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tephra.llm.hashing import text_hash
-from tephra.llm.shared import folder
+from tephra.llm.shared import folder, spread
 from tephra.llm.text import LOWER, Hashes, chunks, covered, utf8, word_hashes, words
 
 MIN_WORDS, REPEAT_PERCENT, REPEAT_WINDOW = 20, 30, 8
@@ -148,7 +148,7 @@ def line_frequency_rules(
     the normalised lines above the limits, NULL where there are none.
     """
     folder(docs.sparkSession)
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.coalesce(F.col(host).cast("string"), F.lit("\x00")).alias("host"), text_hash(F.col(text)).alias("text_hash"))
+    own = spread(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.coalesce(F.col(host).cast("string"), F.lit("\x00")).alias("host"), text_hash(F.col(text)).alias("text_hash"))
     stats = own.mapInArrow(_stats(REPEAT_WINDOW), STATS).withColumn("row", F.monotonically_increasing_id()).checkpoint()
     hosts = stats.groupBy("host").agg(F.count("*").alias("host_docs"))
     lines = stats.select("row", "host", F.explode(F.arrays_zip("line", "line_words")).alias("x")).select("row", "host", F.col("x.line").alias("line"), F.col("x.line_words").alias("words"))

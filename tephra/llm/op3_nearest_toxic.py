@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tephra.llm.hashing import text_hash
-from tephra.llm.shared import folder
+from tephra.llm.shared import folder, spread
 from tephra.llm.text import LOWER, U64, chunks, mix, utf8, word_hashes
 
 EXAMPLES, EXAMPLE_BYTES = 2000, 64 << 20
@@ -362,7 +362,7 @@ def fit(own: DataFrame, known: DataFrame, examples: int = EXAMPLES, example_byte
 def nearest_toxic(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", examples: int = EXAMPLES, example_bytes: int = EXAMPLE_BYTES, k: int = NEIGHBOURS) -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence) of every row of `docs`."""
     folder(docs.sparkSession)
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    own = spread(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     known = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     model = fit(own, known, examples, example_bytes, k)

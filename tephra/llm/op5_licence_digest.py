@@ -21,6 +21,8 @@ from importlib import resources
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tephra.llm.shared import spread
+
 BROADCAST_LICENCES = 10_000
 
 # Spellings that count as one, after the published matching guidelines for licence texts.
@@ -117,7 +119,7 @@ def licence_digests(docs: DataFrame, licences: DataFrame | None = None, doc_id:
     bounds = known.agg(F.min("__least").alias("lo"), F.max("__most").alias("hi"), F.count("*").alias("n")).first()  # one row
     # a spelling changes a word's length by less than a half
     near = (F.col("__most") >= (bounds["lo"] or 0) // 2) & (F.col("__least") <= (bounds["hi"] or 0) * 2)
-    own = _digests(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("__text")), "__text", near).select("doc_id", "__strict", "__loose")
+    own = _digests(spread(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("__text")), "__text", near).select("doc_id", "__strict", "__loose")
     for reading in ("__strict", "__loose"):
         side = known.where(F.length(F.trim("__l")) > 0) if reading == "__loose" else known
         side = side.groupBy(reading).agg(F.min("__licence").alias(f"{reading}_licence"))

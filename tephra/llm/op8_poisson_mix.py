@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tephra.llm.hashing import BITS, number, number_sql
+from tephra.llm.shared import spread
 
 SEED, TEMPER = "mix-1", 0.5
 BROADCAST_SOURCES, SALTS = 20_000, 64
@@ -70,7 +71,7 @@ def poisson_mix(docs: DataFrame, weights: DataFrame | None = None, doc_id: str =
     by_source = rates(docs, weights, source, temper, total, most_rate)
     # the row travels as one struct, so that no name of its columns can clash
     columns = [c for c in docs.columns if c not in ("copy_no", "shuffle_key")]
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias(ROW), F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")).alias(SOURCE), F.col(f"`{doc_id}`").alias("id"))
+    own = spread(docs).select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias(ROW), F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")).alias(SOURCE), F.col(f"`{doc_id}`").alias("id"))
     if own.select(SOURCE).distinct().limit(broadcast_sources + 1).count() <= broadcast_sources:
         drawn = own.join(F.broadcast(by_source), SOURCE)
     else:
