@@ -6,11 +6,9 @@ import argparse
 import importlib
 import json
 import sys
-from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from tephra.config import CatalystConfig, GriddingConfig, ScaleSweepConfig, SignalConfig, ValidationConfig
 from tephra.errors import EngineError
 from tephra.plans import pipelines as pl
 from tephra.session import session
@@ -49,28 +47,26 @@ def ingest_market(spark, a):
 
 
 def grid(spark, a):
-    cube, mean = pl.build_cube(spark.read.parquet(a.observations), GriddingConfig(freq=a.freq))
+    cube, mean = pl.build_cube(spark.read.parquet(a.observations), a.freq)
     sinks.write_cube(cube, f"{a.out}/cube")
     mean.write.mode("overwrite").parquet(f"{a.out}/aoi_mean")
     return {"cube": f"{a.out}/cube"}
 
 
 def attribute(spark, a):
-    cfg = SignalConfig(footprint_radius_km=a.radius, background_mode=a.mode)
-    pl.footprint(spark.read.parquet(a.cube), scans.facilities(spark, a.facilities), cfg).write.mode("overwrite").parquet(a.out)
+    pl.footprint(spark.read.parquet(a.cube), scans.facilities(spark, a.facilities), (a.radius, *pl.RADII[1:]), a.mode).write.mode("overwrite").parquet(a.out)
     return {"signal": a.out}
 
 
 def index(spark, a):
-    cfg = SignalConfig(deseason=a.deseason, anchor=a.anchor)
     meteo = None if a.no_meteo or not a.meteo else spark.read.parquet(a.meteo)
-    out = pl.activity_index(spark.read.parquet(a.signal), meteo, None, cfg, a.freq)
-    sinks.write_index(out, a.out, pl.provenance(cfg, meteo is not None, [c for c in (meteo.columns if meteo is not None else []) if c != "date"]))
+    out = pl.activity_index(spark.read.parquet(a.signal), meteo, None, a.freq, deseason=a.deseason, anchor=a.anchor)
+    sinks.write_index(out, a.out, pl.provenance(a.deseason, a.anchor, *(("linear", [c for c in meteo.columns if c != "date"]) if meteo is not None else ())))
     return {"index": a.out}
 
 
 def validate(spark, a):
-    payload = pl.validate(spark.read.parquet(a.index), spark.read.parquet(a.target), ValidationConfig(freq=a.freq, max_lag=a.max_lag))
+    payload = pl.validate(spark.read.parquet(a.index), spark.read.parquet(a.target), a.freq, max_lag=a.max_lag)
     text = pl.validation_summary(payload)
     sinks.write_report(spark, a.out, payload, text)
     return {"conclusion": payload["conclusion"]}
@@ -92,7 +88,7 @@ def detect_events(spark, a):
 def catalyst(spark, a):
     prices = spark.read.parquet(a.prices) if a.prices else None
     calendar = scans.curtailment_calendar(spark, a.calendar) if a.calendar else None
-    out = pl.catalyst(_residual(spark, a.residual), _residual(spark, a.target), spark.read.parquet(a.meteo) if a.meteo else None, calendar, prices, replace(CatalystConfig(), detector=a.detector), a.freq)
+    out = pl.catalyst(_residual(spark, a.residual), _residual(spark, a.target), spark.read.parquet(a.meteo) if a.meteo else None, calendar, prices, a.freq, detector=a.detector)
     for name in ("events", "matched", "study", "per_event"):
         if name in out:
             out[name].write.mode("overwrite").parquet(f"{a.out}/{name}")
@@ -102,7 +98,7 @@ def catalyst(spark, a):
 
 
 def scale_sweep(spark, a):
-    out = pl.scale_sweep(spark.read.parquet(a.cube), spark.read.parquet(a.target), scans.facilities(spark, a.facilities), ScaleSweepConfig(seed=a.seed), a.draws)
+    out = pl.scale_sweep(spark.read.parquet(a.cube), spark.read.parquet(a.target), scans.facilities(spark, a.facilities), seed=a.seed, draws_boot=a.draws, draws_perm=a.draws)
     sinks.write_table(out, a.out)
     return {"table": a.out}
 
@@ -123,7 +119,7 @@ COMMANDS = {
     "validate": (validate, [("--index", {"required": True}), ("--target", {"required": True}), ("--freq", {"default": "W"}), ("--max-lag", {"type": int, "default": 8}), ("--out", {"required": True})]),
     "detect-events": (detect_events, [("--residual", {"required": True}), ("--detector", {"default": "zscore"}), ("--z", {"type": float, "default": 2.0}), ("--out", {"required": True})]),
     "catalyst": (catalyst, [("--residual", {"required": True}), ("--target", {"required": True}), ("--meteo", {}), ("--calendar", {}), ("--prices", {}), ("--detector", {"default": "zscore"}), ("--freq", {"default": "W"}), ("--out", {"required": True})]),
-    "scale-sweep": (scale_sweep, [("--cube", {"required": True}), ("--target", {"required": True}), ("--facilities", {"required": True}), ("--seed", {"type": int, "default": 20260614}), ("--draws", {"type": int}), ("--out", {"required": True})]),
+    "scale-sweep": (scale_sweep, [("--cube", {"required": True}), ("--target", {"required": True}), ("--facilities", {"required": True}), ("--seed", {"type": int, "default": 20260614}), ("--draws", {"type": int, "default": 5000}), ("--out", {"required": True})]),
     "verify-no2": (verify, [("--manifest", {"required": True}), ("--max-cloud", {"type": float, "default": 0.3}), ("--min-coverage", {"type": float, "default": 0.5}), ("-n", {"type": int, "default": 3})]),
 }
 

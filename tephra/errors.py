@@ -17,6 +17,10 @@ class AcquisitionError(EngineError):
     """Fetching observations failed."""
 
 
+class AuthenticationError(AcquisitionError):
+    """A source let nobody in."""
+
+
 class GriddingError(EngineError):
     """Grids are absent, unequal or empty after a clip."""
 

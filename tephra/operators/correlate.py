@@ -92,16 +92,19 @@ def bh_fdr(df: DataFrame, p: str, by: Sequence[str] = (), alpha: float = 0.05, t
     """Benjamini-Hochberg adjusted p and rejection within each family; NULL p stays and doesn't count."""
     ranked = Window.partitionBy(*by, F.col(p).isNull()).orderBy(p, *tie)
     family = Window.partitionBy(*by, F.col(p).isNull())
-    rough = F.col(p) * F.count(p).over(family) / F.row_number().over(ranked)
-    from_above = ranked.rowsBetween(0, Window.unboundedFollowing)
-    out = df.withColumn("__rough", rough).withColumn("p_fdr", F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.min("__rough").over(from_above))))
-    return out.withColumn("fdr_reject", F.coalesce(F.col("p_fdr") <= alpha, F.lit(False))).drop("__rough")
+    rank = F.row_number().over(ranked)
+    # the least from a rank on is a running least from the last rank down: a frame that only grows
+    down = Window.partitionBy(*by, F.col(p).isNull()).orderBy(F.desc("__rank")).rowsBetween(Window.unboundedPreceding, 0)
+    out = df.withColumn("__rank", rank).withColumn("__rough", F.col(p) * F.count(p).over(family) / F.col("__rank"))
+    out = out.withColumn("p_fdr", F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.min("__rough").over(down))))
+    return out.withColumn("fdr_reject", F.coalesce(F.col("p_fdr") <= alpha, F.lit(False))).drop("__rough", "__rank")
 
 
 def matrix(long: DataFrame, name: str = "name", value: str = "value", on: Sequence[str] = ("date",), least: int = 12) -> DataFrame:
     """Pairwise-complete correlations (a < b) of series with more than `least` values.
 
-    Series of one date are gathered into an array and paired there, so the dates aren't joined with themselves.
+    Series of one date are gathered into an array and paired there, so the dates aren't joined with themselves. The
+    result has a row for every pair of series, so this is for the hundreds of series that a reader can compare.
     """
     known = long.where(F.col(value).isNotNull())
     counts = known.groupBy(name).agg(F.count("*").alias("__c")).where(F.col("__c") > least).select(name)

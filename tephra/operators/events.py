@@ -175,7 +175,8 @@ def enough_events(events: DataFrame, least: int) -> DataFrame:
 def abnormal_returns(prices: DataFrame, benchmark: str, instruments: Sequence[str] | None = None) -> DataFrame:
     """(symbol, date, ret, abnormal_return): simple return less that of the benchmark on the same date.
 
-    Returns are taken on the dates that any symbol has; across a date without a close there is none.
+    Returns are taken on the dates that any symbol has; across a date without a close there is none. Dates are numbered
+    in one task, of which there are as many as days of trading.
     """
     if prices.where((F.col("symbol") == benchmark) & F.col("close").isNotNull()).isEmpty():
         raise MarketDataError(f"no prices of the benchmark {benchmark}")
@@ -191,6 +192,10 @@ def abnormal_returns(prices: DataFrame, benchmark: str, instruments: Sequence[st
     return own.join(market, "date").withColumn("abnormal_return", F.col("ret") - F.col("__m")).where(F.col("abnormal_return").isNotNull()).drop("__m")
 
 
+#: Instruments up to which their list is broadcast.
+MOST_SYMBOLS = 100_000
+
+
 def forward_car(events: DataFrame, returns: DataFrame, window: int = 5, latency_days: int = 2, expected: Mapping[str, int] | None = None) -> DataFrame:
     """Sum of the first `window` abnormal returns from an event's date plus the latency on, for each instrument.
 
@@ -201,11 +206,14 @@ def forward_car(events: DataFrame, returns: DataFrame, window: int = 5, latency_
     w = Window.partitionBy("symbol").orderBy("date").rowsBetween(0, window - 1)
     sums = returns.select("symbol", "date", F.sum("abnormal_return").over(w).alias("car"))
     trades = events.select(F.col("date").alias("event_date"), "direction", F.date_add("date", latency_days).alias("trade_date"))
-    trades = trades.crossJoin(F.broadcast(returns.select("symbol").distinct()))  # every event is studied on every instrument
+    symbols = returns.select("symbol").distinct()
+    few = symbols.limit(MOST_SYMBOLS + 1).count() <= MOST_SYMBOLS
+    trades = trades.crossJoin(F.broadcast(symbols) if few else symbols)  # every event is studied on every instrument
     both = sums.select("symbol", F.col("date").alias("__d"), F.lit(1).alias("__side"), F.lit(None).cast("date").alias("event_date"), F.lit(None).cast("string").alias("direction"), "car")
     both = both.unionByName(trades.select("symbol", F.col("trade_date").alias("__d"), F.lit(0).alias("__side"), "event_date", "direction", F.lit(None).cast("double").alias("car")))
-    ahead = Window.partitionBy("symbol").orderBy("__d", "__side").rowsBetween(0, Window.unboundedFollowing)
-    found = both.withColumn("car", F.first("car", ignorenulls=True).over(ahead)).where(F.col("__side") == 0)
+    # from the last date down, so that the frame only grows
+    down = Window.partitionBy("symbol").orderBy(F.desc("__d"), F.desc("__side")).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("car", F.last("car", ignorenulls=True).over(down)).where(F.col("__side") == 0)
     sign = F.coalesce(*[F.when(F.col("direction") == d, F.lit(s)) for d, s in expected.items()])
     return found.select(F.col("symbol").alias("instrument"), "event_date", "direction", "car", F.when(F.col("car").isNotNull() & sign.isNotNull(), F.signum("car") == sign).alias("hit"))
 

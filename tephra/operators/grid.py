@@ -45,8 +45,9 @@ def composite(observations: DataFrame, freq: str = "W", min_cell_obs: int = 1, m
     by_cell = by_cell.join(totals, "period")  # a row a period, which the planner may broadcast
     by_cell = with_gaps(by_cell, freq, ("iy", "ix", "lat", "lon"), "period")
     valid = F.coalesce("valid", F.lit(0)) >= min_cell_obs
-    w = Window.partitionBy("period")
-    out = by_cell.withColumn("coverage", F.coalesce(F.col("valid") / F.col("total"), F.lit(0.0))).withColumn("period_coverage", F.avg(valid.cast("double")).over(w))
+    # a period's share is an aggregate joined back, not a window, which would hold all cells of a period in one task
+    share = by_cell.groupBy("period").agg(F.avg(valid.cast("double")).alias("period_coverage"))
+    out = by_cell.withColumn("coverage", F.coalesce(F.col("valid") / F.col("total"), F.lit(0.0))).join(share, "period")
     return out.select("period", "iy", "ix", "lat", "lon", F.when(valid & (F.col("period_coverage") >= min_period_coverage), F.col("value")).alias("value"), "coverage", "period_coverage")
 
 
@@ -57,7 +58,7 @@ def aoi_mean(cube: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def spacing(grid: DataFrame, axis: str, index: str) -> DataFrame:
-    """Median step between neighbouring coordinates of an axis."""
+    """Median step between neighbouring coordinates of an axis, whose distinct values one task orders."""
     steps = grid.select(index, axis).distinct().withColumn("step", F.abs(F.col(axis) - F.lag(axis).over(Window.orderBy(index))))
     return steps.agg(F.percentile("step", F.lit(0.5)).alias("spacing"))
 
@@ -170,17 +171,23 @@ def adaptive_radii(diagonal_km: float, radius: float = 15.0, inner: float = 25.0
 def nearest_axis(source: DataFrame, target: DataFrame, coord: str, index: str) -> DataFrame:
     """For each target coordinate the index of the nearest source coordinate (the smaller of two as near).
 
-    Both sides are one axis of a grid, so their sizes are those of an edge, not of the grid.
+    Both axes are ordered together and each target coordinate looks at the source before and after it. One task orders
+    them, as their sizes are those of an edge, not of the grid.
     """
-    pairs = target.select(F.col(index).alias("to"), F.col(coord).alias("__t")).distinct().crossJoin(source.select(F.col(index).alias("from"), F.col(coord).alias("__s")).distinct())
-    return pairs.groupBy("to").agg(F.min_by("from", F.struct(F.abs(F.col("__t") - F.col("__s")), F.col("from"))).alias("from"))
+    own = source.where(F.col(coord).isNotNull()).groupBy(F.col(coord).alias("c")).agg(F.min(index).alias("from")).select("c", "from", F.lit(0).alias("side"), F.lit(None).alias("to"))
+    wanted = target.where(F.col(coord).isNotNull()).select(F.col(coord).alias("c"), F.lit(None).alias("from"), F.lit(1).alias("side"), F.col(index).alias("to")).distinct()
+    here = F.when(F.col("side") == 0, F.struct("c", "from"))
+    look = lambda c: F.last(here, ignorenulls=True).over(Window.orderBy(c, "side").rowsBetween(Window.unboundedPreceding, 0))
+    found = own.unionByName(wanted).withColumn("below", look(F.asc("c"))).withColumn("above", look(F.desc("c"))).where("side = 1")
+    away = lambda s: F.when(F.col(s).isNotNull(), F.struct(F.abs(F.col("c") - F.col(f"{s}.c")).alias("d"), F.col(f"{s}.from").alias("from")))
+    return found.groupBy("to").agg(F.min(F.least(away("below"), away("above"))).alias("n")).select("to", F.col("n.from").alias("from"))
 
 
 def regrid_nearest(source: DataFrame, target: DataFrame, values: Sequence[str], keys: Sequence[str] = ("time",)) -> DataFrame:
     """Values of the nearest source cell, axis by axis, on the cells of the target."""
     ys = nearest_axis(source, target, "lat", "iy").select(F.col("to").alias("iy"), F.col("from").alias("__sy"))
     xs = nearest_axis(source, target, "lon", "ix").select(F.col("to").alias("ix"), F.col("from").alias("__sx"))
-    mapped = cells(target).join(F.broadcast(ys), "iy").join(F.broadcast(xs), "ix")  # an axis each
+    mapped = cells(target).join(ys, "iy").join(xs, "ix")  # the planner broadcasts an axis by its measured size
     return source.select(*keys, F.col("iy").alias("__sy"), F.col("ix").alias("__sx"), *values).join(mapped, ["__sy", "__sx"]).drop("__sy", "__sx")
 
 

@@ -70,15 +70,16 @@ def permutation_p(x: np.ndarray, y: np.ndarray, block: int, draws: int, seed: in
     n = len(x)
     if n < 2 * block or x.std() == 0 or y.std() == 0:
         return math.nan
-    rng = np.random.default_rng(seed)
-    parts = np.array_split(np.arange(n), range(block, n, block))
-    observed = abs(float(correlation(x, y)))
-    strong, left = 0, draws
-    while left:
-        some = min(left, 500)
-        pick = np.stack([np.concatenate([parts[k] for k in rng.permutation(len(parts))]) for _ in range(some)])
-        strong += int((np.abs(correlation(x[pick], y)) >= observed).sum())
-        left -= some
+    # blocks as rows of places, the last one filled up with n, which is taken out again after the reordering
+    rng, count = np.random.default_rng(seed), -(-n // block)
+    places = np.minimum(np.arange(count * block), n).reshape(count, block)
+    centred = y - y.mean()
+    observed, strong = abs(float((x - x.mean()) @ centred)), 0
+    for some in np.array_split(np.arange(draws), max(1, draws * n // 400_000)):
+        order = np.stack([rng.permutation(count) for _ in some])
+        mixed = places[order].reshape(len(some), -1)
+        # a reordering changes neither mean nor spread of x, so sums of products rank as correlations do
+        strong += int((np.abs(x[mixed[mixed < n].reshape(len(some), n)] @ centred) >= observed * (1 - 1e-12)).sum())
     return (strong + 1) / (draws + 1)
 
 
@@ -94,22 +95,34 @@ def mean_interval(x: np.ndarray, draws: int = 2000, seed: int = 12345, alpha: fl
 # ---------------------------------------------------------------- dependence
 
 
-def autocorrelation(x: np.ndarray, k: int) -> float:
-    d = x - x.mean()
+def autocorrelations(x: np.ndarray, most: int) -> np.ndarray:
+    """At lags 1 to `most`, about the mean of the whole; 0 where x doesn't vary or isn't long enough."""
+    d, out = x - x.mean(), np.zeros(most)
+    full = np.correlate(d, d, "full")[len(d) :][:most]
     total = float(d @ d)
-    return float(d[k:] @ d[:-k]) / total if 0 < k < len(x) and total > 0 else 0.0
+    if total > 0:
+        out[: len(full)] = full / total
+    return out
+
 
+def pairs_worth(x: np.ndarray, y: np.ndarray, width: int | None = None) -> float:
+    """Number of independent pairs that n dependent ones are worth.
 
-def effective_sizes(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Effective number of independent pairs: from lag 1 alone, and over a Bartlett window."""
+    The variance of r grows with the products of the autocorrelations of x and y. Without a width they fall off as
+    powers of the product at lag 1, whose sum is known; with one they are summed under a Bartlett window of it.
+    """
     n = len(x)
-    if n < 3 or x.std() == 0 or y.std() == 0:
-        return float(max(n, 2)), float(max(n, 2))
-    product = autocorrelation(x, 1) * autocorrelation(y, 1)
-    first = min(max(n * (1 - product) / (1 + product), 2.0), n) if product > -1 else 2.0
-    width = max(1, min(int(4 * (n / 100) ** (2 / 9)), n - 2))
-    spread = 1 + 2 * sum((1 - k / (width + 1)) * autocorrelation(x, k) * autocorrelation(y, k) for k in range(1, width + 1))
-    return float(first), float(min(max(n / spread, 2.0), n)) if spread > 0 else 2.0
+    if width is None:
+        ab = float(autocorrelations(x, 1)[0] * autocorrelations(y, 1)[0])
+        inflation = (1 + ab) / (1 - ab)
+    else:
+        window = 1 - np.arange(1, width + 1) / (width + 1)
+        inflation = 1 + 2 * float(window @ (autocorrelations(x, width) * autocorrelations(y, width)))
+    return float(np.clip(n / inflation, 2.0, n)) if inflation > 0 else 2.0
+
+
+def bartlett_width(n: int) -> int:
+    return max(1, min(int(4 * (n / 100) ** (2 / 9)), n - 2))
 
 
 # ---------------------------------------------------------------- smoothing
@@ -195,10 +208,8 @@ def seasonal_trend(y: np.ndarray, period: int, seasonal: int = 7, inner: int = 2
 
 def spline_design(t: np.ndarray, df: int) -> np.ndarray:
     """Powers of t up to a cubic; beyond 4 degrees of freedom truncated cubics at even quantiles of [0, 1]."""
-    columns = [t**p for p in range(min(max(df, 1), 4))]
-    inner = max(df - 4, 0)
-    columns += [np.maximum(t - j / (inner + 1), 0) ** 3 for j in range(1, inner + 1)]
-    return np.stack(columns, axis=1)
+    knots = np.linspace(0, 1, max(df - 4, 0) + 2)[1:-1]
+    return np.hstack([np.vander(t, min(max(df, 1), 4), increasing=True), np.clip(t[:, None] - knots, 0, None) ** 3])
 
 
 def smooth(t: np.ndarray, y: np.ndarray, at: np.ndarray, df: float, estimator: str) -> np.ndarray:

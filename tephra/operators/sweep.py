@@ -22,7 +22,7 @@ def robust_row(x: np.ndarray, y: np.ndarray, draws_boot: int, draws_perm: int, s
         floor = float(max(n, 2))
         return {"r": 0.0, "n": n, "p_naive": 1.0, "n_eff_first": floor, "p_eff_first": 1.0, "n_eff_nw": floor, "p_eff_nw": 1.0, "boot_lo": np.nan, "boot_hi": np.nan, "p_perm": 1.0, "block": 0}
     r, block = float(kernels.correlation(x, y)), kernels.blocks_of(n)
-    first, nw = kernels.effective_sizes(x, y)
+    first, nw = kernels.pairs_worth(x, y), kernels.pairs_worth(x, y, kernels.bartlett_width(n))
     low, high = kernels.bootstrap_interval(x, y, block, draws_boot, seed)
     p = [float(kernels.p_of_r(r, m)) for m in (n, first, nw)]
     return {"r": r, "n": n, "p_naive": p[0], "n_eff_first": first, "p_eff_first": p[1], "n_eff_nw": nw, "p_eff_nw": p[2], "boot_lo": low, "boot_hi": high, "p_perm": kernels.permutation_p(x, y, block, draws_perm, seed), "block": block}

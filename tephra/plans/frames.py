@@ -137,3 +137,12 @@ def masks_sql(radius: float = 15, inner: float = 25, outer: float = 60) -> str:
 fp AS (SELECT * FROM cells c WHERE EXISTS (SELECT 1 FROM act a WHERE {haversine_sql('c.lat', 'c.lon', 'a.latitude', 'a.longitude')} <= {radius})),
 ring AS (SELECT c.* FROM cells c, (SELECT avg(longitude) AS clon, avg(latitude) AS clat FROM act) m WHERE {haversine_sql('c.lat', 'c.lon', 'm.clat', 'm.clon')} BETWEEN {inner} AND {outer}
   AND c.lon BETWEEN 117.964 - 0.25 AND 119.047 + 0.25 AND c.lat BETWEEN 38.954 - 0.25 AND 40.210 + 0.25 AND NOT EXISTS (SELECT 1 FROM fp WHERE fp.iy = c.iy AND fp.ix = c.ix))"""
+
+
+def effective_n_sql(first: str, nw: str, r: str | None = None) -> str:
+    """n and its effective sizes of the weekly pair, and its correlation under the name r."""
+    more = f", round((SELECT corr(x, y) FROM pr), 4) AS {r}" if r else ""
+    return f"""WITH {pair_sql()}, z AS (SELECT date, x - avg(x) OVER () AS a, y - avg(y) OVER () AS b FROM pr), l AS (SELECT k, a, b, lag(a, k) OVER (PARTITION BY k ORDER BY date) AS la, lag(b, k) OVER (PARTITION BY k ORDER BY date) AS lb FROM z, (SELECT unnest(range(1, 32))::INT AS k)),
+p AS (SELECT k, (sum(a * la) / sum(a * a)) * (sum(b * lb) / sum(b * b)) AS ab FROM l GROUP BY 1), n AS (SELECT count(*)::DOUBLE AS n, greatest(1, least(floor(4 * pow(count(*) / 100, 2 / 9.0::DOUBLE)), count(*) - 2)) AS w FROM pr),
+s AS (SELECT n, max(ab) FILTER (k = 1) AS ab1, 1 + 2 * sum(CASE WHEN k <= w THEN (1 - k / (w + 1)) * ab ELSE 0 END) AS spread FROM p, n GROUP BY n)
+SELECT n::BIGINT AS n{more}, round(least(greatest(n * (1 - ab1) / (1 + ab1), 2), n), 4) AS {first}, round(least(greatest(n / spread, 2), n), 4) AS {nw} FROM s"""

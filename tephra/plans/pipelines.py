@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import asdict
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tephra.config import ENVELOPE, CatalystConfig, Config, GriddingConfig, ScaleSweepConfig, SignalConfig, ValidationConfig
+from tephra.config import ACTIVE_STATUS, ENVELOPE
 from tephra.errors import IncompleteCubeError, InsufficientOverlapError
 from tephra.functions import statistics as st
 from tephra.functions.calendar import PERIODS
@@ -21,6 +20,7 @@ from tephra.operators import index as ix
 from tephra.operators import series as se
 from tephra.operators import sweep as sw
 from tephra.operators import trend as tr
+from tephra.sources.scratch import stored
 
 ONE = ["series_id"]
 
@@ -28,11 +28,14 @@ ONE = ["series_id"]
 VARIANTS = {"level": "none", "yoy": "yoy", "intensity": "intensity-model", "harmonic": "harmonic", "stl": "stl", "yoy-double-diff": "yoy-double-diff"}
 
 
-def build_cube(observations: DataFrame, cfg: GriddingConfig | None = None) -> tuple[DataFrame, DataFrame]:
-    """The composite cube and its mean series; grids of different shapes are refused."""
-    cfg = cfg or GriddingConfig()
+# Months of the heating season.
+HEATING_MONTHS = (11, 12, 1, 2, 3)
+
+
+def build_cube(observations: DataFrame, freq: str = "W", **screens) -> tuple[DataFrame, DataFrame]:
+    """The composite cube and its mean series; grids of different shapes are refused. screens: those of `composite`."""
     g.uniform_shape(observations)
-    cube = g.composite(observations, cfg.freq, cfg.min_cell_obs, cfg.min_period_coverage)
+    cube = g.composite(observations, freq, **screens)
     return cube, g.aoi_mean(cube)
 
 
@@ -43,11 +46,13 @@ def assert_complete(cube: DataFrame, first: str, last: str, freq: str = "W", lea
     return fraction
 
 
-def footprint(cube: DataFrame, facilities: DataFrame, cfg: SignalConfig | None = None) -> DataFrame:
+# Radius of the footprint and of the ring around it, in km.
+RADII = (15.0, 25.0, 60.0)
+
+
+def footprint(cube: DataFrame, facilities: DataFrame, radii: tuple[float, float, float] = RADII, mode: str = "subtract", status: Sequence[str] = ACTIVE_STATUS) -> DataFrame:
     """Footprint signal around the active facilities; degenerate masks are refused."""
-    cfg = cfg or SignalConfig()
-    masks = g.checked_masks(g.cells(cube), g.active(facilities, cfg.active_status), cfg.footprint_radius_km, cfg.background_inner_km, cfg.background_outer_km)
-    return g.footprint_signal(cube, *masks, mode=cfg.background_mode)
+    return g.footprint_signal(cube, *g.checked_masks(g.cells(cube), g.active(facilities, status), *radii), mode=mode)
 
 
 def meteo_series(meteo: DataFrame, footprint_cells: DataFrame, values: Sequence[str], freq: str = "W") -> DataFrame:
@@ -59,57 +64,64 @@ def meteo_series(meteo: DataFrame, footprint_cells: DataFrame, values: Sequence[
     return out.withColumn("wind_speed", F.hypot("u10", "v10")) if {"u10", "v10"} <= set(values) else out
 
 
-def activity_index(signal: DataFrame, meteo: DataFrame | None = None, calendar: DataFrame | None = None, cfg: SignalConfig | None = None, freq: str = "W") -> DataFrame:
+def activity_index(signal: DataFrame, meteo: DataFrame | None = None, calendar: DataFrame | None = None, freq: str = "W", *, form: str = "linear", deseason: str = "yoy", anchor: str = "zscore", heating_months: tuple[int, ...] = HEATING_MONTHS) -> DataFrame:
     """(series_id, date, index_value, valid_coverage) from a footprint signal with no2_corrected and valid_coverage."""
-    cfg = cfg or SignalConfig()
     s = signal.withColumn("series_id", F.lit("signal")).select("series_id", "date", F.col("no2_corrected").alias("value"), "valid_coverage")
     cover = s.select("date", "valid_coverage")
     value = "value"
     if meteo is not None:
         names = [c for c in meteo.columns if c not in ("date", "series_id")]
         joined = s.join(meteo.select("date", *names), "date", "left")
-        s, value = tr.regress_out(joined, "value", names, ONE, cfg.meteo_form), "residual"
-    s = ix.deseasonalise(s.select("series_id", "date", F.col(value).alias("value")), "value", ONE, cfg.deseason, PERIODS[freq], "flat").select("series_id", "date", "flat")
+        s, value = tr.regress_out(joined, "value", names, ONE, form), "residual"
+    s = ix.deseasonalise(s.select("series_id", "date", F.col(value).alias("value")), "value", ONE, deseason, PERIODS[freq], "flat").select("series_id", "date", "flat")
     if calendar is None:
-        s = ix.without_heating(s, "flat", cfg.heating_months, ONE)
+        s = ix.without_heating(s, "flat", heating_months, ONE)
     else:
         from tephra.functions.calendar import heating_season
 
-        s = ix.in_interval(s.withColumn("heating", heating_season(F.col("date"), cfg.heating_months)), calendar)
+        s = ix.in_interval(s.withColumn("heating", heating_season(F.col("date"), heating_months)), calendar)
         s = ix.without_terms(s, "flat", ["heating", "curtailment"], ONE)
-    out = ix.build_index(s, "flat", ONE, cfg.anchor).join(cover, "date", "left")
+    out = ix.build_index(s, "flat", ONE, anchor).join(cover, "date", "left")
     return out.select("series_id", "date", "index_value", "valid_coverage")
 
 
-def provenance(cfg: SignalConfig, meteo: bool, covariates: Sequence[str] = ()) -> dict:
-    """What an index was made with, beside it."""
-    return {"anchor": cfg.anchor, "attributable_cap": list(cfg.attributable_cap), "deseason_method": cfg.deseason, "structural_terms": ["heating_season"], "harmonic_order": cfg.harmonic_order if cfg.deseason == "harmonic" else None} | ({"meteo_form": cfg.meteo_form, "meteo_covariates": list(covariates)} if meteo else {})
+# Bounds of the share of the column that a source region can have.
+ATTRIBUTABLE_CAP = (0.30, 0.43)
 
 
-def aligned(index: DataFrame, target: DataFrame, cfg: ValidationConfig | None = None) -> DataFrame:
+def provenance(deseason: str, anchor: str, form: str | None = None, covariates: Sequence[str] = ()) -> dict:
+    """What an index was made with, beside it. form: how covariates were removed, if they were."""
+    notes = {"anchor": anchor, "attributable_cap": list(ATTRIBUTABLE_CAP), "deseason_method": deseason, "structural_terms": ["heating_season"], "harmonic_order": 1 if deseason == "harmonic" else None}
+    return notes | ({"meteo_form": form, "meteo_covariates": list(covariates)} if form else {})
+
+
+def aligned(index: DataFrame, target: DataFrame, freq: str = "W", min_coverage: float = 0.25) -> DataFrame:
     """(date, index, benchmark) on periods that both have, after the coverage screen."""
-    cfg = cfg or ValidationConfig()
     x, y = pick_column(index, PREDICTORS, "predictor"), pick_column(target, TARGETS, "target")
-    value = coverage_screen(F.col(x), F.col("valid_coverage"), cfg.min_coverage) if "valid_coverage" in index.columns else F.col(x)
-    left = se.resample(index.select("date", value.alias("index")), cfg.freq, ["index"])
-    right = se.resample(target.select("date", F.col(y).alias("benchmark")), cfg.freq, ["benchmark"])
+    value = coverage_screen(F.col(x), F.col("valid_coverage"), min_coverage) if "valid_coverage" in index.columns else F.col(x)
+    left = se.resample(index.select("date", value.alias("index")), freq, ["index"])
+    right = se.resample(target.select("date", F.col(y).alias("benchmark")), freq, ["benchmark"])
     return se.align(left, right)
 
 
-def validate(index: DataFrame, target: DataFrame, cfg: ValidationConfig | None = None) -> dict:
+# Correlations from which a finding counts as weak and as strong.
+BAR = (0.50, 0.75)
+
+
+def validate(index: DataFrame, target: DataFrame, freq: str = "W", *, min_coverage: float = 0.25, max_lag: int = 8, min_overlap: int = 26, bar: tuple[float, float] = BAR, alpha: float = 0.05) -> dict:
     """Payload of a validation: correlation, sign, lead-lag, conclusion. A null result is a result."""
-    cfg = cfg or ValidationConfig()
-    both = aligned(index, target, cfg).withColumn("series_id", F.lit("signal")).persist()
+    how = {"freq": freq, "min_coverage": min_coverage, "max_lag": max_lag, "min_overlap": min_overlap, "bar": bar, "alpha": alpha}
+    both = aligned(index, target, freq, min_coverage).withColumn("series_id", F.lit("signal")).persist()
     try:
         n = both.count()
-        if n < cfg.min_overlap:
-            raise InsufficientOverlapError(f"{n} periods overlap, {cfg.min_overlap} are needed")
+        if n < min_overlap:
+            raise InsufficientOverlapError(f"{n} periods overlap, {min_overlap} are needed")
         r = co.correlate(both, "index", "benchmark", ONE)
-        table = co.ccf(both, "index", "benchmark", cfg.max_lag, ONE)
-        significant = F.col("p") < cfg.alpha
-        row = r.join(co.peak(table, ONE), ONE).select("r", "n", "p", "ci_low", "ci_high", "peak_lag", "peak_r", "band", significant.alias("significant"), st.sign_label(F.col("r"), significant).alias("sign"), st.bar_class(F.col("peak_r"), cfg.bar).alias("bar"), st.lead_conclusion(significant, F.col("peak_r"), F.col("peak_lag"), cfg.bar).alias("conclusion")).first().asDict()
+        table = co.ccf(both, "index", "benchmark", max_lag, ONE)
+        significant = F.col("p") < alpha
+        row = r.join(co.peak(table, ONE), ONE).select("r", "n", "p", "ci_low", "ci_high", "peak_lag", "peak_r", "band", significant.alias("significant"), st.sign_label(F.col("r"), significant).alias("sign"), st.bar_class(F.col("peak_r"), bar).alias("bar"), st.lead_conclusion(significant, F.col("peak_r"), F.col("peak_lag"), bar).alias("conclusion")).first().asDict()
         lags = [x.asDict() for x in table.select("lag", "r", "n").orderBy("lag").collect()]  # 2 * max_lag + 1 rows
-        return row | {"ccf": lags, "config": asdict(cfg)}
+        return row | {"ccf": lags, "config": how}
     finally:
         both.unpersist()
 
@@ -127,48 +139,51 @@ def validation_summary(payload: Mapping) -> str:
     ])
 
 
-def catalyst(residual: DataFrame, target: DataFrame, meteo: DataFrame | None = None, calendar: DataFrame | None = None, prices: DataFrame | None = None, cfg: CatalystConfig | None = None, freq: str = "W") -> dict[str, DataFrame]:
+# Symbols of the market study.
+INSTRUMENTS, BENCHMARK = ("BHP", "RIO", "VALE", "SLX"), "ACWI"
+
+
+def catalyst(residual: DataFrame, target: DataFrame, meteo: DataFrame | None = None, calendar: DataFrame | None = None, prices: DataFrame | None = None, freq: str = "W", *, detector: str = "zscore", z_thresh: float = 2.0, min_periods: int = 12, min_coverage: float = 0.25, ventilation_z: float = 1.5, jump_z: float = 1.5, match_window: int = 2, study_window: int = 5, latency_days: int = 2, min_events: int = 5, instruments: Sequence[str] = INSTRUMENTS, benchmark: str = BENCHMARK) -> dict[str, DataFrame]:
     """Events, their matching with production, and the market study where there are prices.
 
     residual: (series_id, date, residual_activity and perhaps valid_coverage); target: (series_id, date, value).
+    match_window: in periods.
     """
-    cfg = cfg or CatalystConfig()
     vent = None
     if meteo is not None:
         residual = residual.join(ev.with_ventilation(meteo).select("date", "vent"), "date", "left")
         vent = "vent"
-    found = ev.detect(residual, "residual_activity", ONE, method=cfg.detector, z_thresh=cfg.z_thresh, min_periods=cfg.min_periods, coverage="valid_coverage" if "valid_coverage" in residual.columns else None, min_coverage=cfg.min_coverage, vent=vent, ventilation_z=cfg.ventilation_z)
-    ev.enough_events(found, cfg.min_events)
-    production = ev.production_events(ev.jump_events(target, "value", ONE, cfg.jump_z, cfg.min_periods), calendar)
-    matched = ev.match(found, production, cfg.match_window * (7 if freq == "W" else 30))
+    found = ev.detect(residual, "residual_activity", ONE, method=detector, z_thresh=z_thresh, min_periods=min_periods, coverage="valid_coverage" if "valid_coverage" in residual.columns else None, min_coverage=min_coverage, vent=vent, ventilation_z=ventilation_z)
+    ev.enough_events(found, min_events)
+    production = ev.production_events(ev.jump_events(target, "value", ONE, jump_z, min_periods), calendar)
+    matched = ev.match(found, production, match_window * (7 if freq == "W" else 30))
     out = {"events": ev.confirm(found, matched), "production": production, "matched": matched, "summary": ev.conclusion(ev.match_summary(found, production, matched))}
     if prices is not None:
         confirmed = out["events"].where("confirmed")
-        used = confirmed if confirmed.limit(cfg.min_events).count() >= cfg.min_events else out["events"]
-        out["per_event"] = ev.forward_car(used, ev.abnormal_returns(prices, cfg.benchmark, cfg.instruments), cfg.study_window, cfg.latency_days)
+        used = confirmed if confirmed.limit(min_events).count() >= min_events else out["events"]
+        out["per_event"] = ev.forward_car(used, ev.abnormal_returns(prices, benchmark, instruments), study_window, latency_days)
         intervals = ev.mean_intervals(out["per_event"].where("car IS NOT NULL"), "car", ["instrument"])
         out["study"] = ev.study(out["per_event"]).join(intervals, "instrument", "left")
         out["verdict"] = ev.market_verdict(out["study"])
     return out
 
 
-def scale_signal(cube: DataFrame, facilities: DataFrame, buffer: float, fx: int = 1, fy: int = 1, least_cells: int = 4, cfg: SignalConfig | None = None) -> DataFrame:
+def scale_signal(cube: DataFrame, facilities: DataFrame, buffer: float, fx: int = 1, fy: int = 1, least_cells: int = 4, radii: tuple[float, float, float] = RADII, mode: str = "subtract") -> DataFrame:
     """(date, value, label, n_cells) of a clip of the cube in blocks of fx by fy cells.
 
     With too few cells for a footprint, or without a ring, the mean of the whole clip stands in and says so.
     """
-    cfg = cfg or SignalConfig()
     part = g.checked_clip(cube, ENVELOPE.buffered(buffer))
     if fx > 1 or fy > 1:
         low = part.agg(F.min("ix").alias("x0"), F.min("iy").alias("y0"))
         part = part.crossJoin(F.broadcast(low)).withColumn("ix", F.col("ix") - F.col("x0")).withColumn("iy", F.col("iy") - F.col("y0")).drop("x0", "y0")  # one row
         part = g.coarsen(part, fx, fy)
     cells = g.cells(part)
-    fp = g.radius_mask(cells, facilities, cfg.footprint_radius_km)
-    ring = g.ring_mask(cells, fp, facilities, cfg.background_inner_km, cfg.background_outer_km)
+    fp = g.radius_mask(cells, facilities, radii[0])
+    ring = g.ring_mask(cells, fp, facilities, *radii[1:])
     n_cells, n_ring = fp.count(), ring.limit(1).count()  # sizes of masks, not of the cube
     if n_cells >= least_cells and n_ring:
-        return g.footprint_signal(part, fp, ring, cfg.background_mode).select("date", F.col("no2_corrected").alias("value"), F.lit("footprint").alias("label"), F.lit(n_cells).alias("n_cells"))
+        return g.footprint_signal(part, fp, ring, mode).select("date", F.col("no2_corrected").alias("value"), F.lit("footprint").alias("label"), F.lit(n_cells).alias("n_cells"))
     return part.groupBy(F.col("period").alias("date")).agg(F.avg("value").alias("value")).select("date", "value", F.lit("aoi-mean-fallback").alias("label"), F.lit(cells.count()).alias("n_cells"))
 
 
@@ -183,28 +198,35 @@ def variants(signals: DataFrame, by: Sequence[str], freqs: Sequence[str], names:
     return reduce(DataFrame.unionByName, out)
 
 
-def sweep_rows(signals: DataFrame, target: DataFrame, by: Sequence[str], freqs: Sequence[str], names: Sequence[str], cfg: ScaleSweepConfig, draws: int | None = None) -> DataFrame:
-    """Robust correlations of all variants with a target (date, value), adjusted within lag kinds, with verdicts."""
+def sweep_rows(signals: DataFrame, target: DataFrame, by: Sequence[str], freqs: Sequence[str], names: Sequence[str], *, alpha: float = 0.05, **how) -> DataFrame:
+    """Robust correlations of all variants with a target (date, value), adjusted within lag kinds, with verdicts.
+
+    how: lags, overlap, draws and seed, as `robust_correlations` takes them.
+    """
     made = variants(signals, by, freqs, names)
     parts = [se.resample(target, f, ["value"]).select(F.lit(f).alias("freq"), "date", F.col("value").alias("y")) for f in freqs]
     joined = made.join(reduce(DataFrame.unionByName, parts), ["freq", "date"]).where("v IS NOT NULL AND y IS NOT NULL")
-    rows = sw.robust_correlations(joined, "v", "y", [*by, "freq", "variant"], max_lag=cfg.max_lag, min_overlap=cfg.min_overlap, draws_boot=draws or cfg.n_boot, draws_perm=draws or cfg.n_perm, seed=cfg.seed)
-    return sw.verdicts(rows, cfg.fdr_alpha, [*by, "freq", "variant"])
+    rows = sw.robust_correlations(joined, "v", "y", [*by, "freq", "variant"], **how)
+    return sw.verdicts(rows, alpha, [*by, "freq", "variant"])
 
 
-def scale_sweep(cube: DataFrame, target: DataFrame, facilities: DataFrame, cfg: ScaleSweepConfig | None = None, draws: int | None = None) -> DataFrame:
+# The grid of a sweep.
+BUFFERS, RESOLUTIONS, SWEPT, FREQUENCIES = (0.25, 0.10), ("native", 0.10, 0.15, 0.25), ("level", "yoy", "intensity", "harmonic"), ("W", "ME")
+
+
+def scale_sweep(cube: DataFrame, target: DataFrame, facilities: DataFrame, buffers: Sequence[float] = BUFFERS, resolutions: Sequence[float | str] = RESOLUTIONS, names: Sequence[str] = SWEPT, freqs: Sequence[str] = FREQUENCIES, least_cells: int = 4, **how) -> DataFrame:
     """Extent x resolution x frequency x variant x lag as one frame; resampling runs in parallel over its keys."""
-    cfg = cfg or ScaleSweepConfig()
     native = [g.spacing(cube, a, i).first()[0] for a, i in (("lon", "ix"), ("lat", "iy"))]
     signals = None
-    for buffer in cfg.buffers:
-        for res in cfg.resolutions:
+    for buffer in buffers:
+        for res in resolutions:
             fx, fy = (1, 1) if res == "native" else [round(float(res) / s) for s in native]
             if min(fx, fy) < 1:
                 continue  # finer than the grid
-            own = scale_signal(cube, facilities, buffer, fx, fy, cfg.min_footprint_cells).select(F.lit(float(buffer)).alias("buffer"), F.lit(str(res)).alias("resolution"), "label", "date", "value")
+            own = scale_signal(cube, facilities, buffer, fx, fy, least_cells).select(F.lit(float(buffer)).alias("buffer"), F.lit(str(res)).alias("resolution"), "label", "date", "value")
             signals = own if signals is None else signals.unionByName(own)
-    return sweep_rows(signals, target, ["buffer", "resolution", "label"], cfg.freqs, cfg.variants, cfg, draws)
+    # rows a period each; every variant reads them
+    return sweep_rows(stored(signals, "signals"), stored(target, "target"), ["buffer", "resolution", "label"], freqs, names, **how)
 
 
 def robust_changes(rows: DataFrame) -> DataFrame:
@@ -212,7 +234,3 @@ def robust_changes(rows: DataFrame) -> DataFrame:
     native = rows.where(F.col("resolution") == "native").select("buffer", "freq", "variant", "lag_kind", F.signum("r").alias("__s"))
     both = rows.join(native, ["buffer", "freq", "variant", "lag_kind"], "left")
     return both.groupBy("resolution").agg(F.count("*").alias("n"), F.count_if(F.col("verdict") == "robust").alias("robust"), F.count_if(F.col("verdict").startswith("fragile")).alias("naive_only"), F.count_if(F.signum("r") != F.col("__s")).alias("sign_changes"))
-
-
-def default_config() -> Config:
-    return Config()

@@ -117,12 +117,10 @@ def match_summary(spark, d):
 SELECT n_no2, n_prod, n_matched, round(median_lead_days, 6) AS median_lead_days, CASE WHEN n_matched = 0 OR n_matched / n_no2 < 0.3 THEN 'null' WHEN median_lead_days > 1 AND lead_positive_frac >= 0.5 THEN 'lead' ELSE 'coincident' END AS conclusion FROM su""")
 def catalyst_run(spark, d):
     """A whole event study, up to its summary."""
-    from tephra.config import CatalystConfig
     from tephra.plans.pipelines import catalyst
 
     residual = fr.signal(spark, d).withColumnRenamed("value", "residual_activity")
-    cfg = CatalystConfig(z_thresh=1.0, match_window=3, min_events=1)
-    out = catalyst(residual, fr.target(spark, d), None, _calendar(spark), None, cfg)["summary"]
+    out = catalyst(residual, fr.target(spark, d), None, _calendar(spark), z_thresh=1.0, match_window=3, min_events=1)["summary"]
     return rounded(out.select("n_no2", "n_prod", "n_matched", "median_lead_days", "conclusion"))
 
 

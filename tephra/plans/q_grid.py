@@ -50,7 +50,7 @@ def clip_tight(spark, d):
     return g.clip(_cells(spark, d), _TIGHT).select("iy", "ix")
 
 
-@query("F1, F6, S2", f"WITH {fr.FACILITIES} SELECT round(min(longitude), 6) AS min_lon, round(min(latitude), 6) AS min_lat, round(max(longitude), 6) AS max_lon, round(max(latitude), 6) AS max_lat FROM act")
+@query("F1, F6", f"WITH {fr.FACILITIES} SELECT round(min(longitude), 6) AS min_lon, round(min(latitude), 6) AS min_lat, round(max(longitude), 6) AS max_lon, round(max(latitude), 6) AS max_lat FROM act")
 def facility_envelope(spark, d):
     return rounded(g.envelope(_active(spark, d)))
 
@@ -115,7 +115,7 @@ def meteo_footprint(spark, d):
     return rounded(resample(daily, "W", ["u10", "v10", "blh"]).withColumn("wind_speed", F.hypot("u10", "v10")))
 
 
-@query("F11, F12", """SELECT event_id, ts::TIMESTAMP AS ts FROM events WHERE hour(ts) BETWEEN 4 AND 6 OR NOT (SELECT bool_or(hour(ts) BETWEEN 4 AND 6) FROM events)""")
+@query("F11", """SELECT event_id, ts::TIMESTAMP AS ts FROM events WHERE hour(ts) BETWEEN 4 AND 6 OR NOT (SELECT bool_or(hour(ts) BETWEEN 4 AND 6) FROM events)""")
 def overpass_window(spark, d):
     return g.overpass_hours(fr.table(spark, d, "events"), "ts").select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
@@ -157,7 +157,7 @@ def scale_fallback(spark, d):
     return rounded(scale_signal(fr.cube(spark, d), _active(spark, d), 0.10, 2, 2, least_cells=99).select("date", "value", "label"))
 
 
-@query("K3, S6", f"WITH {fr.cube_sql('ME')} SELECT period, count(value) AS n, round(avg(period_coverage), 6) AS period_coverage FROM cube GROUP BY 1")
+@query("G9, F10", f"WITH {fr.cube_sql('ME')} SELECT period, count(value) AS n, round(avg(period_coverage), 6) AS period_coverage FROM cube GROUP BY 1")
 def composite_month(spark, d):
     return rounded(fr.cube(spark, d, "ME").groupBy("period").agg(F.count("value").alias("n"), F.avg("period_coverage").alias("period_coverage")))
 
@@ -165,3 +165,8 @@ def composite_month(spark, d):
 @query("T3", f"WITH {fr.OVERPASSES} SELECT {fr.KEY['W'].replace('date)', 'time)').replace(', date', ', time')} AS period, count(value) AS valid, count(*) AS total FROM ms GROUP BY 1")
 def valid_counts(spark, d):
     return fr.masked(spark, d).groupBy(period_key(F.col("time"), "W").alias("period")).agg(F.count("value").alias("valid"), F.count("*").alias("total"))
+
+
+@query("F12", "SELECT * FROM (VALUES (0, '04:00'), (1, '05:00'), (2, '06:00')) v(i, hour)")
+def request_hours(spark, d):
+    return spark.createDataFrame(list(enumerate(g.request_hours())), "i int, hour string")

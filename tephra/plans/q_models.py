@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tephra.config import ScaleSweepConfig, SignalConfig
+from tephra.config import ACTIVE_STATUS
 from tephra.operators import correlate as co
 from tephra.operators import grid as g
 from tephra.operators import index as ix
@@ -14,11 +14,10 @@ from tephra.plans import frames as fr
 from tephra.plans import pipelines as pl
 from tephra.plans.frames import SERIES, rounded
 from tephra.registry import query
+from tephra.sources.scratch import stored
 
 _SG = f"{fr.SIGNAL_DAYS}, {fr.regular('sg', 'sd', {'value': 'avg(value)'})}"
 _SW = f"{_SG}, {fr.weather_sql()}"
-#: Draws of resampling in queries of whole sweeps.
-DRAWS = 200
 
 
 def _with_weather(spark, d):
@@ -45,13 +44,26 @@ def without_heating(spark, d):
     return rounded(ix.without_heating(fr.signal(spark, d), "value", (11, 12, 1, 2, 3), SERIES).select("date", "value"))
 
 
-@query("M5, F15, M4")
+_TWO = """c AS (SELECT date, value, u10, v10, avg(value) OVER () AS my, avg(u10) OVER () AS ma, avg(v10) OVER () AS mb FROM j WHERE value IS NOT NULL AND u10 IS NOT NULL AND v10 IS NOT NULL),
+q AS (SELECT sum((u10 - ma) * (u10 - ma)) AS aa, sum((v10 - mb) * (v10 - mb)) AS bb, sum((u10 - ma) * (v10 - mb)) AS ab, sum((u10 - ma) * (value - my)) AS ay, sum((v10 - mb) * (value - my)) AS byy FROM c),
+k AS (SELECT (ay * bb - byy * ab) / (aa * bb - ab * ab) AS p, (byy * aa - ay * ab) / (aa * bb - ab * ab) AS q FROM q)"""
+_TERMS = _TWO.replace("u10", "heating").replace("v10", "curtailment")
+
+
+@query("M5, F15", f"""WITH {_SG}, j AS (SELECT date, value, (month(date) IN (11, 12, 1, 2, 3))::INT AS heating, (date BETWEEN date '1996-02-04' AND date '1997-03-03')::INT AS curtailment FROM sg), {_TERMS}
+SELECT date, round(value - my - k.p * (heating - ma) - k.q * (curtailment - mb), 4) AS value FROM c, k UNION ALL SELECT date, NULL FROM j WHERE value IS NULL""")
 def without_two_terms(spark, d):
     from tephra.functions.calendar import heating_season
 
     calendar = spark.sql("select date '1996-02-04' as `start`, date '1997-03-03' as `end`")
     s = ix.in_interval(fr.signal(spark, d).withColumn("heating", heating_season(F.col("date"), (11, 12, 1, 2, 3))), calendar)
-    return rounded(ix.without_terms(s, "value", ["heating", "curtailment"], SERIES).select("date", "value"))
+    return rounded(ix.without_terms(s, "value", ["heating", "curtailment"], SERIES).select("date", "value"), 4)
+
+
+@query("F15", f"WITH {_SG} SELECT date, NULL::DOUBLE AS curtailment FROM sg")
+def curtailment_unknown(spark, d):
+    """Without a calendar the control is NULL on every date."""
+    return ix.in_interval(fr.signal(spark, d), None).select("date", "curtailment")
 
 
 @query("M2", f"WITH {_SW}, j AS (SELECT date, value, blh FROM sg LEFT JOIN we USING (date)), r AS (SELECT regr_slope(value, blh) AS s, regr_intercept(value, blh) AS i FROM j) SELECT date, round(value - i - s * blh, 5) AS residual FROM j, r")
@@ -59,11 +71,6 @@ def residual_one_covariate(spark, d):
     return rounded(ix.residual_simple(_with_weather(spark, d), "value", "blh", SERIES).select("date", "residual"), 5)
 
 
-_TWO = """c AS (SELECT date, value, u10, v10, avg(value) OVER () AS my, avg(u10) OVER () AS ma, avg(v10) OVER () AS mb FROM j WHERE value IS NOT NULL AND u10 IS NOT NULL AND v10 IS NOT NULL),
-q AS (SELECT sum((u10 - ma) * (u10 - ma)) AS aa, sum((v10 - mb) * (v10 - mb)) AS bb, sum((u10 - ma) * (v10 - mb)) AS ab, sum((u10 - ma) * (value - my)) AS ay, sum((v10 - mb) * (value - my)) AS byy FROM c),
-k AS (SELECT (ay * bb - byy * ab) / (aa * bb - ab * ab) AS p, (byy * aa - ay * ab) / (aa * bb - ab * ab) AS q FROM q)"""
-
-
 @query("M1", f"WITH {_SW}, j AS (SELECT date, value, u10, v10 FROM sg LEFT JOIN we USING (date)), {_TWO} SELECT date, round(value - my - k.p * (u10 - ma) - k.q * (v10 - mb), 4) AS residual FROM c, k UNION ALL SELECT date, NULL FROM j WHERE value IS NULL OR u10 IS NULL OR v10 IS NULL")
 def regress_out_linear(spark, d):
     return rounded(tr.regress_out(_with_weather(spark, d), "value", ["u10", "v10"], SERIES).select("date", "residual"), 4)
@@ -152,9 +159,16 @@ def activity_index(spark, d):
     return rounded(pl.activity_index(s, fr.weather(spark, d)).drop("series_id"))
 
 
+@query("M16, M21, M12", fr.effective_n_sql("n_eff_first", "n_eff_nw", "r"))
+def robust_sizes(spark, d):
+    """The parts of the robust correlation that aren't resampled."""
+    rows = sw.robust_correlations(fr.pair(spark, d), "x", "y", SERIES, draws_boot=20, draws_perm=20).where("lag_kind = 'lag0'")
+    return rounded(rows.select(F.col("n").cast("long").alias("n"), "r", "n_eff_first", "n_eff_nw"), 4)
+
+
 @query("M18, M19, M21, M17, M41")
 def robust_correlation(spark, d):
-    rows = sw.robust_correlations(fr.pair(spark, d), "x", "y", SERIES, draws_boot=1000, draws_perm=1000)
+    rows = sw.robust_correlations(fr.pair(spark, d), "x", "y", SERIES)
     return rounded(sw.dependence_verdict(rows).drop("series_id"))
 
 
@@ -164,13 +178,13 @@ def battery(spark, d):
     raw = fr.signal(spark, d).select("series_id", "date", "value")
     free = tr.regress_out(_with_weather(spark, d), "value", ["u10", "v10", "blh"], SERIES).select("series_id", "date", F.col("residual").alias("value"))
     both = raw.withColumn("meteo", F.lit("none")).unionByName(free.withColumn("meteo", F.lit("linear"))).drop("series_id")
-    return rounded(pl.sweep_rows(both, fr.target_days(spark, d), ["meteo"], ["W", "ME"], ["level", "yoy", "intensity", "stl", "yoy-double-diff"], ScaleSweepConfig(), DRAWS))
+    return rounded(pl.sweep_rows(both, fr.target_days(spark, d), ["meteo"], ["W", "ME"], ["level", "yoy", "intensity", "stl", "yoy-double-diff"]))
 
 
 def _sweep(spark, d):
-    cube = fr.cube(spark, d)
-    fac = g.active(fr.facilities(spark, d), SignalConfig().active_status)
-    return pl.scale_sweep(cube, fr.target_days(spark, d).withColumn("date", F.date_add("date", 9135)), fac, ScaleSweepConfig(resolutions=("native", 0.30), freqs=("W",), variants=("level", "intensity"), min_overlap=20), DRAWS)
+    cube = stored(fr.cube(spark, d), "cube")
+    fac = g.active(fr.facilities(spark, d), ACTIVE_STATUS)
+    return pl.scale_sweep(cube, fr.target_days(spark, d).withColumn("date", F.date_add("date", 9135)), fac)
 
 
 @query("M36, M20, M34, M35")
@@ -181,3 +195,16 @@ def scale_sweep(spark, d):
 @query("A14, M36")
 def scale_findings(spark, d):
     return pl.robust_changes(_sweep(spark, d))
+
+
+_FOUND = """v AS (SELECT CASE l_linenumber % 3 WHEN 0 THEN 'native' WHEN 1 THEN '0.15' ELSE '0.25' END AS resolution, l_returnflag AS variant, l_linestatus AS freq, 0.25::DOUBLE AS buffer, 'lag0' AS lag_kind, avg(l_discount) - avg(l_tax) * 1.2345 AS r,
+CASE count(*) % 3 WHEN 0 THEN 'robust' WHEN 1 THEN 'fragile (naive-only)' ELSE 'ns' END AS verdict FROM lineitem GROUP BY ALL)"""
+
+
+@query("A14", f"WITH {_FOUND} SELECT v.resolution, count(*) AS n, count(*) FILTER (v.verdict = 'robust') AS robust, count(*) FILTER (v.verdict LIKE 'fragile%') AS naive_only, count(*) FILTER (sign(v.r) <> sign(n.r)) AS sign_changes FROM v LEFT JOIN (FROM v WHERE resolution = 'native') n USING (buffer, freq, variant, lag_kind) GROUP BY 1")
+def sign_changes(spark, d):
+    """Findings over the rows of a sweep, here made of aggregates of lines."""
+    part = F.when(F.col("l_linenumber") % 3 == 0, "native").when(F.col("l_linenumber") % 3 == 1, "0.15").otherwise("0.25")
+    n = F.count("*") % 3
+    rows = fr.table(spark, d, "lineitem").groupBy(part.alias("resolution"), F.col("l_returnflag").alias("variant"), F.col("l_linestatus").alias("freq")).agg((F.avg("l_discount") - F.avg("l_tax") * 1.2345).alias("r"), F.when(n == 0, "robust").when(n == 1, "fragile (naive-only)").otherwise("ns").alias("verdict"))
+    return pl.robust_changes(rows.withColumn("buffer", F.lit(0.25)).withColumn("lag_kind", F.lit("lag0")))

@@ -52,7 +52,7 @@ def validation_conclusion(spark, d):
     return both.select(st.lead_conclusion(beyond, F.col("peak_r"), F.col("peak_lag"), (0.5, 0.75)).alias("conclusion"), st.bar_class(F.col("peak_r"), (0.5, 0.75)).alias("bar"))
 
 
-@query("Q4, M33, K5", f"WITH {_CCF}, p AS (SELECT arg_max(lag, (abs(r), -lag)) AS l, arg_max(r, (abs(r), -lag)) AS pr, max(r) FILTER (lag = 0) AS r, max(n) FILTER (lag = 0) AS n FROM cc) SELECT round(r, 6) AS r, n, {_FISHER}, l::INT AS peak_lag, round(pr, 6) AS peak_r, round(1.96 / sqrt(n), 6) AS band, CASE WHEN NOT abs(r * sqrt((n - 2) / (1 - r * r))) > 1.9670 THEN 'indeterminate' WHEN r > 0 THEN 'positive' ELSE 'negative' END AS sign FROM p")
+@query("Q4, M33", f"WITH {_CCF}, p AS (SELECT arg_max(lag, (abs(r), -lag)) AS l, arg_max(r, (abs(r), -lag)) AS pr, max(r) FILTER (lag = 0) AS r, max(n) FILTER (lag = 0) AS n FROM cc) SELECT round(r, 6) AS r, n, {_FISHER}, l::INT AS peak_lag, round(pr, 6) AS peak_r, round(1.96 / sqrt(n), 6) AS band, CASE WHEN NOT abs(r * sqrt((n - 2) / (1 - r * r))) > 1.9670 THEN 'indeterminate' WHEN r > 0 THEN 'positive' ELSE 'negative' END AS sign FROM p")
 def validation_run(spark, d):
     """A whole validation as the one row of its payload."""
     from tephra.plans.pipelines import validate
@@ -77,10 +77,7 @@ def autocorrelation_lag1(spark, d):
     return rounded(c.lag1_by_corr(fr.pair(spark, d), "x", SERIES).select("lag1"))
 
 
-@query("M16", f"""WITH {_PAIR}, z AS (SELECT date, x - avg(x) OVER () AS a, y - avg(y) OVER () AS b FROM pr), l AS (SELECT k, a, b, lag(a, k) OVER (PARTITION BY k ORDER BY date) AS la, lag(b, k) OVER (PARTITION BY k ORDER BY date) AS lb FROM z, (SELECT unnest(range(1, 32))::INT AS k)),
-p AS (SELECT k, (sum(a * la) / sum(a * a)) * (sum(b * lb) / sum(b * b)) AS ab FROM l GROUP BY 1), n AS (SELECT count(*)::DOUBLE AS n, greatest(1, least(floor(4 * pow(count(*) / 100, 2 / 9.0::DOUBLE)), count(*) - 2)) AS w FROM pr),
-s AS (SELECT n, max(ab) FILTER (k = 1) AS ab1, 1 + 2 * sum(CASE WHEN k <= w THEN (1 - k / (w + 1)) * ab ELSE 0 END) AS spread FROM p, n GROUP BY n)
-SELECT n::BIGINT AS n, round(least(greatest(n * (1 - ab1) / (1 + ab1), 2), n), 4) AS n_eff_first, round(least(greatest(n / spread, 2), n), 4) AS n_eff_nw FROM s""")
+@query("M16", fr.effective_n_sql("n_eff_first", "n_eff_nw"))
 def effective_n(spark, d):
     return rounded(c.effective_n(fr.pair(spark, d), "x", "y", SERIES).drop("series_id"), 4)
 

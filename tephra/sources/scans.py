@@ -61,6 +61,16 @@ def curtailment_calendar(spark: SparkSession, path: str | None) -> DataFrame:
     return df.select(F.to_date("start").alias("start"), F.to_date("end").alias("end"), "direction", F.coalesce(cause.cast("string"), F.lit("curtailment")).alias("cause"))
 
 
+def cube(spark: SparkSession, path: str, first: str | None = None, last: str | None = None) -> DataFrame:
+    """A stored cube, or a span of its periods; years outside the span aren't read."""
+    df = spark.read.parquet(path)
+    if first is not None:
+        df = df.where((F.col("year") >= int(first[:4])) & (F.col("period") >= F.lit(first).cast("date")))
+    if last is not None:
+        df = df.where((F.col("year") <= int(last[:4])) & (F.col("period") <= F.lit(last).cast("date")))
+    return df.drop("year")
+
+
 def canonical_grid(df: DataFrame, bands: Mapping[str, str] | None = None) -> DataFrame:
     """Coordinates as lon, lat and time, bands under standard names, NaN as NULL."""
     for to, known in COORDINATES.items():

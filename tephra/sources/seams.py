@@ -2,26 +2,77 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
-from typing import Protocol
+from typing import Protocol, TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tephra.errors import AcquisitionError, MarketDataError, SourceError
+from tephra.errors import AcquisitionError, AuthenticationError, MarketDataError, SourceError
 from tephra.functions.calendar import observation_id, processor_label
 from tephra.functions.cleaning import quality_mask
 from tephra.operators.series import month_batches
 from tephra.sources import files
 
 
+T = TypeVar("T")
+
+
 class Fetcher(Protocol):
     """Observations of a half-open span of dates: time, iy, ix, lat, lon, value, qa, cloud and perhaps processor_version."""
 
     def fetch(self, start: str, stop: str) -> DataFrame: ...
 
 
+def connect(token: Callable[[], str | None], by_token: Callable[[str], T], by_hand: Callable[[], T]) -> T:
+    """A connection by a token, or by hand where there is none or it isn't accepted. Messages never hold the token."""
+    try:
+        own = token()
+    except Exception as e:
+        raise AuthenticationError(f"no token could be had: {type(e).__name__}") from e
+    if own:
+        try:
+            return by_token(own)
+        except Exception:  # noqa: S110  a token that isn't accepted leaves the other way
+            pass
+    try:
+        return by_hand()
+    except Exception as e:
+        raise AuthenticationError(f"neither a token nor signing in by hand was accepted: {type(e).__name__}") from e
+
+
+def merged_bands(fetch: Callable[[str], DataFrame], bands: Mapping[str, str], optional: Sequence[str] = ("cloud",), keys: Sequence[str] = ("time", "iy", "ix")) -> DataFrame:
+    """One frame of bands that a source gives one by one: name -> band. An optional band that can't be had is NULL.
+
+    Bands are put under each other and aggregated by cell, so that they meet in one shuffle.
+    """
+    every = None
+    for name, band in bands.items():
+        try:
+            got = fetch(band).select(*keys, F.lit(name).alias("__band"), F.col("value").cast("double").alias("__value"))
+        except Exception as e:
+            if name in optional:
+                continue
+            raise AcquisitionError(f"band {band} can't be had: {e}") from e
+        every = got if every is None else every.unionByName(got)
+    if every is None:
+        raise AcquisitionError("no band could be had")
+    return every.groupBy(*keys).agg(*[F.max(F.when(F.col("__band") == name, F.col("__value"))).alias(name) for name in bands])
+
+
+def picture(spark: SparkSession, fetch: Callable[[], bytes], path: str) -> str:
+    """A fetched picture of a region as a file; a failed or empty fetch leaves none."""
+    try:
+        body = fetch()
+    except Exception as e:
+        raise SourceError(f"fetch failed: {e}") from e
+    if not body:
+        raise SourceError("the picture is empty")
+    files.write_bytes(spark, path, body)
+    return path
+
+
 @dataclass
 class AcquireReport:
     fetched: list[str] = field(default_factory=list)

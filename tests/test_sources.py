@@ -6,8 +6,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tephra.errors import AcquisitionError, ColumnError, MarketDataError, SourceError
-from tephra.sources import files, scans, seams, sinks
+from tephra.errors import AcquisitionError, AuthenticationError, ColumnError, GriddingError, MarketDataError, SourceError
+from tephra.sources import figures, files, scans, seams, sinks
+from tephra.sources.scratch import scratch
 from tephra.streaming import ingest as st
 
 LINES = ["#ERROR!", "Name,BF rate,Other", "Unit,%,%", "Source,x,y", '2018-03-09,"70.50 ",1.0', "2018-03-16,72.10,0.00", "2018-03-16,73.10,2.0", "2018-03-23,0.00,3.0", "not a date,1,1"]
@@ -136,3 +137,56 @@ def test_stream_ingest_and_windows(spark, tmp_path):
     q = st.period_means(stream).writeStream.format("memory").queryName("means").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.sql("select sum(value * 0 + 1) from means").first()[0] > 0
+
+
+def test_connection_falls_back_and_keeps_its_secret():
+    def refuse(*_):
+        raise ValueError("s3cret")
+
+    assert seams.connect(lambda: "s3cret", lambda t: ("token", t), refuse) == ("token", "s3cret")
+    assert seams.connect(lambda: "s3cret", refuse, lambda: "hand") == seams.connect(lambda: None, refuse, lambda: "hand") == "hand"
+    for ways in ((refuse, str, str), (lambda: "s3cret", refuse, refuse), (lambda: None, refuse, refuse)):
+        with pytest.raises(AuthenticationError) as e:
+            seams.connect(*ways)
+        assert "s3cret" not in str(e.value)
+
+
+def test_bands_are_merged_and_an_optional_one_may_lack(spark):
+    op = spark.createDataFrame([("t", 0, 0, 1.5), ("t", 0, 1, None), ("u", 0, 0, 2.5)], "time string, iy int, ix int, value double")
+
+    def fetch(band):
+        if band == "gone":
+            raise ValueError(band)
+        return op.where("time = 't'").withColumn("value", F.col("value") * 2) if band == "half" else op
+
+    out = {(r.time, r.ix): (r.no2, r.qa, r.cloud) for r in seams.merged_bands(fetch, {"no2": "full", "qa": "half", "cloud": "gone"}).collect()}
+    assert out == {("t", 0): (1.5, 3.0, None), ("t", 1): (None, None, None), ("u", 0): (2.5, None, None)}
+    with pytest.raises(AcquisitionError):
+        seams.merged_bands(fetch, {"no2": "gone"})
+
+
+def test_pictures(spark, tmp_path):
+    import struct
+    import zlib
+
+    with pytest.raises(SourceError):
+        seams.picture(spark, lambda: b"", str(tmp_path / "p"))
+    assert seams.picture(spark, lambda: b"image", str(tmp_path / "p")) and (tmp_path / "p").read_bytes() == b"image"
+    day = spark.createDataFrame([(118.0 + 0.1 * x, 39.0 + 0.1 * y, float(x + y) if x or y else None) for x in range(4) for y in range(3)], "lon double, lat double, value double")
+    fac = spark.createDataFrame([(118.31, 39.19), (150.0, 0.0)], "longitude double, latitude double")
+    layers = figures.map_layers(day, fac)
+    assert layers.count() == 14
+    figures.write_map(layers, str(tmp_path / "m.png"), 8)
+    body = (tmp_path / "m.png").read_bytes()
+    width, height = struct.unpack(">II", body[16:24])
+    assert body[:8] == b"\x89PNG\r\n\x1a\n" and (width, height) == (32, 24)
+    size = struct.unpack(">I", body[33:37])[0]
+    rows = zlib.decompress(body[41 : 41 + size])
+    pixel = lambda x, y: tuple(rows[y * (1 + 3 * width) + 1 + 3 * x :][:3])
+    assert pixel(0, 23) == figures.EMPTY and pixel(28, 4) == figures.MARK and pixel(24, 0) == (253, 231, 37)
+    with pytest.raises(GriddingError):
+        figures.draw(layers.where("layer = 'facility'"))
+
+
+def test_scratch_paths_differ(spark):
+    assert scratch(spark, "x") != scratch(spark, "x")
