@@ -62,9 +62,9 @@ def shingles(text, n=3):
     return frozenset([tuple(w)]) if w else frozenset()
 
 
-def jaccard(docs, percent=90):
+def jaccard(docs, percent=90, n_words=3):
     """Component of each row with a doc_id, by comparing all sets."""
-    sets = sorted({shingles(t) for d, t in docs if d is not None} - {frozenset()}, key=len)
+    sets = sorted({shingles(t, n_words) for d, t in docs if d is not None} - {frozenset()}, key=len)
     up = list(range(len(sets)))
 
     def root(i):
@@ -83,12 +83,12 @@ def jaccard(docs, percent=90):
     of = {s: root(i) for i, s in enumerate(sets)}
     least = {}
     for d, t in docs:
-        s = shingles(t)
+        s = shingles(t, n_words)
         if d is not None and s:
             least[of[s]] = min(least.get(of[s], d), d)
     out = []
     for d, t in docs:
-        s = shingles(t)
+        s = shingles(t, n_words)
         out.append((d, len(s), None if d is None else least[of[s]] if s else d))
     return sorted(out, key=str)
 
@@ -173,3 +173,15 @@ def losses(docs, good, prior=2.0, least=2):
             bits.append(total / len(t))
         out.append((len(t), *bits))
     return out
+
+
+def without_common_lines(rows, line_docs=10, line_percent=10):
+    """rows: (text, host). Texts without the lines that more than both limits of their host's documents have."""
+
+    def normal(line):
+        return b" ".join(words(re.sub("[0-9]", "0", line), lower=True))
+
+    hosts = Counter(h or "" for _, h in rows)
+    count = Counter((h or "", n) for t, h in rows for n in {normal(x) for x in (t or "").split("\n")} if n)
+    over = {k for k, n in count.items() if n > line_docs and n * 100 > hosts[k[0]] * line_percent}
+    return ["\n".join(x for x in (t or "").split("\n") if (h or "", normal(x)) not in over) for t, h in rows]

@@ -189,8 +189,10 @@ def test_pipeline_against_brute_force(spark, sf_dir):
     c = duckdb.connect()
     c.register("documents", frame)
     kept = set(c.execute(op2.ORACLE).df().query("kept").doc_id)
-    rows = [(int(d), t) for d, t in zip(frame.doc_id, frame.text) if d in kept]
-    rows = [r for r in rows if any(r[0] == x and (n == 0 or x == k) for x, n, k in brute.jaccard(rows))]
+    cleaned = brute.without_common_lines(list(zip(frame.text, frame.source)))
+    rows = [(int(d), t) for d, t in zip(frame.doc_id, cleaned) if d in kept]
+    # near copies by the contract's five words and similarity 0.8; documents of this table have an id each
+    rows = [r for r in rows if any(r[0] == x and (n == 0 or x == k) for x, n, k in brute.jaccard(rows, 80, 5))]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     leaks = brute.contaminated(rows, items)
     rows = [r for i, r in enumerate(rows) if i not in leaks]
@@ -201,9 +203,23 @@ def test_pipeline_against_brute_force(spark, sf_dir):
     assert out.columns == [*docs.columns, "slot", "shard"]
     got = out.collect()
     assert Counter(r.doc_id for r in got) == want
+    left = dict(rows)
+    assert all(r.text == left[r.doc_id] for r in got)
     assert all(r.slot == brute.number(r.doc_id) % op6.SLOTS for r in got)
 
 
+def test_pipeline_stages_on_a_mean_table(spark, sf_dir, mean_docs, empty_docs):
+    """Nulls, empty and very long texts, ties, repeated rows, clashing columns and empty tables, stage by stage."""
+    docs = mean_docs
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == (docs.columns if k < 4 else [*[c for c in docs.columns if c != "shard"], "slot", "shard"])
+        assert 0 < out.count()
+        none = stage(spark, empty_docs, sf_dir)
+        assert none.count() == 0 and none.columns[:5] == empty_docs.columns
+        docs = spark.createDataFrame(out.collect(), out.schema)
+
+
 def test_pipeline_stages_return_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
     for _, stage in corpus_pipeline.STAGES[:-1]:
