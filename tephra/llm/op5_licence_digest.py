@@ -1,9 +1,10 @@
 """License scans by canonical digest: entire texts against known licences, with DataFrame functions alone.
 
-A text is made canonical (lower case; copyright notices dropped; runs of letters and digits joined by one space;
-equivalent spellings made one) and its SHA-256 is joined to those of the known licences. Notices are read twice: first
-as lines with a copyright word or sign and a year, sign or placeholder, so that wrapping a text anew changes nothing;
-then, if no licence matches, as any line that begins with such a word or sign, for notices of a bare name.
+A text is made canonical (lower case; runs of letters and digits joined by one space; copyright notices dropped;
+equivalent spellings made one) and its SHA-256 is joined to those of the known licences. All of that reads words alone,
+so wrapping a text anew, or putting it on one line, changes nothing. A notice runs from a copyright word with a sign or
+year, or "all rights reserved", up to one of the `openings` with which a licence goes on, at most NOTICE_WORDS words
+from the last such mark, or NAME_WORDS from the bare word; what isn't followed by an opening stays.
 Only texts of a length that some licence has can match, so longer and shorter ones aren't digested.
 
 The known licences are a small table of texts (the package's own, or the caller's); its size is counted, and beyond
@@ -68,25 +69,41 @@ SPELLINGS = (
     ("copyright holder", "copyright owner"),
     ("sublicence", "sublicense"),
 )
-COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}©\n]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$"
-# A notice names a year, a placeholder or a copyright sign; prose that is wrapped before "copyright" doesn't.
-NOTICE = r"(?m)^[^\p{L}\p{N}©\n]*(?:copyright[^\p{L}\p{N}©<\[{\n]*(?:\(c\)|©|<|\[|\{|(?:19|20)\d\d)|\(c\)[^\p{L}\p{N}<\[{\n]*(?:copyright|<|\[|\{|(?:19|20)\d\d)|©|all rights reserved)[^\n]*$"
-NOT_WORD = r"[^\p{L}\p{N}]+"
+# Words with which a licence goes on after its notices.
+OPENINGS = (
+    "permission is hereby granted",
+    "permission to use copy",
+    "redistribution and use in",
+    "this software is provided",
+    "everyone is permitted to",
+    "this program is free",
+    "this library is free",
+    "this is free and",
+    "permission is granted to copy",
+    "licensed under the",
+)
+NOTICE_WORDS, NAME_WORDS = 40, 8
+SIGN, NOT_WORD = "©", r"[^\p{L}\p{N}]+"
+
+
+def _notice(openings: tuple[str, ...]) -> str:
+    """A pattern of one or more notices, with the opening after them as its group; words are parted by one space."""
+    mark = r" (?:copyright (?:c|year|(?:19|20)\d\d)|c (?:19|20)\d\d|all rights reserved)"
+    return rf"(?:{mark}\b(?: [^ ]+){{0,{NOTICE_WORDS}}}?| copyright(?: [^ ]+){{0,{NAME_WORDS}}}?)+? ({'|'.join(openings)})\b"
 
 
-def _plain(text: Column, dropped: str) -> Column:
-    """Words joined and edged by one space, before spellings, without the lines that match `dropped`."""
-    return F.regexp_replace(F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce(text.cast("string"), F.lit(""))), dropped, " "), F.lit(" ")), NOT_WORD, " ")
+def _plain(text: Column, openings: tuple[str, ...]) -> Column:
+    """Words joined and edged by one space, before spellings, without notices."""
+    lower = F.replace(F.lower(F.coalesce(text.cast("string"), F.lit(""))), F.lit(SIGN), F.lit(" copyright c "))
+    plain = F.regexp_replace(F.concat(F.lit(" "), lower, F.lit(" ")), NOT_WORD, " ")
+    return F.regexp_replace(plain, _notice(openings), " $1")
 
 
-def _digests(rows: DataFrame, text: str, where: Column | None = None) -> DataFrame:
-    """With the digests of both readings, __strict and __loose, and the lengths __most and __least of what they read."""
-    rows = rows.withColumn("__s", _plain(F.col(text), NOTICE)).withColumn("__l", _plain(F.col(text), COPYRIGHT_LINE))
-    rows = rows.withColumn("__most", F.length("__s")).withColumn("__least", F.length("__l"))
-    digest = lambda c: F.sha2(_spelled(F.col(c)).cast("binary"), 256)
-    on = where if where is not None else F.lit(True)
-    rows = rows.withColumn("__strict", F.when(on, digest("__s")))
-    return rows.withColumn("__loose", F.when(F.col("__s") == F.col("__l"), F.col("__strict")).when(on, digest("__l")))
+def _digests(rows: DataFrame, text: str, openings: tuple[str, ...], where: Column | None = None) -> DataFrame:
+    """With the canonical text before spellings, __plain, and the digest of those rows for which `where` holds."""
+    rows = rows.withColumn("__plain", _plain(F.col(text), openings))
+    digest = F.sha2(_spelled(F.col("__plain")).cast("binary"), 256)
+    return rows.withColumn("__digest", digest if where is None else F.when(where, digest))
 
 
 def _spelled(plain: Column) -> Column:
@@ -112,42 +129,38 @@ def _json() -> str:
     return json.dumps([{"licence": n, "text": t} for n, t in known_licences()])
 
 
-def licence_digests(docs: DataFrame, licences: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, licence, digest) of every row of `docs`; NULL where it is no known licence. licences: (licence, text)."""
+def licence_digests(docs: DataFrame, licences: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text", openings: tuple[str, ...] = OPENINGS) -> DataFrame:
+    """(doc_id, licence, digest) of every row of `docs`; NULL where it is no known licence. licences: (licence, text).
+
+    openings: words in lower case, parted by one space, with which the licences go on after a notice.
+    """
     known = licences if licences is not None else _known_frame(docs.sparkSession)
-    known = _digests(known.select(F.col("licence").alias("__licence"), F.col("text").alias("__text")), "__text").where(F.length(F.trim("__s")) > 0)
-    bounds = known.agg(F.min("__least").alias("lo"), F.max("__most").alias("hi"), F.count("*").alias("n")).first()  # one row
-    # a spelling changes a word's length by less than a half
-    near = (F.col("__most") >= (bounds["lo"] or 0) // 2) & (F.col("__least") <= (bounds["hi"] or 0) * 2)
-    own = _digests(spread(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("__text")), "__text", near).select("doc_id", "__strict", "__loose")
-    for reading in ("__strict", "__loose"):
-        side = known.where(F.length(F.trim("__l")) > 0) if reading == "__loose" else known
-        side = side.groupBy(reading).agg(F.min("__licence").alias(f"{reading}_licence"))
-        own = own.join(F.broadcast(side) if bounds["n"] <= BROADCAST_LICENCES else side, reading, "left")
-    hit = F.col("__strict_licence").isNotNull()
-    digest = F.when(hit, F.col("__strict")).when(F.col("__loose_licence").isNotNull(), F.col("__loose"))
-    return own.select("doc_id", F.coalesce("__strict_licence", "__loose_licence").alias("licence"), digest.alias("digest"))
+    known = _digests(known.select(F.col("licence").alias("__licence"), F.col("text").alias("__text")), "__text", openings).where(F.length(F.trim("__plain")) > 0)
+    size = F.length("__plain")
+    bounds = known.agg(F.min(size).alias("lo"), F.max(size).alias("hi"), F.count("*").alias("n")).first()  # one row
+    near = size.between((bounds["lo"] or 0) // 2, (bounds["hi"] or 0) * 2)  # a spelling changes a word's length by less than a half
+    own = _digests(spread(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("__text")), "__text", openings, near).select("doc_id", "__digest")
+    side = known.groupBy("__digest").agg(F.min("__licence").alias("licence"))
+    own = own.join(F.broadcast(side) if bounds["n"] <= BROADCAST_LICENCES else side, "__digest", "left")
+    return own.select("doc_id", "licence", F.when(F.col("licence").isNotNull(), F.col("__digest")).alias("digest"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licence_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-#: The SQL covers these, by the loose reading alone.
-SQL_LICENCES = ("0BSD", "BSD-2-Clause", "ISC", "MIT", "Unlicense", "Zlib")
-
-
 def _sql() -> str:
-    plain = lambda t: f"regexp_replace(' ' || regexp_replace(lower(coalesce({t}, '')), '{COPYRIGHT_LINE}', ' ', 'g') || ' ', '{NOT_WORD}', ' ', 'g')"
+    def plain(t: str) -> str:
+        words = f"regexp_replace(' ' || replace(lower(coalesce({t}, '')), '{SIGN}', ' copyright c ') || ' ', '{NOT_WORD}', ' ', 'g')"
+        return f"regexp_replace({words}, '{_notice(OPENINGS)}', ' \\1', 'g')"
 
     def spelled(x: str) -> str:
         for other, usual in SPELLINGS:
-            usual = "wilfull" if other == "wilful" else usual
             for _ in range(2):
                 x = f"replace({x}, ' {other} ', ' {usual} ')"
         return x
 
-    values = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in known_licences() if n in SQL_LICENCES)
+    values = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in known_licences())
     return f"""
 WITH k AS (SELECT min(licence) AS licence, sha256({spelled("p")}) AS digest FROM (SELECT licence, {plain("t")} AS p FROM (VALUES {values}) v(licence, t)) GROUP BY 2),
 d AS (SELECT doc_id, sha256({spelled("p")}) AS digest FROM (SELECT doc_id, {plain("text")} AS p FROM documents))
