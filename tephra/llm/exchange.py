@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tephra.llm.shared import folder
+from tephra.llm.shared import folder, scanned
 from tephra.llm.text import U64
 
 #: Text bytes of a batch once there are many; a batch is what one Python call holds.
@@ -30,18 +30,22 @@ def batch_of(key: Column, n: int) -> Column:
     return F.pmod(key, F.lit(n)).cast("int")
 
 
-def batches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", by_id: bool = False, most: int = BATCH_BYTES) -> tuple[DataFrame, int]:
+def batches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", by_id: bool = False, most: int = BATCH_BYTES, salted: bool = True) -> tuple[DataFrame, int]:
     """(batch, doc_id, text) of every row and the number of batches, from the corpus' own size.
 
-    by_id: the batch of a doc_id is batch_of(xxhash64(doc_id), n), so that other tables can be dealt alike. most: text bytes of a batch.
+    by_id: the batch of a doc_id is batch_of(xxhash64(doc_id), n), so that other tables can be dealt alike. most: text
+    bytes of a batch. salted: rows of one id and text, which may be a large part of a table, go to batches by the part
+    of the scan they come from (rows without an id do so where `by_id` holds too). Parts of a scan are the same when a
+    lost task runs again; rows that have been through an exchange, where they may not be, go by id and text alone.
     """
     folder(docs.sparkSession)
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     n = max(1, math.ceil(total / most), min(FEW, math.ceil(total / SMALL_BYTES)))
-    parts = [F.col(doc_id)] if by_id else [F.col(doc_id), F.col(text)]
-    key = batch_of(F.xxhash64(*parts), n)
+    part = [F.spark_partition_id()] if scanned(docs) else []
     if by_id:
-        key = F.when(F.col(doc_id).isNotNull(), key).otherwise(batch_of(F.xxhash64(F.col(text)), n))
+        key = F.when(F.col(doc_id).isNotNull(), batch_of(F.xxhash64(doc_id), n)).otherwise(batch_of(F.xxhash64(F.col(text), *part), n))
+    else:
+        key = batch_of(F.xxhash64(F.col(doc_id), F.col(text), *(part if salted else [])), n)
     return docs.select(key.alias("batch"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), n
 
 

@@ -197,9 +197,10 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """(doc_id, n_shingles, component_id, node, text_hash, root) of every row of `docs`; node: hash of its set, root: least node of its component."""
     if not 50 < percent <= 100:
         raise ValueError("percent is over 50 and 100 at most")
-    own, n = batches(docs, doc_id, text)
+    own, n = batches(docs, doc_id, text, salted=False)  # several jobs deal them out, and must do so alike
     info = own.withColumn("text_hash", text_hash(F.col("text"))).mapInArrow(_info(n_words), INFO).checkpoint()
     known = info.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
+    own = own.where(F.col("doc_id").isNotNull())  # no other row speaks for a class
     classes = known.groupBy("node").agg(F.min(F.struct("doc_id", "batch")).alias("first"), F.max("n_shingles").alias("n")).select("node", "n", "first.doc_id", "first.batch").checkpoint()
     # smaller sets link with equal ones only: a set of n and one of n + 1 share n of n + 1 at most
     reps = classes.where(F.col("n") * (100 - percent) >= percent).select("batch", "doc_id", "node")

@@ -32,13 +32,17 @@ def folder(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+def scanned(docs: DataFrame) -> bool:
+    """Whether the rows come from a scan alone, without an exchange, so that their partitions are those of files."""
+    return "Exchange" not in docs._jdf.queryExecution().executedPlan().toString()
+
+
 def spread(docs: DataFrame) -> DataFrame:
     """The rows over all cores, where they come from a scan of fewer parts (a small or unsplittable table)."""
-    plan = docs._jdf.queryExecution()
-    if "Exchange" in plan.executedPlan().toString():
+    if not scanned(docs):
         return docs  # dealt out already
     cores = docs.sparkSession.sparkContext.defaultParallelism
-    return docs if plan.toRdd().getNumPartitions() >= cores else docs.repartition(cores)
+    return docs if docs._jdf.queryExecution().toRdd().getNumPartitions() >= cores else docs.repartition(cores)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -46,3 +50,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def remove(table: DataFrame) -> None:
+    """Deletes a table that `written` returned, once nothing reads it any more."""
+    top = folder(table.sparkSession).rstrip("/")
+    jvm, context = table.sparkSession._jvm, table.sparkSession._jsc
+    for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        if p.getParent().getName() == top.rsplit("/", 1)[1]:
+            p.getFileSystem(context.hadoopConfiguration()).delete(p, True)

@@ -132,6 +132,28 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_repeated_rows_are_spread_over_batches(spark, tmp_path):
+    from tephra.llm.exchange import batches
+
+    text = " ".join(f"w{i}" for i in range(300))
+    rows = [(1, text)] * 400 + [(None, text)] * 400 + [(i, f"{text} {i}") for i in range(2, 900)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(24).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    spark.conf.set("spark.sql.files.openCostInBytes", "64m")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64m")
+    try:
+        dealt, n = batches(docs, most=20_000)
+        most = dealt.where(f"text = '{text}'").groupBy("batch", "doc_id").count().agg({"count": "max"}).first()[0]
+        assert n > 50 and most < 200
+        by_id, _ = batches(docs, by_id=True, most=20_000)
+        assert by_id.where("doc_id is null").groupBy("batch").count().agg({"count": "max"}).first()[0] < 200
+        assert _rows(op1.suffix_dedup(docs), *OP1) == brute.suffix_dedup(rows)
+        assert _rows(op4.seed_extend_dedup(docs), *OP4) == brute.seed_extend(rows)
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_empty_tables(empty_docs):
     for df in (op1.suffix_dedup(empty_docs), op4.seed_extend_dedup(empty_docs), op10.jaccard_components(empty_docs), op10.one_of_each(empty_docs)):
         assert df.count() == 0
