@@ -1,7 +1,8 @@
 """A corpus from raw documents to shards: quality, near duplicates, benchmark leaks, mixture, placement.
 
 Each stage takes and returns documents; the last adds their place. Between stages the rows are written to the folder
-that the cluster shares, so that a lost executor costs the stage it worked on at most.
+that the cluster shares, so that a lost executor costs the stage it worked on at most. A stage's table is deleted once
+the next one's is written; that of the last but one stays, as the result reads it.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tephra.llm import op2_line_frequency, op6_lookup_sharding, op8_poisson_mix, op9_spaced_seeds, op10_jaccard_join
-from tephra.llm.shared import written
+from tephra.llm.shared import remove, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +30,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights, in one global order."""
-    return op8_poisson_mix.poisson_mix(docs, most_rate=None).select(*docs.columns)
+    return op8_poisson_mix.poisson_mix(docs).select(*docs.columns)
 
 
 def placement(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,9 +52,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = written(docs, f"stage-{k}")
+            if before is not None:
+                remove(before)
+            before = docs
     return docs
