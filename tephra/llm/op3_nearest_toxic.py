@@ -30,6 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -206,7 +207,7 @@ def odds_weight(a: np.ndarray, b: np.ndarray, p: int, q: int) -> np.ndarray:
 
 @dataclass
 class Model:
-    """What scoring needs: terms, their weights, entries and the curve from votes to scores."""
+    """What a score is made of: terms, their weights, and entries with their votes. Tasks get it as one broadcast."""
 
     terms: np.ndarray
     index: BlockMaxIndex
@@ -215,7 +216,6 @@ class Model:
     near: np.ndarray  # entries with a sketch, in order of sketch
     near_sketch: np.ndarray
     prior: float
-    curve: tuple[float, float] | None = None
 
     def raw(self, terms: np.ndarray, counts: np.ndarray, k: int, without: int | None = None) -> tuple[float, list[int]]:
         skip = None
@@ -228,18 +228,16 @@ class Model:
         by = np.lexsort((self.ids[best], -cosine))[:k]
         return (toxic + PRIOR * self.prior) / (every + PRIOR), self.ids[best][by].tolist()
 
-    def score(self, raw: float) -> float:
-        if self.curve is None:
-            return raw
-        a, b = self.curve
-        return float(1 / (1 + np.exp(-(a * _logit(raw) + b))))
-
 
 def _logit(raw) -> np.ndarray:
     p = np.clip(raw, 1e-3, 1 - 1e-3)
     return np.log(p / (1 - p))
 
 
+def _curved(raw: float, curve: tuple[float, float] | None) -> float:
+    return raw if curve is None else float(1 / (1 + np.exp(-(curve[0] * _logit(raw) + curve[1]))))
+
+
 def fitted_curve(raw: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """Slope and offset of a logistic curve over the logit of raw scores, by Newton's method, pulled to (1, 0)."""
     x = np.column_stack([_logit(raw), np.ones(len(raw))])
@@ -261,8 +259,9 @@ def _rows(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.
         yield batch, i, [(at[a:b], count[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)], sketch
 
 
-def _scored(model: Model, k: int) -> Callable:
+def _scored(shared: Broadcast[Model], curve: tuple[float, float] | None, k: int) -> Callable:
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         seen: dict[bytes, tuple[float, list[int]]] = {}
         for batch, i, rows, _ in _rows(model, batches):
             out = []
@@ -272,17 +271,18 @@ def _scored(model: Model, k: int) -> Callable:
                     if len(seen) >= REMEMBERED:
                         seen.clear()
                     raw, evidence = model.raw(terms, counts, k)
-                    seen[key] = model.score(raw), evidence
+                    seen[key] = _curved(raw, curve), evidence
                 out.append(seen[key])
             yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(i, len(out)), pa.array([s for s, _ in out], pa.float64()), pa.array([e for _, e in out], pa.list_(pa.int64()))], ["doc_id", "score", "evidence"])
 
     return f
 
 
-def _unaided(model: Model, k: int) -> Callable:
+def _unaided(shared: Broadcast[Model], k: int) -> Callable:
     """Raw score of each example without the entries of its sketch."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         for batch, i, rows, sketch in _rows(model, batches):
             raw = [model.raw(t, c, k, s)[0] for (t, c), s in zip(rows, sketch.view(np.int64).tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch["toxic"].slice(i, len(raw)), pa.array(raw, pa.float64())], ["toxic", "raw"])
@@ -304,8 +304,12 @@ def _taken(own: DataFrame, known: DataFrame, examples: int, example_bytes: int)
     return within.repartition(16, "doc_id").select("doc_id", "toxic", "text").checkpoint()
 
 
-def fit(own: DataFrame, known: DataFrame, examples: int = EXAMPLES, example_bytes: int = EXAMPLE_BYTES, k: int = NEIGHBOURS) -> Model:
-    """own: (doc_id, text); known: (doc_id, toxic) of the rows to learn from, each id once."""
+def fit(own: DataFrame, known: DataFrame, examples: int = EXAMPLES, example_bytes: int = EXAMPLE_BYTES, k: int = NEIGHBOURS) -> tuple[Broadcast[Model], tuple[float, float] | None]:
+    """The model and the curve from its votes to scores. own: (doc_id, text); known: (doc_id, toxic) to learn from, each id once.
+
+    The model's size is bounded by the examples, so it is broadcast.
+    """
+    context = own.sparkSession.sparkContext
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     share = sizes.get(1, 0) / max(1, sum(sizes.values()))
     taken = _taken(own, known, examples, example_bytes)
@@ -313,12 +317,12 @@ def fit(own: DataFrame, known: DataFrame, examples: int = EXAMPLES, example_byte
     n = [sum(r["toxic"] == c for r in rows) for c in (0, 1)]
     empty = Model(np.zeros(0, U64), BlockMaxIndex([], np.zeros(0)), np.zeros((0, 2)), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), share)
     if not min(n):
-        return empty
+        return context.broadcast(empty), None
     weight = [sizes[c] / n[c] for c in (0, 1)]
     vectors = [(np.frombuffer(r["terms"], U64), np.frombuffer(r["counts"], np.int32)) for r in rows]
     terms, place = np.unique(np.concatenate([t for t, _ in vectors]), return_inverse=True)
     if not len(terms):
-        return empty
+        return context.broadcast(empty), None
     # each sketch counts once for a term in its class
     sketch = np.array([r["sketch"] for r in rows], np.int64)
     toxic = np.array([r["toxic"] for r in rows])
@@ -354,9 +358,10 @@ def fit(own: DataFrame, known: DataFrame, examples: int = EXAMPLES, example_byte
     index = BlockMaxIndex(indexed, idf * odds_weight(having[0], having[2], having[1], having[3]))
     near = np.array(sorted(set(near)), np.int64)
     model = Model(terms, index, votes[:, :2] / votes[:, 2:], np.array(ids, np.int64), near[:, 1], near[:, 0], share)
-    unaided = taken.mapInArrow(_unaided(model, k), "toxic int, raw double").collect()  # a row an example
-    model.curve = fitted_curve(np.array([r["raw"] for r in unaided]), np.array([r["toxic"] for r in unaided]), np.array([weight[r["toxic"]] for r in unaided]))
-    return model
+    del rows, vectors, indexed, place, of  # the index has what is needed of them
+    shared = context.broadcast(model)
+    unaided = taken.mapInArrow(_unaided(shared, k), "toxic int, raw double").collect()  # a row an example
+    return shared, fitted_curve(np.array([r["raw"] for r in unaided]), np.array([r["toxic"] for r in unaided]), np.array([weight[r["toxic"]] for r in unaided]))
 
 
 def nearest_toxic(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", examples: int = EXAMPLES, example_bytes: int = EXAMPLE_BYTES, k: int = NEIGHBOURS) -> DataFrame:
@@ -365,8 +370,8 @@ def nearest_toxic(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
     own = spread(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     known = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    model = fit(own, known, examples, example_bytes, k)
-    scored = own.mapInArrow(_scored(model, k), "doc_id long, score double, evidence array<long>")
+    shared, curve = fit(own, known, examples, example_bytes, k)
+    scored = own.mapInArrow(_scored(shared, curve, k), "doc_id long, score double, evidence array<long>")
     return scored.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 
