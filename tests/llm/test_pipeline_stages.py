@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import random
 
 import corpus_pipeline
@@ -91,3 +92,13 @@ def test_mix_serves_a_single_row_with_a_rate_of_thousands(spark):
     assert got == {i: count(brute.number(op8.SEED, i) / 2**48, rate) for i in range(40)}
     one = spark.createDataFrame([(1, "a")], "doc_id long, source string")
     assert abs(op8.poisson_mix(one, total=10_000, most_rate=None).count() - 10_000) < 600
+
+
+def test_tables_between_stages_are_removed(spark):
+    from tephra.llm.shared import remove, written
+
+    one, other = written(spark.range(5).toDF("x"), "stage-0"), written(spark.range(3).toDF("x"), "stage-1")
+    there = lambda df: [os.path.exists(f.removeprefix("file:").replace("///", "/")) for f in df.inputFiles()]
+    assert all(there(one))
+    remove(one)
+    assert not any(there(one)) and all(there(other)) and other.count() == 3
