@@ -93,15 +93,17 @@ def envelope(facilities: DataFrame) -> DataFrame:
 def radius_mask(grid_cells: DataFrame, facilities: DataFrame, radius_km: float, bucket_deg: float | None = None) -> DataFrame:
     """Cells within a distance of any facility.
 
-    Cells and facilities meet by buckets of latitude at least as tall as the radius (each facility in three of them),
-    so the join has an equality and its work doesn't grow as cells times facilities over the whole globe.
+    Cells and facilities meet by buckets of latitude at least as tall as the radius (each cell looks into three of
+    them), so the join has an equality and its work doesn't grow as cells times facilities over the whole globe.
+    Facilities in one place are one position. The buckets are made of the cells, not of the facilities, as the planner
+    would otherwise move the join below a distinct of the cells and measure every observation of a cell anew.
     """
     tall = bucket_deg or max(radius_km / 111.0, 0.01)
-    own = grid_cells.withColumn("__b", F.floor(F.col("lat") / tall))
-    near = facilities.select(F.col("latitude").alias("__flat"), F.col("longitude").alias("__flon"), F.floor(F.col("latitude") / tall).alias("__fb"))
-    near = near.withColumn("__b", F.explode(F.array(F.col("__fb") - 1, F.col("__fb"), F.col("__fb") + 1))).drop("__fb")
-    within = (own["__b"] == near["__b"]) & (haversine_km(F.col("lat"), F.col("lon"), F.col("__flat"), F.col("__flon")) <= radius_km)
-    return own.join(near, within, "left_semi").drop("__b")
+    bucket = F.floor(F.col("lat") / tall)
+    own = grid_cells.withColumn("__b", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
+    near = facilities.select(F.col("latitude").alias("__flat"), F.col("longitude").alias("__flon")).distinct().withColumn("__fb", F.floor(F.col("__flat") / tall))
+    within = (F.col("__b") == F.col("__fb")) & (haversine_km(F.col("lat"), F.col("lon"), F.col("__flat"), F.col("__flon")) <= radius_km)
+    return own.join(near, within, "left_semi").drop("__b").distinct()
 
 
 def centroid(facilities: DataFrame) -> DataFrame:

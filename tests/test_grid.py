@@ -5,6 +5,7 @@ import datetime as dt
 import numpy as np
 import pytest
 
+from tephra import registry
 from tephra.config import ENVELOPE, Region
 from tephra.errors import GeometryError, GriddingError, UnknownStrategyError
 from tephra.operators import grid as g
@@ -68,6 +69,33 @@ def test_radius_mask_equals_brute_force_and_ring_is_disjoint(spark):
         g.checked_masks(grid, active, 15, 4000, 4001)
 
 
+def _nodes(plan):
+    yield plan
+    for i in range(plan.children().size()):
+        yield from _nodes(plan.children().apply(i))
+
+
+def _distances_join(df):
+    """For each join by distance in a plan: whether its cells and its facilities are made distinct before it."""
+    joins = [n for n in _nodes(df._jdf.queryExecution().optimizedPlan()) if n.nodeName() == "Join" and "LeftSemi" in n.toString().split("\n")[0] and "ASIN" in n.toString().split("\n")[0]]
+    return [tuple(any(n.nodeName() == "Aggregate" for n in _nodes(n.children().apply(side))) for side in (0, 1)) for n in joins]
+
+
+def test_radius_mask_measures_a_cell_and_a_place_once(spark):
+    """The planner moved the join below the distinct of the cells, where it measured every observation anew."""
+    obs = _obs(spark, {D(2020, 1, 6): [[1.0, 2.0], [3.0, 4.0]], D(2020, 1, 7): [[1.0, 2.0], [3.0, 4.0]]})
+    fac = spark.createDataFrame([(f"f{i}", 39.7 - 0.05 * (i % 2), 118.3) for i in range(40)], "name string, latitude double, longitude double")
+    mask = g.radius_mask(g.cells(obs), fac, 1.0)
+    assert _distances_join(mask) == [(True, True)]
+    assert sorted((r.iy, r.ix) for r in mask.collect()) == [(0, 0), (1, 0)]
+
+
+@pytest.mark.parametrize("name", ["footprint_normalise"])
+def test_footprint_queries_measure_a_cell_once(spark, sf_dir, name):
+    found = _distances_join(registry.QUERIES[name](spark, sf_dir))
+    assert found and set(found) == {(True, True)}
+
+
 def test_footprint_modes(spark):
     cube, cells = _cube(spark), g.cells(_cube(spark))
     fp, bg = cells.where("iy = 3"), cells.where("iy = 0 and ix < 2")
