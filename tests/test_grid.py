@@ -90,7 +90,7 @@ def test_radius_mask_measures_a_cell_and_a_place_once(spark):
     assert sorted((r.iy, r.ix) for r in mask.collect()) == [(0, 0), (1, 0)]
 
 
-@pytest.mark.parametrize("name", ["footprint_normalise", "footprint_mask", "footprint_subtract"])
+@pytest.mark.parametrize("name", ["footprint_normalise", "footprint_mask", "footprint_subtract", "radius_sweep"])
 def test_footprint_queries_measure_a_cell_once(spark, sf_dir, name):
     found = _distances_join(registry.QUERIES[name](spark, sf_dir))
     assert found and set(found) == {(True, True)}
