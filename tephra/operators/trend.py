@@ -145,8 +145,13 @@ def _decompose(y: np.ndarray, period: int) -> np.ndarray:
     return np.where(ok, y - season - trend, np.nan)
 
 
+def _calendar(dates: pd.Series) -> np.ndarray:
+    """Days of any year; timestamps of nanoseconds end in 2262."""
+    return dates.to_numpy().astype("datetime64[D]")
+
+
 def _days(dates: pd.Series) -> np.ndarray:
-    return pd.to_datetime(dates).to_numpy("datetime64[D]").astype(float)
+    return _calendar(dates).astype(float)
 
 
 def harmonic_residual(y: np.ndarray, dates: pd.Series, order: int = 1, least: int = 24) -> np.ndarray:
@@ -155,7 +160,8 @@ def harmonic_residual(y: np.ndarray, dates: pd.Series, order: int = 1, least: in
     ok = ~np.isnan(base)
     if order == 0 or ok.sum() < 2 * order + 4:
         return base
-    phase = 2 * np.pi * pd.to_datetime(dates).dt.dayofyear.to_numpy(float) / 365.25
+    days = _calendar(dates)
+    phase = 2 * np.pi * ((days - days.astype("datetime64[Y]")).astype(float) + 1) / 365.25  # from 1 January as day 1
     base[ok] = kernels.residual_of(kernels.harmonics(phase[ok], order), base[ok])
     return base
 
@@ -199,7 +205,7 @@ def additive_causal(df: DataFrame, value: str, by: Sequence[str], refit_every: i
     args = {"yearly": how.get("yearly_order", 4), "weekly": how.get("weekly_order", 3), "change_prior": how.get("changepoint_prior", 0.05), "growth": how.get("growth", "linear")}
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        before = (pd.to_datetime(pdf["date"]) < pd.to_datetime(pdf["anchor"])).to_numpy()
+        before = _calendar(pdf["date"]) < _calendar(pdf["anchor"])
         y, days = pdf[value].to_numpy(float), _days(pdf["date"])
         if before.all() or before.sum() < min_valid_days:
             return pd.DataFrame({"date": pdf["date"].iloc[:0], "residual_causal": []})

@@ -198,35 +198,48 @@ def variants(signals: DataFrame, by: Sequence[str], freqs: Sequence[str], names:
     return reduce(DataFrame.unionByName, out)
 
 
-def sweep_rows(signals: DataFrame, target: DataFrame, by: Sequence[str], freqs: Sequence[str], names: Sequence[str], *, alpha: float = 0.05, **how) -> DataFrame:
-    """Robust correlations of all variants with a target (date, value), adjusted within lag kinds, with verdicts.
+def sweep_correlations(signals: DataFrame, target: DataFrame, by: Sequence[str], freqs: Sequence[str], names: Sequence[str], **how) -> DataFrame:
+    """Robust correlations of all variants with a target (date, value).
 
     how: lags, overlap, draws and seed, as `robust_correlations` takes them.
     """
     made = variants(signals, by, freqs, names)
     parts = [se.resample(target, f, ["value"]).select(F.lit(f).alias("freq"), "date", F.col("value").alias("y")) for f in freqs]
     joined = made.join(reduce(DataFrame.unionByName, parts), ["freq", "date"]).where("v IS NOT NULL AND y IS NOT NULL")
-    rows = sw.robust_correlations(joined, "v", "y", [*by, "freq", "variant"], **how)
-    return sw.verdicts(rows, alpha, [*by, "freq", "variant"])
+    return sw.robust_correlations(joined, "v", "y", [*by, "freq", "variant"], **how)
+
+
+def sweep_rows(signals: DataFrame, target: DataFrame, by: Sequence[str], freqs: Sequence[str], names: Sequence[str], *, alpha: float = 0.05, **how) -> DataFrame:
+    """`sweep_correlations`, adjusted within lag kinds, with verdicts."""
+    return sw.verdicts(sweep_correlations(signals, target, by, freqs, names, **how), alpha, [*by, "freq", "variant"])
 
 
 # The grid of a sweep.
 BUFFERS, RESOLUTIONS, SWEPT, FREQUENCIES = (0.25, 0.10), ("native", 0.10, 0.15, 0.25), ("level", "yoy", "intensity", "harmonic"), ("W", "ME")
 
 
-def scale_sweep(cube: DataFrame, target: DataFrame, facilities: DataFrame, buffers: Sequence[float] = BUFFERS, resolutions: Sequence[float | str] = RESOLUTIONS, names: Sequence[str] = SWEPT, freqs: Sequence[str] = FREQUENCIES, least_cells: int = 4, **how) -> DataFrame:
-    """Extent x resolution x frequency x variant x lag as one frame; resampling runs in parallel over its keys."""
+def scale_sweep(cube: DataFrame, target: DataFrame, facilities: DataFrame, buffers: Sequence[float] = BUFFERS, resolutions: Sequence[float | str] = RESOLUTIONS, names: Sequence[str] = SWEPT, freqs: Sequence[str] = FREQUENCIES, least_cells: int = 4, *, alpha: float = 0.05, **how) -> DataFrame:
+    """Extent x resolution x frequency x variant x lag as one frame; resampling runs in parallel over its keys.
+
+    Resolutions that come to the same blocks of cells have the same signal and, as the seed is fixed, the same draws:
+    both are made once, and each resolution gets its rows before p values are adjusted.
+    """
     native = [g.spacing(cube, a, i).first()[0] for a, i in (("lon", "ix"), ("lat", "iy"))]
-    signals = None
-    for buffer in buffers:
-        for res in resolutions:
-            fx, fy = (1, 1) if res == "native" else [round(float(res) / s) for s in native]
-            if min(fx, fy) < 1:
-                continue  # finer than the grid
-            own = scale_signal(cube, facilities, buffer, fx, fy, least_cells).select(F.lit(float(buffer)).alias("buffer"), F.lit(str(res)).alias("resolution"), "label", "date", "value")
-            signals = own if signals is None else signals.unionByName(own)
+    blocks: dict[tuple[int, int], list[str]] = {}
+    for res in dict.fromkeys(resolutions):
+        fx, fy = (1, 1) if res == "native" else [round(float(res) / s) for s in native]
+        if min(fx, fy) >= 1:  # else finer than the grid
+            blocks.setdefault((fx, fy), []).append(str(res))
+    signals = [
+        scale_signal(cube, facilities, buffer, fx, fy, least_cells).select(F.lit(float(buffer)).alias("buffer"), F.lit(",".join(same)).alias("resolution"), "label", "date", "value")
+        for buffer in buffers
+        for (fx, fy), same in blocks.items()
+    ]
     # rows a period each; every variant reads them
-    return sweep_rows(stored(signals, "signals"), stored(target, "target"), ["buffer", "resolution", "label"], freqs, names, **how)
+    by = ["buffer", "resolution", "label"]
+    rows = sweep_correlations(stored(reduce(DataFrame.unionByName, signals), "signals"), stored(target, "target"), by, freqs, names, **how)
+    rows = rows.withColumn("resolution", F.explode(F.split("resolution", ",")))
+    return sw.verdicts(rows, alpha, [*by, "freq", "variant"])
 
 
 def robust_changes(rows: DataFrame) -> DataFrame:

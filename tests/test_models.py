@@ -223,3 +223,29 @@ def test_scale_signal_falls_back(spark):
     fac = spark.createDataFrame([("a", 39.5, 118.3, "x", "operating")], "name string, latitude double, longitude double, technology string, status string")
     assert pl.scale_signal(cube, fac, 0.25, least_cells=1).first().label == "footprint"
     assert pl.scale_signal(cube, fac, 0.25, least_cells=50).first().label == "aoi-mean-fallback"
+
+
+def test_sweep_makes_equal_blocks_once(spark, monkeypatch):
+    """Resolutions of the same blocks share a signal and its draws, and each has its rows."""
+    weeks = [dt.date(2020, 1, 5) + dt.timedelta(days=7 * w) for w in range(40)]
+    rng = np.random.default_rng(3)
+    level = rng.normal(size=40)
+    rows = [(d, y, x, 40.1 - 0.15 * y, 117.9 + 0.15 * x, float(v * (y + x)), 1.0) for d, v in zip(weeks, level, strict=True) for y in range(8) for x in range(8)]
+    cube = spark.createDataFrame(rows, "period date, iy int, ix int, lat double, lon double, value double, coverage double")
+    fac = spark.createDataFrame([("a", 39.5, 118.3, "x", "operating")], "name string, latitude double, longitude double, technology string, status string")
+    target = spark.createDataFrame([(d, float(v + e)) for d, v, e in zip(weeks, level, rng.normal(size=40), strict=True)], "date date, value double")
+    made, one = [], pl.scale_signal
+    monkeypatch.setattr(pl, "scale_signal", lambda *a, **k: made.append(a[2:5]) or one(*a, **k))
+    found = pl.scale_sweep(cube, target, fac, (0.25,), ("native", 0.10, 0.15, 0.30), ("level",), ("W",), 1, draws_boot=20, draws_perm=20).where("lag_kind = 'lag0'").collect()
+    assert made == [(0.25, 1, 1), (0.25, 2, 2)]
+    by = {r.resolution: r for r in found}
+    assert len(found) == 4 and set(by) == {"native", "0.1", "0.15", "0.3"}
+    assert by["native"].r == by["0.1"].r == by["0.15"].r and by["native"].p_perm == by["0.1"].p_perm and by["native"].r != by["0.3"].r
+
+
+def test_calendar_days_beyond_nanoseconds():
+    """Grids of one day each from 2020 on pass 2262 after 88,500 days, where timestamps of nanoseconds end."""
+    late = pd.Series([dt.date(2300, 1, 1) + dt.timedelta(days=7 * w) for w in range(60)])
+    early = pd.Series([dt.date(1900, 1, 1) + dt.timedelta(days=7 * w) for w in range(60)])  # the same days of the year
+    y = np.random.default_rng(5).normal(size=60)
+    assert np.allclose(tr.harmonic_residual(y, late), tr.harmonic_residual(y, early))
