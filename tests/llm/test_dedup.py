@@ -132,6 +132,28 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_components_in_one_task_or_in_rounds(spark):
+    rng = random.Random(4)
+    for n, m in ((1, 1), (40, 30), (300, 280), (300, 900)):
+        name = [rng.randrange(-(1 << 62), 1 << 62) for _ in range(n)]
+        edges = [(rng.choice(name), rng.choice(name)) for _ in range(m)] + list(zip(name[: n // 4], name[1 : n // 4 + 1]))
+        frame = spark.createDataFrame(edges, "u long, v long").repartition(3)
+        one, rounds = ({r.node: r.root for r in components(frame, together).collect()} for together in (1 << 20, 0))
+        assert one == rounds and set(one) == {x for u, v in edges if u != v for x in (u, v)}
+        assert all(one[u] == one[v] <= min(u, v) and one[one[u]] == one[u] for u, v in edges if u != v)
+
+
+def test_components_of_few_edges_take_few_jobs(spark):
+    name = random.Random(6).sample(range(1 << 40), 500)
+    context = spark.sparkContext
+    context.setJobGroup("components", "")
+    try:
+        assert components(spark.createDataFrame(list(zip(name, name[1:])), "u long, v long")).agg({"root": "max"}).first()[0] == min(name)
+        assert len(context.statusTracker().getJobIdsForGroup("components")) < 12
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_repeated_rows_are_spread_over_batches(spark, tmp_path):
     from tephra.llm.exchange import batches
 
