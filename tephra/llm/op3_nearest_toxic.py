@@ -12,7 +12,9 @@ near copies (equal sketches) count once. A word that no example has has z = 0, s
 Scoring. Each document is a query. For each term the index has the blocks of entries that hold it, with the largest
 weight in the block; their sum bounds the cosine of any entry of a block. Blocks are opened in falling order of their
 bound until it can't reach the k-th best cosine, so the nearest are exact; entries that tie with the k-th (to 12 digits)
-all vote. An entry votes with the square of its cosine, weighted back to the class sizes from which examples were taken,
+all vote. The lists of the terms that most entries share are whole rows of a matrix: their part of every cosine is one
+product for many documents, known before a block is opened, and the bound of a block adds the other terms to it.
+An entry votes with the square of its cosine, weighted back to the class sizes from which examples were taken,
 against a prior worth PRIOR votes. A logistic curve turns the share of toxic votes into the score; it is fitted to the
 examples themselves, each scored without the entries of its sketch, and held near the identity by RIDGE.
 `evidence` holds the ids of up to k nearest entries (the smallest id of each entry).
@@ -42,6 +44,8 @@ EXAMPLES, EXAMPLE_BYTES = 2000, 64 << 20
 NEIGHBOURS, PRIOR, BLOCK, RIDGE = 15, 0.25, 64, 4.0
 #: Distinct vectors whose scores a task remembers, for texts that recur.
 REMEMBERED = 4096
+#: Terms with rows of their own at most, their least share of entries, and documents of one product with these rows.
+ROWS, SHARED, TOGETHER = 512, 1 / 16, 64
 
 BREAK = np.ones(256, bool)
 BREAK[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -128,9 +132,12 @@ def _spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 class BlockMaxIndex:
-    """Inverted lists of weighted entries, by term and block, with the largest weight of each term in each block."""
+    """Inverted lists of weighted entries, by term and block, with the largest weight of each term in each block.
 
-    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], weight: np.ndarray, block: int = BLOCK):
+    Lists of frequent terms are rows of a matrix.
+    """
+
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], weight: np.ndarray, block: int = BLOCK, most_rows: int = ROWS):
         """rows: (terms, counts) of each entry, terms in order; weight: of each term, beside its count."""
         self.term_weight, self.block, self.n = weight, block, len(rows)
         weights = [self.weigh(t, c) for t, c in rows]
@@ -141,6 +148,16 @@ class BlockMaxIndex:
         cat = lambda parts, kind: np.concatenate([*parts, np.zeros(0, kind)])
         term, w = cat([rows[i][0] for i in self.row], np.int64).astype(np.int64), cat([weights[i] for i in self.row], float)
         example = np.repeat(np.arange(self.n), sizes)
+        self.n_blocks = -(-self.n // block)
+        df = np.bincount(term, minlength=len(weight))
+        often = np.argsort(-df, kind="stable")[:most_rows]
+        often = often[df[often] >= max(1, self.n * SHARED)]
+        self.place = np.full(len(weight), -1)
+        self.place[often] = np.arange(len(often))
+        self.matrix = np.zeros((len(often), self.n_blocks * block))
+        at = self.place[term]
+        self.matrix[at[at >= 0], example[at >= 0]] = w[at >= 0]
+        term, example, w = term[at < 0], example[at < 0], w[at < 0]
         by = np.lexsort((example, term))
         term, self.example, self.weight = term[by], example[by], w[by]
         new = np.ones(len(term), bool)
@@ -156,20 +173,38 @@ class BlockMaxIndex:
         size = np.sqrt((w * w).sum())
         return w / size if size > 0 else w
 
-    def nearest(self, terms: np.ndarray, counts: np.ndarray, k: int, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def shares(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The part of every entry's cosine that the matrix gives, a row for each query.
+
+        Products have one shape, whatever the number of queries, so that a query's sums don't depend on the others.
+        """
+        out = np.zeros((-(-len(queries) // TOGETHER) * TOGETHER, self.matrix.shape[1]))
+        if not len(self.matrix):
+            return out
+        for i in range(0, len(out), TOGETHER):
+            weights = np.zeros((TOGETHER, len(self.matrix)))
+            for row, (terms, counts) in zip(weights, queries[i : i + TOGETHER], strict=False):
+                at = self.place[terms]
+                row[at[at >= 0]] = self.weigh(terms, counts)[at >= 0]
+            np.matmul(weights, self.matrix, out=out[i : i + TOGETHER])
+        return out
+
+    def nearest(self, terms: np.ndarray, counts: np.ndarray, k: int, without: np.ndarray | None = None, share: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Rows of the k entries of largest cosine above 0, and all that tie with the last, with their cosines.
 
-        without: rows that don't count.
+        without: rows that don't count; share: the query's row of `shares`.
         """
         none = np.zeros(0, np.int64), np.zeros(0)
         if not len(terms) or not self.n:
             return none
-        q = self.weigh(terms, counts)
+        if share is None:
+            share = self.shares([(terms, counts)])[0]
+        q, listed = self.weigh(terms, counts), self.place[terms] < 0
+        terms, q = terms[listed], q[listed]
         count = self.entry[terms + 1] - self.entry[terms]
-        entry, share = _spread(self.entry[terms], count), np.repeat(q, count)
+        entry, weight = _spread(self.entry[terms], count), np.repeat(q, count)
         block = self.entry_block[entry]
-        n_blocks = -(-self.n // self.block)
-        bound = np.bincount(block, share * self.entry_most[entry], minlength=n_blocks)
+        bound = np.bincount(block, weight * self.entry_most[entry], minlength=self.n_blocks) + share.reshape(self.n_blocks, self.block).max(axis=1)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
         best, cosine, i = *none, 0
@@ -179,13 +214,14 @@ class BlockMaxIndex:
             waiting = waiting[bound[waiting] >= least - 1e-9]  # the others, and all after them, can't reach the k-th
             if not len(waiting):
                 break
-            opened = np.zeros(n_blocks, bool)
+            opened = np.zeros(self.n_blocks, bool)
             opened[waiting] = True
             some = np.flatnonzero(opened[block])
             first = self.post[entry[some]]
             size = self.post[entry[some] + 1] - first
             post = _spread(first, size)
-            found = np.bincount(self.example[post], np.repeat(share[some], size) * self.weight[post], minlength=self.n)
+            found = np.bincount(self.example[post], np.repeat(weight[some], size) * self.weight[post], minlength=len(share))
+            found = np.where(np.repeat(opened, self.block), found + share, 0.0)[: self.n]
             if without is not None:
                 found[without[self.row]] = 0
             hit = np.flatnonzero(found >= max(least - 1e-9, 1e-12))
@@ -217,12 +253,19 @@ class Model:
     near_sketch: np.ndarray
     prior: float
 
-    def raw(self, terms: np.ndarray, counts: np.ndarray, k: int, without: int | None = None) -> tuple[float, list[int]]:
+    def raws(self, rows: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None) -> Iterator[tuple[float, list[int]]]:
+        """Of each row what `raw` gives."""
+        for i in range(0, len(rows), TOGETHER):
+            some = rows[i : i + TOGETHER]
+            for j, ((terms, counts), share) in enumerate(zip(some, self.index.shares(some), strict=False), i):
+                yield self.raw(terms, counts, k, None if without is None else without[j], share)
+
+    def raw(self, terms: np.ndarray, counts: np.ndarray, k: int, without: int | None = None, share: np.ndarray | None = None) -> tuple[float, list[int]]:
         skip = None
         if without is not None:
             skip = np.zeros(self.index.n, bool)
             skip[self.near[slice(*np.searchsorted(self.near_sketch, [without, without + 1]))]] = True
-        best, cosine = self.index.nearest(terms, counts, k, skip)
+        best, cosine = self.index.nearest(terms, counts, k, skip, share)
         square = cosine * cosine
         toxic, every = (square @ self.votes[best]).tolist() if len(best) else (0.0, 0.0)
         by = np.lexsort((self.ids[best], -cosine))[:k]
@@ -264,15 +307,13 @@ def _scored(shared: Broadcast[Model], curve: tuple[float, float] | None, k: int)
         model = shared.value
         seen: dict[bytes, tuple[float, list[int]]] = {}
         for batch, i, rows, _ in _rows(model, batches):
-            out = []
-            for terms, counts in rows:
-                key = terms.tobytes() + counts.tobytes()
-                if key not in seen:
-                    if len(seen) >= REMEMBERED:
-                        seen.clear()
-                    raw, evidence = model.raw(terms, counts, k)
-                    seen[key] = _curved(raw, curve), evidence
-                out.append(seen[key])
+            keys = [terms.tobytes() + counts.tobytes() for terms, counts in rows]
+            if len(seen) >= REMEMBERED:
+                seen.clear()
+            new = {key: row for key, row in zip(keys, rows, strict=True) if key not in seen}
+            for key, (raw, evidence) in zip(new, model.raws(list(new.values()), k), strict=True):
+                seen[key] = _curved(raw, curve), evidence
+            out = [seen[key] for key in keys]
             yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(i, len(out)), pa.array([s for s, _ in out], pa.float64()), pa.array([e for _, e in out], pa.list_(pa.int64()))], ["doc_id", "score", "evidence"])
 
     return f
@@ -284,7 +325,7 @@ def _unaided(shared: Broadcast[Model], k: int) -> Callable:
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch, i, rows, sketch in _rows(model, batches):
-            raw = [model.raw(t, c, k, s)[0] for (t, c), s in zip(rows, sketch.view(np.int64).tolist(), strict=True)]
+            raw = [r for r, _ in model.raws(rows, k, sketch.view(np.int64).tolist())]
             yield pa.RecordBatch.from_arrays([batch["toxic"].slice(i, len(raw)), pa.array(raw, pa.float64())], ["toxic", "raw"])
 
     return f

@@ -81,6 +81,28 @@ def test_block_max_index_is_exact():
         assert np.allclose(got, cosine[best])
 
 
+@pytest.mark.parametrize("most_rows", [0, 4, 512])
+def test_frequent_terms_are_rows_of_a_matrix(most_rows):
+    rng = np.random.default_rng(1)
+    frequency = np.append([0.9] * 6, [0.02] * 94)
+    draw = lambda: np.flatnonzero(rng.random(100) < frequency)
+    rows = [(t := draw(), rng.integers(1, 4, len(t))) for _ in range(300)]
+    queries = [(t := draw(), rng.integers(1, 4, len(t))) for _ in range(70)] + [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    index = op3.BlockMaxIndex(rows, rng.uniform(0.5, 3, 100), block=16, most_rows=most_rows)
+    assert len(index.matrix) == min(6, most_rows) and len(index.example) + np.count_nonzero(index.matrix) == sum(len(t) for t, _ in rows)
+    dense = np.zeros((300, 100))
+    for row, (t, n) in zip(dense, rows, strict=True):
+        row[t] = index.weigh(t, n)
+    shares = index.shares(queries)
+    for i, (t, n) in enumerate(queries):
+        cosine = np.round(dense[:, t] @ index.weigh(t, n), 12)
+        last = np.sort(cosine)[-15]
+        best, got = index.nearest(t, n, 15, share=shares[i])
+        assert set(best.tolist()) == set(np.flatnonzero((cosine > 0) & (cosine >= last)).tolist())
+        assert np.allclose(got, cosine[best], atol=1e-11)
+        assert np.array_equal(shares[i], index.shares([(t, n)])[0])
+
+
 def _plain_scores(rows, labels, k=15):
     """Scores of rows (doc_id, text) by comparing each with every example, in plain Python; all labelled rows are examples."""
     def lower(w):
